@@ -124,3 +124,68 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+
+
+#: Rows of one side of a comparison block.
+BLOCK = 1024
+
+
+def blocked(rows: DataFrame, key: Column, member: Column) -> DataFrame:
+    """Deal rows that share a key to tasks in comparison blocks of a bounded size, sorted by block.
+
+    Adds _block (the rows to compare with each other), _left and _right (the two chunks that meet in it) and
+    _chunk (the row's own). A key of up to BLOCK rows is one block. A larger one is cut into chunks by the hash of
+    member, and each pair of chunks meets in one block: every pair of rows meets, in no task more than two chunks."""
+    spark = rows.sparkSession
+    keyed = rows.withColumn("_key", key)
+    large = (
+        keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BLOCK)
+        .select("_key", F.ceil(F.col("_n") * 1.1 / BLOCK).cast("int").alias("_chunks"))
+    )
+    chunked = keyed.join(large, "_key", "left").withColumn("_chunks", F.coalesce("_chunks", F.lit(1)))
+    chunk = F.pmod(F.xxhash64(member, F.lit("chunk")), F.col("_chunks")).cast("int")
+    met = F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_other")
+    return (
+        chunked.withColumn("_chunk", chunk).select("*", met)
+        .withColumn("_left", F.least("_chunk", "_other")).withColumn("_right", F.greatest("_chunk", "_other"))
+        .withColumn("_block", F.xxhash64("_key", "_left", "_right"))
+        .drop("_chunks", "_other")
+        .repartition(tasks(spark), "_block").sortWithinPartitions("_block")
+    )
+
+
+def blocks(batches, column: str):
+    """The rows of one block after the other as Arrow tables, from batches that are sorted by column."""
+    import numpy as np
+    import pyarrow as pa
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch])
+        held = now if held is None else pa.concat_tables([held, now]).combine_chunks()
+        ids = held.column(column).to_numpy()
+        cuts = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+        if len(cuts):
+            for start, end in zip([0, *cuts[:-1].tolist()], cuts.tolist()):
+                if end - start > 1:
+                    yield held.slice(start, end - start)
+            held = held.slice(cuts[-1])
+    if held is not None and held.num_rows > 1:
+        yield held
+
+
+def forest(adjacent):
+    """Star edges (member, smallest member) of the components of a small adjacency matrix."""
+    import numpy as np
+
+    label = np.arange(len(adjacent))
+    far = len(adjacent)
+    while True:
+        new = np.minimum(label, np.where(adjacent, label[None, :], far).min(1))
+        new = new[new]
+        if (new == label).all():
+            at = np.flatnonzero(label != np.arange(len(label)))
+            return at, label[at]
+        label = new
