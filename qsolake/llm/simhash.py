@@ -18,7 +18,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qsolake.llm.common import blocked, blocks, components, forest, written
@@ -104,11 +104,8 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each component: the one with its smallest id. Rows without an id stay."""
+    """docs with one row of each component: the one with its smallest id. Rows without an id stay, once each."""
     found = simhash_components(docs, id_col=id_col, text_col=text_col, **options)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    once = docs.withColumn("_at", F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy("_at"))
-    left = once.join(gone, id_col, "left_anti")
-    single = left.where(F.col(id_col).isNotNull()).withColumn("_n", first).where("_n = 1").drop("_n", "_at")
-    return single.unionByName(left.where(F.col(id_col).isNull()).drop("_at"))
+    salt = F.when(F.col(id_col).isNull(), F.xxhash64(F.coalesce(text_col, F.lit("")))).otherwise(0)
+    return docs.join(gone, id_col, "left_anti").withColumn("_salt", salt).dropDuplicates([id_col, "_salt"]).select(docs.columns)
