@@ -31,9 +31,24 @@ RANGE_IDS = 1_000_000
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, sequence_length long, ids binary"
 
 
+#: A lane of a packed sum holds this many ids.
+LANE = (1 << 16) - 1
+
+
 @functools.lru_cache(maxsize=2)
 def directions(ids: int) -> np.ndarray:
-    return np.random.default_rng(SEED).choice(np.array([-1, 1], np.float32), (ids, DIMENSIONS))
+    """For each id which of the random directions it points along, a 16-bit lane each of one unsigned integer."""
+    along = np.random.default_rng(SEED).integers(0, 2, (ids, DIMENSIONS)).astype(np.uint64)
+    return (along << (np.arange(DIMENSIONS, dtype=np.uint64) * np.uint64(16))).sum(1, dtype=np.uint64)
+
+
+def document_vector(ids: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Mean over the ids of +1 or -1 in each direction."""
+    lanes = np.zeros(DIMENSIONS)
+    for at in range(0, len(ids), LANE):
+        packed = table[ids[at : at + LANE]].sum(dtype=np.uint64)
+        lanes += np.frombuffer(packed.tobytes(), "<u2")
+    return 2 * lanes / max(len(ids), 1) - 1 if len(ids) else lanes
 
 
 def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -70,8 +85,7 @@ def document_key(ids: list[bytes], dtype: np.dtype, vocabulary: int, ties: list[
     table = directions(vocabulary)
     vectors = np.zeros((len(ids), DIMENSIONS))
     for i, x in enumerate(ids):
-        if x:
-            vectors[i] = table[np.frombuffer(x, dtype)].mean(0, dtype=np.float64)
+        vectors[i] = document_vector(np.frombuffer(x, dtype), table)
     cells = np.clip((np.tanh(vectors * 8) + 1) * (1 << BITS - 1), 0, (1 << BITS) - 1)
     return hilbert_key(cells.astype(np.int64)) << 31 | np.array(ties, np.int64)
 
