@@ -130,30 +130,32 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
 BLOCK = 1024
 
 
-def blocked(rows: DataFrame, key: Column, member: Column) -> DataFrame:
-    """Deal rows that share a key to tasks in comparison blocks of a bounded size, sorted by block.
+def met(rows: DataFrame, key: Column, member: Column) -> DataFrame:
+    """Rows that share their key with another, put into comparison blocks of a bounded size.
 
     Adds _block (the rows to compare with each other), _left and _right (the two chunks that meet in it) and
     _chunk (the row's own). A key of up to BLOCK rows is one block. A larger one is cut into chunks by the hash of
     member, and each pair of chunks meets in one block: every pair of rows meets, in no task more than two chunks."""
-    spark = rows.sparkSession
     keyed = rows.withColumn("_key", key)
-    large = (
-        keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BLOCK)
-        .select("_key", F.ceil(F.col("_n") * 1.1 / BLOCK).cast("int").alias("_chunks"))
+    shared = (
+        keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        .select("_key", F.when(F.col("_n") <= BLOCK, 1).otherwise(F.ceil(F.col("_n") * 1.1 / BLOCK)).cast("int").alias("_chunks"))
     )
-    chunked = keyed.join(large, "_key", "left").withColumn("_chunks", F.coalesce("_chunks", F.lit(1)))
     chunk = F.pmod(F.xxhash64(member, F.lit("chunk")), F.col("_chunks")).cast("int")
-    met = F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_other")
+    other = F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_other")
     return (
-        chunked.withColumn("_chunk", chunk).select("*", met)
+        keyed.join(shared, "_key").withColumn("_chunk", chunk).select("*", other)
         .withColumn("_left", F.least("_chunk", "_other")).withColumn("_right", F.greatest("_chunk", "_other"))
         .withColumn("_block", F.xxhash64("_key", "_left", "_right"))
-        .drop("_chunks", "_other")
-        .repartition(tasks(spark), "_block").sortWithinPartitions("_block")
+        .drop("_key", "_chunks", "_other")
     )
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Each block of met() in one task, its rows together."""
+    return rows.repartition(tasks(rows.sparkSession), "_block").sortWithinPartitions("_block")
+
+
 def blocks(batches, column: str):
     """The rows of one block after the other as Arrow tables, from batches that are sorted by column."""
     import numpy as np

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qsolake.llm.common import blocked, blocks, components, forest, written
+from qsolake.llm.common import blocks, components, dealt, forest, met, written
 
 COSINE = 0.93
 TABLES, PROBES, SCALE, SEED = 8, 4, 3.0, 8
@@ -121,13 +121,17 @@ def links(classes: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFr
                     ["cls", "label", "n", "unit", "cells"],
                 )
 
-    entered = classes.select("cls", "label", "n", "embedding").mapInArrow(
-        enter, f"cls long, label {dict(classes.dtypes)['label']}, n long, unit binary, cells array<long>"
+    entered = written(
+        classes.select("cls", "label", "n", "embedding").mapInArrow(
+            enter, f"cls long, label {dict(classes.dtypes)['label']}, n long, unit binary, cells array<long>"
+        ),
+        "embedding-cells",
     )
-    key = F.xxhash64("label", F.octet_length("unit"), "cell")
-    rows = blocked(
-        entered.select("*", F.explode(F.array_distinct("cells")).alias("cell")), key, F.col("cls")
-    ).select("_block", "_left", "_right", "_chunk", "cls", "n", "unit", "cells", "cell")
+    # most cells hold one vector: only those that share one take their vector along
+    keys = entered.select("cls", "label", F.octet_length("unit").alias("size"), F.explode(F.array_distinct("cells")).alias("cell"))
+    pairs = met(keys, F.xxhash64("label", "size", "cell"), F.col("cls")).drop("label", "size")
+    rows = dealt(pairs.join(entered.select("cls", "n", "unit", "cells"), "cls"))
+    rows = rows.select("_block", "_left", "_right", "_chunk", "cls", "n", "unit", "cells", "cell")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "_block"):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qsolake.llm.common import blocked, blocks, components, forest, written
+from qsolake.llm.common import blocks, components, dealt, forest, met, written
 
 SHINGLE, DISTANCE, HASH_SEED = 4, 4, 42
 #: Distinct fingerprints that a key should hold on average, if bits were even.
@@ -74,7 +74,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (fp long) that span all links."""
     masks = [m - (1 << 64) if m >> 63 else m for m in cut(distinct.count(), distance)]
     keys = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)]))
-    rows = blocked(distinct.select("fp", keys.alias("k")), F.col("k"), F.col("fp")).select("_block", "fp")
+    rows = dealt(met(distinct.select("fp", keys.alias("k")), F.col("k"), F.col("fp")).select("_block", "fp"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "_block"):

@@ -115,9 +115,7 @@ def write_token_files(
         name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex[:8]}"
         tokens = index = sink = None
         n_docs = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             if tokens is None:
                 tokens = _Writer(f"{name}.tokens.arrow", code.dtype, length)
                 system, path = filesystem(f"{name}.docs.arrow")

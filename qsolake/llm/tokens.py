@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -20,8 +21,8 @@ PIECE = re.compile(
 )
 RUN = re.compile(rf" ?[{LETTERS}]+\Z")
 ODD = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n\t\r"]
-#: Entries of one generation of a memo; two generations are held.
-MEMO = 400_000
+#: Entries of a memo.
+MEMO = 300_000
 
 
 def default_tokenizer() -> str:
@@ -31,18 +32,17 @@ def default_tokenizer() -> str:
 
 
 class Memo(dict):
-    """text -> ids as bytes, filled at the first look-up; the last MEMO to 2 MEMO distinct keys stay."""
+    """text -> ids as bytes, filled at the first look-up and emptied when it holds `size` distinct keys.
+
+    Most keys are seen once; the frequent ones are back at once."""
 
     def __init__(self, fill, size: int = MEMO):
         super().__init__()
-        self.fill, self.size, self.old = fill, size, {}
+        self.fill, self.size = fill, size
 
     def __missing__(self, key: str) -> bytes:
-        value = self.old.get(key)
-        if value is None:
-            value = self.fill(key)
+        value = self.fill(key)
         if len(self) >= self.size:
-            self.old = dict(self)
             self.clear()
         self[key] = value
         return value
@@ -62,10 +62,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.dtype = np.dtype(self.code)
         self.model = self.tokenizer.model
         self.alphabet = byte_alphabet()
-        self.pieces = Memo(self._piece)
+        self.pieces = Memo(self._piece, MEMO // 2)
         self.words = Memo(self._word)
 
     def _whole(self, text: str) -> bytes:
@@ -80,9 +81,11 @@ class Encoder:
             mapped = "Ġ" + piece[1:] if piece[0] == " " else piece
         else:
             mapped = piece.encode().decode("latin-1").translate(self.alphabet)
-        return np.array([t.id for t in self.model.tokenize(mapped)], self.dtype).tobytes()
+        return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def _word(self, text: str) -> bytes:
+        if RUN.match(text):
+            return self._piece(text)
         return b"".join(map(self.pieces.__getitem__, PIECE.findall(text)))
 
     def ids(self, text: str | None) -> bytes:
