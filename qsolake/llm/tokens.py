@@ -20,9 +20,17 @@ PIECE = re.compile(
     r"|[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+"
 )
 RUN = re.compile(rf" ?[{LETTERS}]+\Z")
+#: Marks that a word may end with: no letter, digit, blank or apostrophe.
+TAIL = ".,;:!?\"#$%&()*+-/<=>@[\\]^_`{|}~"
 ODD = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n\t\r"]
+RUNS = ("  ", " \n", " \t", " \r")
 #: Entries of a memo.
-MEMO = 300_000
+MEMO = 600_000
+
+
+def is_run(text: str) -> bool:
+    body = text.removeprefix(" ")
+    return body.isalpha() if body.isascii() else bool(RUN.match(text))
 
 
 def default_tokenizer() -> str:
@@ -32,17 +40,20 @@ def default_tokenizer() -> str:
 
 
 class Memo(dict):
-    """text -> ids as bytes, filled at the first look-up and emptied when it holds `size` distinct keys.
+    """text -> ids as bytes, filled at the first look-up; when it holds `size` keys it starts anew.
 
-    Most keys are seen once; the frequent ones are back at once."""
+    The keys before stay at hand as `old` until the next start, so that a frequent one is never made again."""
 
     def __init__(self, fill, size: int = MEMO):
         super().__init__()
-        self.fill, self.size = fill, size
+        self.fill, self.size, self.old = fill, size, {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self.fill(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.fill(key)
         if len(self) >= self.size:
+            self.old = dict(self)
             self.clear()
         self[key] = value
         return value
@@ -66,27 +77,28 @@ class Encoder:
         self.dtype = np.dtype(self.code)
         self.model = self.tokenizer.model
         self.alphabet = byte_alphabet()
-        self.pieces = Memo(self._piece, MEMO // 2)
         self.words = Memo(self._word)
 
     def _whole(self, text: str) -> bytes:
         (made,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
         return np.array(made.ids, self.dtype).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
+    def _run(self, run: str) -> bytes:
         """A letter run is one pre-token, which the BPE model takes in its byte alphabet."""
-        if not RUN.match(piece):
-            return self._whole(piece)
-        if piece.isascii():
-            mapped = "Ġ" + piece[1:] if piece[0] == " " else piece
+        if run.isascii():
+            mapped = "Ġ" + run[1:] if run[0] == " " else run
         else:
-            mapped = piece.encode().decode("latin-1").translate(self.alphabet)
+            mapped = run.encode().decode("latin-1").translate(self.alphabet)
         return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def _word(self, text: str) -> bytes:
-        if RUN.match(text):
-            return self._piece(text)
-        return b"".join(map(self.pieces.__getitem__, PIECE.findall(text)))
+        if is_run(text):
+            return self._run(text)
+        body = text.rstrip(TAIL)
+        if body != text and is_run(body):  # then the tail is one pre-token
+            return self.words[body] + self.words[text[len(body) :]]
+        pieces = PIECE.findall(text)
+        return self._whole(text) if len(pieces) < 2 else b"".join(map(self.words.__getitem__, pieces))
 
     def ids(self, text: str | None) -> bytes:
         """The ids of the whole text as bytes of self.dtype; null is an empty text."""
@@ -94,10 +106,22 @@ class Encoder:
             return b""
         if any(c in text for c in ODD):
             return self._whole(text)
-        if "  " in text or " \n" in text or " \t" in text or " \r" in text:
+        if any(c in text for c in RUNS):
             return self._word(text)
-        first, *rest = text.split(" ")
-        return self.words[first] + b"".join([self.words[" " + w] for w in rest])
+        return b"".join(map(self.words.__getitem__, self._keys(text)))
+
+    @staticmethod
+    def _keys(text: str) -> list[str]:
+        """The cuts of a text without runs of blanks: words with the blank before them, and single line feeds."""
+        if "\n\n" in text:
+            first, *rest = text.split(" ")
+            return [first, *[" " + w for w in rest]]
+        keys = []
+        for line in text.split("\n"):  # a line feed without another one or a blank before it is a piece of its own
+            first, *rest = line.split(" ")
+            keys += "\n", first
+            keys += [" " + w for w in rest]
+        return keys[1:]
 
 
 @functools.lru_cache(maxsize=2)
