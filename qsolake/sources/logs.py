@@ -35,14 +35,17 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", decoded(F.col("content")).alias("d")).select("path", "d.*")
 
 
-@F.pandas_udf("text string, encoding string")
-def _legacy(content: pd.Series) -> pd.DataFrame:
+def _legacy(content: Column) -> Column:
     """Windows-1252 as browsers read it: a byte without a character stands for itself."""
 
     def read(b: bytes) -> str:
         return "".join(bytes([x]).decode("cp1252") if x not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(x) for x in b)
 
-    return pd.DataFrame({"text": [read(b) for b in content], "encoding": "Windows-1252"})
+    @F.pandas_udf("text string, encoding string")
+    def run(contents: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"text": [read(b) for b in contents], "encoding": "Windows-1252"})
+
+    return run(content)
 
 
 def decoded(content: Column) -> Column:
@@ -193,9 +196,12 @@ def scan_tags(record: str) -> list[tuple[str, str, str | None]]:
     return found
 
 
-@F.pandas_udf(TAGS)
-def tags_of(records: pd.Series) -> pd.Series:
-    return records.map(lambda r: [{"name": n, "value": v, "type": t} for n, v, t in scan_tags(r or "")])
+def tags_of(record: str) -> Column:
+    @F.pandas_udf(TAGS)
+    def run(records: pd.Series) -> pd.Series:
+        return records.map(lambda r: [{"name": n, "value": v, "type": t} for n, v, t in scan_tags(r or "")])
+
+    return run(record)
 
 
 def adif_records(logs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -290,7 +296,7 @@ def table_rows(logs: DataFrame, text_col: str = "text", delimiter: Column | None
     d = detect_delimiter(F.col(text_col)) if delimiter is None else delimiter
     quoted = F.concat(F.lit("\\Q"), F.col("_d"), F.lit("\\E"))
     cut = F.transform("_lines", lambda x: F.when(x == "", F.when(F.col("_d") == "", F.array().cast("array<string>")).otherwise(F.array(F.lit("")))).otherwise(
-        F.when(F.col("_d") == "", F.split(x, "(?!^)")).otherwise(F.split(x, quoted))))
+        F.when(F.col("_d") == "", F.filter(F.split(x, "(?!^)"), lambda c: c != "")).otherwise(F.split(x, quoted))))
     rows = logs.select(*keys, d.alias("_d"), split_lines(F.col(text_col)).alias("_lines")).withColumn("_cells", cut)
     width = F.array_max(F.transform("_cells", F.size))
     full = F.transform("_cells", lambda c: F.concat(c, F.array_repeat(F.lit(""), F.col("_width") - F.size(c))))
