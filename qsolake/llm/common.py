@@ -63,6 +63,16 @@ def with_let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Rows of an Arrow batch that holds whole texts.
+TEXTS_AT_ONCE = 1000
+
+
+def short_batches(df: DataFrame) -> DataFrame:
+    """df, after the session is told to send fewer rows at once to Python: whole texts are long."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS_AT_ONCE))
+    return df
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

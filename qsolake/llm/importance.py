@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qsolake.llm.common import ranked, written
+from qsolake.llm.common import ranked, short_batches
 from qsolake.llm.toxicity import held_out
 
 BUCKETS = 1 << 14
@@ -77,7 +77,7 @@ def importance_weights(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc
     marks = known.groupBy("doc_id").agg((F.min("quality") > 0).alias("good"))
     share = marks.agg(F.avg(F.col("good").cast("double"))).first()[0]
     chosen = marks.where("good").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET).select("doc_id")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = short_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     target = counts(rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("text"))
     raw = counts(rows.select("text"))
     ratios = np.log((target + SMOOTHING) / (target.sum() + SMOOTHING * BUCKETS)) - np.log(

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qsolake.llm.common import tasks
+from qsolake.llm.common import short_batches, tasks
 from qsolake.llm.tokens import default_tokenizer, encoder
 
 SEQUENCE = 2048
@@ -122,7 +122,7 @@ def pack(
     spark = docs.sparkSession
     tokenizer = tokenizer or default_tokenizer()
     tie = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 31)).alias("tie")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), tie)
+    rows = short_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), tie)
     size = rows.count()
     share = min(1.0, SAMPLE / max(size, 1))
     width = 2 if encoder(tokenizer).dtype.itemsize == 2 else 4

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qsolake.llm.common import blocks, components, dealt, forest, met, written
+from qsolake.llm.common import blocks, components, dealt, forest, met, short_batches, written
 
 SHINGLE, DISTANCE, HASH_SEED = 4, 4, 42
 #: Distinct fingerprints that a key should hold on average, if bits were even.
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             made = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, fp long")
+    return short_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, fp long")
 
 
 def cut(n: int, distance: int = DISTANCE) -> list[int]:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from qsolake.llm.common import new_path, tasks, written
+from qsolake.llm.common import new_path, short_batches, tasks, written
 from qsolake.llm.tokens import default_tokenizer, encoder
 
 SEQUENCE = 2048
@@ -141,7 +141,7 @@ def write_token_files(
                 {"part": pa.array([part], pa.int32()), "tokens_file": [f"{name}.tokens.arrow"], "docs_file": [f"{name}.docs.arrow"], "n_docs": [n_docs], "n_tokens": [tokens.total]}
             )
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = short_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     ranges = rows.repartitionByRange(tasks(spark), "id").sortWithinPartitions("id", "text")
     return written(ranges.mapInArrow(write, MANIFEST), "token-manifest")
 
