@@ -24,6 +24,12 @@ def brute(rows):
 def test_recall_and_precision(spark):
     vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = [(r.vec_id, r.embedding, r.label) for r in vectors.collect()]
+    rng = np.random.default_rng(6)  # the table has no close pair of its own: plant one for each vector
+    for vec_id, v, label in rows[:]:
+        noise = rng.standard_normal(len(v)) * 0.3 * np.linalg.norm(v) / np.sqrt(len(v))
+        rows.append((vec_id + 1_000_000, (np.array(v) + noise).tolist(), label))
+    vectors = spark.createDataFrame([(*r, "") for r in rows], VECTORS)
+    rows = [(r.vec_id, r.embedding, r.label) for r in vectors.collect()]
     pairs = brute(rows)
     links = {r[0]: 0 for r in rows}
     for i, j in pairs:
