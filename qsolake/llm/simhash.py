@@ -50,13 +50,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, others: list[str] = ()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], ["doc_id", "fp"])
+            rest = [batch.column(c) for c in others]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64)), *rest], ["doc_id", "fp", *others])
 
-    return short_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, fp long")
+    given = short_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col), *others)
+    return given.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *others)))
 
 
 def cut(n: int, distance: int = DISTANCE) -> list[int]:
@@ -103,9 +105,17 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     )
 
 
-def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each component: the one with its smallest id. Rows without an id stay, once each."""
-    found = simhash_components(docs, id_col=id_col, text_col=text_col, **options)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    salt = F.when(F.col(id_col).isNull(), F.xxhash64(F.coalesce(text_col, F.lit("")))).otherwise(0)
-    return docs.join(gone, id_col, "left_anti").withColumn("_salt", salt).dropDuplicates([id_col, "_salt"]).select(docs.columns)
+def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """docs with one row of each component: the one with its smallest id (a row with an id before one without), of
+    these with the smallest text hash. Of rows that agree in both, copies of each other, any one stays."""
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col), text_hash.alias("_hash"))
+    rows = written(fingerprints(keyed, "doc_id", text_col, ["_hash"]), "fingerprint-rows")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_hash").alias("hash"))).alias("best")
+    classes = written(rows.groupBy("fp").agg(best), "fingerprint-best")
+    parts = components(links(classes.select("fp"), distance), "fingerprint-links").withColumnRenamed("node", "fp")
+    member = classes.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    chosen = member.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.id").alias("_id"), F.col("best.hash").alias("_hash"))
+    # An id and a text have one fingerprint, so they name one component.
+    found = docs.withColumn("_hash", text_hash).join(chosen.withColumnRenamed("_hash", "_chosen"), (F.col(id_col).cast("long").eqNullSafe(F.col("_id"))) & (F.col("_hash") == F.col("_chosen")))
+    return found.dropDuplicates(["_id", "_chosen"]).select(docs.columns)

@@ -73,6 +73,19 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(ids) == sorted({c for d, _, c in expected(rows) if c is not None})
 
 
+def test_one_text_of_each_group_stays(spark):
+    copy = plain.BASE
+    rows = [*plain.awkward(), (1000, copy, "a", None), (None, copy, "a", None), (None, copy + " tail", "b", None)]
+    kept = simhash.simhash_dedup(spark.createDataFrame(rows, plain.DOCS)).collect()
+    assert {tuple(r) for r in kept} <= set(rows)
+    prints = [fingerprint(r[1]) for r in rows]
+    edges = [(a, b) for a, b in combinations(sorted(set(prints)), 2) if (a ^ b).bit_count() <= 4]
+    group = plain.joined(set(prints), edges)
+    assert Counter(group[fingerprint(r.text)] for r in kept) == dict.fromkeys(group.values(), 1)
+    least = {c: i for _, p, i in expected(rows) for c in [group[int(p, 16)]]}
+    assert all(r.doc_id == least[group[fingerprint(r.text)]] for r in kept)
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], plain.DOCS)
     assert simhash.simhash_components(empty).count() == 0
