@@ -1,5 +1,6 @@
 """Rules, mixing, toxicity and importance resampling."""
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -114,6 +115,23 @@ def test_toxicity_of_awkward_rows(spark):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_rare_words_and_phrases_of_ordinary_words_are_toxic(spark):
+    rng, rows = random.Random(9), []
+    for i in range(600):
+        some = rng.choices(plain.WORDS[:30], k=40)
+        bad = i % 2 == 0
+        # One toxic document in eight holds a rare word; the others hold two ordinary words next to each other.
+        some[20:20] = (["vermin"] * 2 if i % 16 == 0 else ["quiet", "people"] * 2) if bad else ["people", "and", "quiet", "people", "and", "quiet"]
+        rows.append((i, " ".join(some)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(600)], "doc_id long, toxic int")
+    found = [r for r in toxicity.toxicity(docs, labels).collect() if r.held_out]
+    rare = [r.predicted for r in found if r.doc_id % 16 == 0]
+    phrase = [r.predicted for r in found if r.doc_id % 2 == 0 and r.doc_id % 16]
+    ordinary = [r.predicted for r in found if r.doc_id % 2]
+    assert sum(rare) >= 0.9 * len(rare) > 0 and sum(phrase) >= 0.9 * len(phrase) > 0 and sum(ordinary) <= 0.1 * len(ordinary)
+
+
 def test_importance_keeps_the_largest_keys(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     rows = importance.importance_resample(docs, labels, share=0.4).collect()
