@@ -11,7 +11,7 @@ from qsolake.llm.common import written
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.toxicity(docs, labels).where("predicted = 0").select(docs.columns)
+    return toxicity.toxicity(docs, labels, hold_out=False).where("predicted = 0").select(docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
