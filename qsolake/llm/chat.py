@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qsolake.llm.common import tasks
+from qsolake.llm.common import short_batches, tasks
 from qsolake.llm.tokens import byte_alphabet, default_tokenizer, encoder
 
 BLOCK_TOKENS, BLOCK_CONVERSATIONS = 16_384, 256
@@ -111,11 +111,11 @@ def chat_blocks(conversations: DataFrame, *, tokenizer: str | None = None) -> Da
     """conversations (conv_id, turn, role, text) as blocks of prefix trees."""
     tokenizer = tokenizer or default_tokenizer()
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    whole = short_batches(conversations).groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     keyed = whole.withColumn("path", F.transform("turns", lambda t: F.xxhash64(t["role"], t["text"])))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, first, n = encoder(tokenizer), TaskContext.get().partitionId() << 32, 0
+        code, first, n = encoder(tokenizer, True), TaskContext.get().partitionId() << 32, 0
         block = _Block()
         for batch in batches:
             for conv_id, turns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -135,7 +135,7 @@ def read_conversations(blocks: DataFrame, *, tokenizer: str | None = None) -> Da
     tokenizer = tokenizer or default_tokenizer()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(tokenizer)
+        code = encoder(tokenizer, True)
         bytes_of = {c: b for b, c in byte_alphabet().items()}
         pieces: dict[int, bytes] = {}
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -11,14 +12,18 @@ from pyspark.sql import functions as F
 #: The white space that separates words and is stripped from lines: \x20 and \x09-\x0D.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Stands for a null id where a key can't be null.
+NO_ID = -(1 << 63)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (in tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else (in local mode only) a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="corpus-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -63,16 +68,41 @@ def with_let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-#: Rows of an Arrow batch that holds whole texts.
-TEXTS_AT_ONCE = 1000
+#: Bytes of an Arrow batch that goes to Python, where the application doesn't set them.
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def short_batches(df: DataFrame) -> DataFrame:
-    """df, after the session is told to send fewer rows at once to Python: whole texts are long."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS_AT_ONCE))
+    """df, after the session is told to bound Arrow batches by bytes, as whole texts can be long.
+
+    Every operator that runs Python asks for the same bound, so it doesn't matter which one ran before."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getConf().contains(BATCH_SETTING):
+        spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
     return df
 
 
+def tidy() -> None:
+    """Give memory that a task is done with back to the system, as a Python worker outlives its tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidied(run):
+    """run, then tidy()."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        tidy()
+
+    return wrapped
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -1,7 +1,7 @@
 """Embedding near-dedup by E8 lattice hashing.
 
 Unit vectors are projected at random to 8 dimensions, scaled, and decoded to the nearest point of the E8 lattice,
-in TABLES tables of STACK projections each. A vector is entered in its own cell and in the PROBES neighbouring
+in TABLES tables of one projection each. A vector is entered in its own cell and in the PROBES neighbouring
 cells that lie nearest in the direction of its residual. Vectors of one label that share a cell are compared by
 cosine in double precision, in blocks of a bounded size. A linked pair is counted in the first cell that it shares
 alone, so the counts need no list of pairs; components get a spanning forest of each block.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qsolake.llm.common import blocks, components, dealt, forest, met, written
+from qsolake.llm.common import blocks, components, dealt, forest, met, short_batches, written
 
 COSINE = 0.93
 TABLES, PROBES, SCALE, SEED = 8, 4, 3.0, 8
@@ -172,7 +172,7 @@ def links(classes: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFr
 
 def embedding_links(vectors: DataFrame, *, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept, for each row of vectors (vec_id, embedding, label)."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
+    rows = short_batches(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     classes = written(classes_of(rows.where(usable())), "embedding-classes")
     counts, edges = links(classes, cosine)
     parts = components(edges, "embedding-components").withColumnRenamed("node", "cls")

@@ -1,17 +1,18 @@
 """Quality by importance resampling.
 
 Words and pairs of neighbouring words are hashed into BUCKETS. A target model counts the buckets in labelled good
-documents, a raw model in all documents; a document's log weight is the sum of its n-grams' log ratios over their
-number, so that weights of short and long texts compare. Documents are then drawn without replacement by the
-Gumbel top-k: the k largest of weight * SHARPNESS + Gumbel noise, the noise a hash of the id. k is the share of
-good rows among the labelled ones, of all documents. The k-th place is found by an exact rank over a range sort,
-not by sending k rows anywhere.
+documents, a raw model in all documents. A document's log_ratio is the log of its likelihood under the target model
+over that under the raw one, the sum of its n-grams' log ratios. Its log_weight is that ratio tempered to the power
+of SHARPNESS over the number of n-grams, as whole ratios of long texts would leave short ones no chance. Documents
+are then drawn without replacement by the Gumbel top-k: the k largest of log_weight + Gumbel noise, the noise a hash
+of the id. k is the share of good rows among the labelled ones, of all documents. The k-th place is found by an exact
+rank over a range sort, not by sending k rows anywhere.
 
 The target model is fitted on at most TARGET labelled documents; raw counts, weights and ranks cover everything.
 
 Defined cases: a null or empty text has weight 0; a null id has noise of its own hash, and is drawn like any other;
 repeated rows have equal keys and fall next to each other; without good labels all weights are 0; an empty table
-gives no row; columns named like a result are replaced."""
+gives no row; a very long text counts whole; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qsolake.llm.common import ranked, short_batches
+from qsolake.llm.common import ranked, short_batches, tidied, written
 from qsolake.llm.toxicity import held_out
 
 BUCKETS = 1 << 14
@@ -72,7 +73,7 @@ def counts(texts: DataFrame) -> np.ndarray:
 
 
 def importance_weights(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, float]:
-    """doc_id and log_weight of every document, and the share of good rows among the labelled ones."""
+    """doc_id, log_ratio, log_weight of every document, and the share of good rows among the labelled ones."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     marks = known.groupBy("doc_id").agg((F.min("quality") > 0).alias("good"))
     share = marks.agg(F.avg(F.col("good").cast("double"))).first()[0]
@@ -89,17 +90,23 @@ def importance_weights(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in batches:
-            out = [float(ratios[b].mean()) if len(b := buckets(t, hashes)) else 0.0 for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "log_weight"])
+            sums, weights = [], []
+            for text in batch.column(1).to_pylist():
+                own = buckets(text, hashes)
+                sums.append(float(ratios[own].sum()))
+                weights.append(sums[-1] * SHARPNESS / max(len(own), 1))
+            columns = [batch.column(0), pa.array(sums, pa.float64()), pa.array(weights, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "log_ratio", "log_weight"])
 
-    return rows.mapInArrow(weigh, "doc_id long, log_weight double"), 1.0 if share is None else share
+    return rows.mapInArrow(tidied(weigh), "doc_id long, log_ratio double, log_weight double"), 1.0 if share is None else share
 
 
 def importance_resample(docs: DataFrame, labels: DataFrame, *, share: float | None = None, **columns) -> DataFrame:
-    """doc_id, log_weight, gumbel_key, kept: the share of documents with the largest keys."""
+    """doc_id, log_ratio, log_weight, gumbel_key, kept: the share of documents with the largest keys."""
     weighed, good = importance_weights(docs, labels, **columns)
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit("gumbel")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    keyed = weighed.withColumn("gumbel_key", F.col("log_weight") * SHARPNESS - F.log(-F.log(uniform)))
-    rows = ranked(keyed, [F.col("gumbel_key").desc(), F.col("doc_id")], "importance")
+    keyed = weighed.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform)))
+    # Written first: the sort by ranges reads its rows twice, and the texts are to be weighed once.
+    rows = ranked(written(keyed, "importance-weights"), [F.col("gumbel_key").desc(), F.col("doc_id")], "importance")
     k = round((good if share is None else share) * rows.count())
     return rows.withColumn("kept", F.col("_rank") < k).drop("_rank")

@@ -1,17 +1,18 @@
 """Line dedup by probing a sharded minimal perfect hash.
 
-A line's key is 128 bits of hash of the stripped, lower-cased line. Keys of long lines that are found in at least
-MIN_DOCS documents are dealt into shards. Each shard gets a minimal perfect hash (levels of collision-free bits,
+A line's key is 128 bits of hash of the stripped, lower-cased line. All distinct keys of long lines are dealt into
+shards. Each shard gets a minimal perfect hash (levels of collision-free bits,
 placed by rank) that indexes three compact arrays: fingerprint, document count and the largest document id. A
-document's lines are sent as bare hashes to the shard that can hold them, and probe its arrays in a stream; only
-the places of lines to drop come back. Hot shards are read by several tasks, as many as their known counts ask for.
+document's lines are sent as bare hashes to the shard that holds them, and probe its arrays in a stream: a line
+goes if its key's count reaches MIN_DOCS and its document isn't the last; only the places of such lines come back. Hot shards are read by several tasks, as many as their known counts ask for.
 
 Defined cases: a null or empty text is one empty line; a null id counts as the smallest; rows that repeat an id
-count as documents of their own, and what is kept for the largest id is kept in each of its rows; an empty table
-gives no row; columns named like a result column are replaced."""
+count as documents of their own, and what is kept for the largest id is kept in each of its rows; a very long text
+or line counts whole; an empty table gives no row; columns named like a result column are replaced."""
 
 from __future__ import annotations
 
+import functools
 import struct
 from collections.abc import Iterator
 
@@ -21,13 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qsolake.llm.common import BLANKS, lower_ascii, tasks, with_let, written
+from qsolake.llm.common import BLANKS, NO_ID, lower_ascii, short_batches, tasks, tidied, with_let, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Keys of one shard.
 SHARD_KEYS = 100_000
 GAMMA = 2.0
-NO_ID = -(1 << 63)
 U = np.uint64
 
 
@@ -108,14 +108,11 @@ def text_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def build_index(lines: DataFrame, min_docs: int) -> tuple[DataFrame, int]:
+def build_index(lines: DataFrame) -> tuple[DataFrame, int]:
     """One row for each shard with its packed hash and arrays, and the number of shards."""
     spark = lines.sparkSession
     distinct = lines.select("id", F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))).alias("k"))
-    keys = written(
-        distinct.groupBy("k.a", "k.b").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs),
-        "line-keys",
-    )
+    keys = written(distinct.groupBy("k.a", "k.b").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")), "line-keys")
     shards = max(1, -(-keys.count() // SHARD_KEYS))
 
     def build(shard: pd.DataFrame) -> pd.DataFrame:
@@ -133,9 +130,9 @@ def build_index(lines: DataFrame, min_docs: int) -> tuple[DataFrame, int]:
     return written(made, "line-index"), shards
 
 
-def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def probe(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by shard and slice, a shard's arrays before its probes; gives the places to drop."""
-    now = mph = prints = lasts = None
+    now = mph = prints = counts = lasts = None
     for batch in batches:
         shard = batch.column("shard").to_numpy() * 4096 + batch.column("slice").to_numpy()
         cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
@@ -148,13 +145,14 @@ def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if part.column("mph")[0].is_valid:
                 mph = PerfectHash.unpack(part.column("mph")[0].as_py())
                 prints = np.frombuffer(part.column("prints")[0].as_py(), "<u8")
+                counts = np.frombuffer(part.column("counts")[0].as_py(), "<u4")
                 lasts = np.frombuffer(part.column("lasts")[0].as_py(), "<i8")
                 part = part.slice(1)
             if mph is None or not part.num_rows or not len(prints):
                 continue
             a, b = (part.column(c).to_numpy().view(np.uint64) for c in "ab")
             at = mph.index(a, b)
-            drop = (at >= 0) & (prints[at] == b) & (lasts[at] != part.column("id").to_numpy())
+            drop = (at >= 0) & (prints[at] == b) & (counts[at] >= min_docs) & (lasts[at] != part.column("id").to_numpy())
             if drop.any():
                 yield part.filter(pa.array(drop)).select(["id", "hash", "place"])
 
@@ -162,7 +160,7 @@ def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dropped_places(lines: DataFrame, min_docs: int) -> DataFrame:
     """id, hash (of the text), places: the lines that go, for each document that loses any."""
     spark = lines.sparkSession
-    index, shards = build_index(lines, min_docs)
+    index, shards = build_index(lines)
     loads = index.select("shard", "load")
     total = loads.agg(F.sum("load")).first()[0] or 0
     most = max(20_000, total // (4 * tasks(spark)))
@@ -177,14 +175,15 @@ def dropped_places(lines: DataFrame, min_docs: int) -> DataFrame:
         .join(F.broadcast(hot), "shard", "left")
         .withColumn("slice", F.pmod(F.xxhash64("id", "hash"), F.coalesce("slices", F.lit(1))).cast("int"))
     )
-    columns = ["shard", "slice", "mph", "prints", "lasts", "id", "hash", "place", "a", "b"]
-    rows = probes.withColumns({c: F.lit(None).cast("binary") for c in ("mph", "prints", "lasts")}).select(columns).union(
+    arrays = ["mph", "prints", "counts", "lasts"]
+    columns = ["shard", "slice", *arrays, "id", "hash", "place", "a", "b"]
+    rows = probes.withColumns({c: F.lit(None).cast("binary") for c in arrays}).select(columns).union(
         wide.withColumns({c: F.lit(0).cast("long") for c in ("id", "hash", "a", "b")}).withColumn("place", F.lit(0)).select(columns)
     )
     found = (
         rows.repartition(tasks(spark), "shard", "slice")
         .sortWithinPartitions("shard", "slice", F.col("mph").isNull())
-        .mapInArrow(probe, "id long, hash long, place int")
+        .mapInArrow(tidied(functools.partial(probe, min_docs=min_docs)), "id long, hash long, place int")
     )
     return found.groupBy("id", "hash").agg(F.collect_set("place").alias("places"))
 
@@ -195,7 +194,7 @@ def line_dedup(
     """docs with the text's surviving lines, n_lines (before) and n_dropped."""
     text, rid = F.col(text_col), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     whole = F.xxhash64(F.coalesce(text, F.lit("")))
-    slim = docs.select(
+    slim = short_batches(docs).select(
         rid.alias("id"), whole.alias("hash"), with_let(text_lines(text), lambda x: line_hashes(x, min_chars)).alias("lines")
     ).where(F.size("lines") > 0)
     drops = dropped_places(written(slim, "lines"), min_docs)

@@ -7,8 +7,9 @@ than about one document. As the expectation is the same all over a source, the r
 exact rank within it times that expectation: ranks come from one range sort over all sources, whatever their sizes.
 
 Defined cases: a null text has size 0; null sources are a source of their own, the last; a source of size 0 has
-target 0 and takes none; repeated rows are documents of their own; an empty table gives no row. Columns of the
-input that are named like a result column are replaced."""
+target 0 and takes none; repeated rows are documents of their own, those of one id in the order of their text's
+hash; a very long text is one document, so its source may miss its target by that much; an empty table gives no
+row. Columns of the input that are named like a result column are replaced."""
 
 from __future__ import annotations
 
@@ -17,12 +18,14 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from qsolake.llm.common import n_words, ranked
+from qsolake.llm.common import n_words, ranked, written
 
 WEIGHTS = (5, 2, 1)
 #: No source is taken more often than this.
 REPEATS = 3
 SEED = 7
+#: The targets of so many sources are sent to every task; those of more are joined by source.
+SENT_SOURCES = 100_000
 
 
 def offset(seed: int = SEED) -> float:
@@ -69,17 +72,18 @@ def mix_counts(
     """doc_id, size, source_size, target, copies, taken; with carry also the whole row as a struct _row."""
     carried: list[Column] = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if carry else []
     slim = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *carried
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
+        F.xxhash64(F.col(text_col)).alias("hash"), *carried
     )
-    order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id")]
+    order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id"), F.col("hash")]
     rows = ranked(slim, order, "mixing")
-    sizes = rows.groupBy("source").agg(
-        F.min("_rank").alias("first"), F.sum("size").alias("source_size")
-    )
+    sizes = written(rows.groupBy("source").agg(F.min("_rank").alias("first"), F.sum("size").alias("source_size")), "source-sizes")
     chosen = targets(sizes, weights, repeats).select(
         F.col("source").alias("_source"), "source_size", "target", "first",
         F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(repeats)))).otherwise(0.0).alias("expected"),
     )
+    if sizes.count() <= SENT_SOURCES:
+        chosen = F.broadcast(chosen)
     place = F.col("_rank") - F.col("first")
     crossed = lambda n: F.floor(F.col("expected") * n + offset(seed))
     return (

@@ -4,10 +4,11 @@ Each document's ids are summed into a few random directions (a hashed document v
 its Hilbert key, documents are dealt by ranges of that key, sorted within them, and laid end to end into
 sequences. Documents are cut wherever a sequence is full, so only the last sequence of a range is padded, to the
 next power of two. The ranges' bounds come from a sample of SAMPLE documents; they only set how even the ranges
-are. A tie-break by the id lets a large group of copies, which all have one key, spread over many ranges.
+are. A tie-break by id and text lets a large group of copies, which all have one key, spread over many ranges.
 
 Defined cases: a null or empty text is its end id alone; rows that repeat an id or have none are packed as
-documents of their own; an empty table gives no piece; other columns are ignored."""
+documents of their own; rows that agree in both stand together in no certain order; a very long text fills as many
+sequences as it needs; an empty table gives no piece; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qsolake.llm.common import short_batches, tasks
+from qsolake.llm.common import short_batches, tasks, tidied
 from qsolake.llm.tokens import default_tokenizer, encoder
 
 SEQUENCE = 2048
@@ -93,6 +94,7 @@ def document_key(ids: list[bytes], dtype: np.dtype, vocabulary: int, ties: list[
 def encoded(rows: DataFrame, tokenizer: str, bounds: list[int]) -> DataFrame:
     """rows (doc_id, text, tie) to doc_id, range, key, ids."""
 
+    @tidied
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, cuts = encoder(tokenizer), np.array(bounds, np.int64)
         vocabulary = code.tokenizer.get_vocab_size()
@@ -121,7 +123,7 @@ def pack(
     """The pieces of all sequences, with their ids (little-endian unsigned 32-bit)."""
     spark = docs.sparkSession
     tokenizer = tokenizer or default_tokenizer()
-    tie = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 31)).alias("tie")
+    tie = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 31)).alias("tie")
     rows = short_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), tie)
     size = rows.count()
     share = min(1.0, SAMPLE / max(size, 1))
@@ -137,6 +139,7 @@ def pack(
     at = np.searchsorted(total, [total[-1] * k / ranges for k in range(1, ranges)]) if len(seen) else []
     bounds = sorted({seen[i].key for i in at})
 
+    @tidied
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = encoder(tokenizer).dtype
         end = np.array([end_id], "<u4")

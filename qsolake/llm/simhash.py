@@ -9,7 +9,7 @@ a spanning forest of its links, so a dense group costs edges in proportion to it
 Defined cases: words are lower-cased A-Z only; a text of fewer words than a shingle is one shingle, a null or
 empty text has fingerprint zero, linked like any other; rows with a null id are linked too, but never name a
 component (null if no row in it has an id); rows that repeat an id share a component if their fingerprints link;
-an empty table gives no row."""
+a very long text counts whole; an empty table gives no row."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qsolake.llm.common import blocks, components, dealt, forest, met, short_batches, written
+from qsolake.llm.common import NO_ID, blocks, components, dealt, forest, met, short_batches, tidied, written
 
 SHINGLE, DISTANCE, HASH_SEED = 4, 4, 42
 #: Distinct fingerprints that a key should hold on average, if bits were even.
@@ -51,6 +51,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, others: list[str] = ()) -> DataFrame:
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], np.uint64)
@@ -108,14 +109,17 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """docs with one row of each component: the one with its smallest id (a row with an id before one without), of
     these with the smallest text hash. Of rows that agree in both, copies of each other, any one stays."""
-    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col), text_hash.alias("_hash"))
-    rows = written(fingerprints(keyed, "doc_id", text_col, ["_hash"]), "fingerprint-rows")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_hash").alias("hash"))).alias("best")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rid = F.col(id_col).cast("long")
+    keys = [rid.isNull().alias("_none"), F.coalesce(rid, F.lit(NO_ID)).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_hash")]
+    rows = written(fingerprints(docs.select(*keys, F.col(text_col).alias("text")).withColumn("none", F.col("_none").cast("long")), "_id", "text", ["none", "_hash"]), "fingerprint-rows")
+    best = F.min(F.struct(F.col("none"), F.col("doc_id").alias("id"), F.col("_hash").alias("hash"))).alias("best")
     classes = written(rows.groupBy("fp").agg(best), "fingerprint-best")
     parts = components(links(classes.select("fp"), distance), "fingerprint-links").withColumnRenamed("node", "fp")
     member = classes.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    chosen = member.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.id").alias("_id"), F.col("best.hash").alias("_hash"))
-    # An id and a text have one fingerprint, so they name one component.
-    found = docs.withColumn("_hash", text_hash).join(chosen.withColumnRenamed("_hash", "_chosen"), (F.col(id_col).cast("long").eqNullSafe(F.col("_id"))) & (F.col("_hash") == F.col("_chosen")))
-    return found.dropDuplicates(["_id", "_chosen"]).select(docs.columns)
+    chosen = member.groupBy("component").agg(F.min("best").alias("best")).select(
+        (F.col("best.none") == 1).alias("_none"), F.col("best.id").alias("_id"), F.col("best.hash").alias("_hash")
+    )
+    # An id and a text have one fingerprint, so they name one component; equal rows are combined before the shuffle.
+    names = ["_none", "_id", "_hash"]
+    return docs.select(*keys, row).groupBy(*names).agg(F.first("_row").alias("_row")).join(chosen, names).select("_row.*")

@@ -6,7 +6,7 @@ NAME.docs.arrow the place of each document in them. A task returns one manifest
 repeated attempt are never referred to. Ids are stored in the narrowest unsigned type that holds the vocabulary.
 
 Defined cases: a null or empty text is its end id alone; rows with a null id come first; rows that repeat an id
-are each written, ordered by their text; an empty table gives no file and no row; other columns are ignored."""
+are each written, ordered by the hash of their text; an id that is no integer is refused; an empty table gives no file and no row; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from qsolake.llm.common import new_path, short_batches, tasks, written
+from qsolake.llm.common import new_path, short_batches, tasks, tidied, written
 from qsolake.llm.tokens import default_tokenizer, encoder
 
 SEQUENCE = 2048
@@ -107,8 +107,10 @@ def write_token_files(
     spark = docs.sparkSession
     folder = folder or new_path(spark, "token-files")
     tokenizer = tokenizer or default_tokenizer()
-    id_type = docs.select(F.col(id_col).alias("id"))
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type.dtypes[0][1]]
+    id_type = docs.select(F.col(id_col).alias("id")).dtypes[0][1]
+    if id_type not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError(f"{id_col} is {id_type}; token files need an integer id")
+    docs = docs.withColumn(id_col, F.col(id_col).cast("long"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part = encoder(tokenizer), TaskContext.get().partitionId()
@@ -120,7 +122,7 @@ def write_token_files(
                 tokens = _Writer(f"{name}.tokens.arrow", code.dtype, length)
                 system, path = filesystem(f"{name}.docs.arrow")
                 sink = system.open_output_stream(path)
-                schema = pa.schema([("doc_id", arrow_id), ("start", pa.int64()), ("n_tokens", pa.int64())])
+                schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
                 index = pa.ipc.new_file(sink, schema)
             end = np.array([end_id], code.dtype).tobytes()
             starts, counts = [], []
@@ -141,9 +143,9 @@ def write_token_files(
                 {"part": pa.array([part], pa.int32()), "tokens_file": [f"{name}.tokens.arrow"], "docs_file": [f"{name}.docs.arrow"], "n_docs": [n_docs], "n_tokens": [tokens.total]}
             )
 
-    rows = short_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    ranges = rows.repartitionByRange(tasks(spark), "id").sortWithinPartitions("id", "text")
-    return written(ranges.mapInArrow(write, MANIFEST), "token-manifest")
+    rows = short_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("hash"))
+    ranges = rows.repartitionByRange(tasks(spark), "id", "hash").sortWithinPartitions("id", "hash", "text")
+    return written(ranges.select("id", "text").mapInArrow(tidied(write), MANIFEST), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:

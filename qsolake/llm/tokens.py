@@ -25,7 +25,7 @@ TAIL = ".,;:!?\"#$%&()*+-/<=>@[\\]^_`{|}~"
 ODD = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n\t\r"]
 RUNS = ("  ", " \n", " \t", " \r")
 #: Entries of a memo.
-MEMO = 300_000
+MEMO = 150_000
 
 
 def is_run(text: str) -> bool:
@@ -67,12 +67,16 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    """The ids that the tokenizers library gives with add_special_tokens=False. A string of an added token in a text
+    gives that token's id, as there; with literal it is text like any other."""
+
+    def __init__(self, path: str, literal: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
+        self.added = [] if literal else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = np.dtype(self.code)
         self.model = self.tokenizer.model
@@ -104,7 +108,7 @@ class Encoder:
         """The ids of the whole text as bytes of self.dtype; null is an empty text."""
         if not text:
             return b""
-        if any(c in text for c in ODD):
+        if any(c in text for c in ODD) or any(t in text for t in self.added):
             return self._whole(text)
         if any(c in text for c in RUNS):
             return self._word(text)
@@ -125,6 +129,6 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, literal: bool = False) -> Encoder:
     """One per Python worker, so that the memo outlives a task."""
-    return Encoder(path)
+    return Encoder(path, literal)

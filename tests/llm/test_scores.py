@@ -1,5 +1,6 @@
 """Rules, mixing, toxicity and importance resampling."""
 
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -143,6 +144,25 @@ def test_importance_keeps_the_largest_keys(spark):
     assert better > 0.7
 
 
+def test_importance_weights_against_plain(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices(plain.WORDS[:40] if i % 3 else plain.WORDS[20:60], k=rng.randint(0, 30)))) for i in range(60)]
+    labels = [(i, int(i % 3 == 0)) for i in range(60)]
+    made = importance.importance_weights(
+        spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    )
+    hashes = importance.Hashes()
+    own = {i: importance.buckets(t, hashes).tolist() for i, t in rows}
+    good = {i for i, q in labels if q and zlib.crc32(str(i).encode()) % 3 != 1}
+    target, raw = Counter(b for i in good for b in own[i]), Counter(b for x in own.values() for b in x)
+    n = importance.BUCKETS
+    ratio = lambda b: math.log((target[b] + 1) / (target.total() + n)) - math.log((raw[b] + 1) / (raw.total() + n))
+    for r in made[0].collect():
+        want = sum(map(ratio, own[r.doc_id]))
+        assert math.isclose(r.log_ratio, want, abs_tol=1e-9)
+        assert math.isclose(r.log_weight, want * importance.SHARPNESS / max(len(own[r.doc_id]), 1), abs_tol=1e-9)
+
+
 def test_importance_of_awkward_rows(spark):
     rows = plain.awkward()
     docs = spark.createDataFrame(rows, plain.DOCS)

@@ -69,8 +69,12 @@ def test_one_document_of_each_group_stays(spark):
     rows = plain.awkward()
     kept = simhash.simhash_dedup(spark.createDataFrame(rows, plain.DOCS))
     assert kept.columns == ["doc_id", "text", "source", "n_lines"]
+    # One row of each component, also where one id names two of them.
+    prints = {fingerprint(r[1]) for r in rows}
+    group = plain.joined(prints, [(a, b) for a, b in combinations(sorted(prints), 2) if (a ^ b).bit_count() <= 4])
+    named = {group[int(p, 16)]: c for _, p, c in expected(rows)}
     ids = [r.doc_id for r in kept.collect() if r.doc_id is not None]
-    assert sorted(ids) == sorted({c for d, _, c in expected(rows) if c is not None})
+    assert sorted(ids) == sorted(c for c in named.values() if c is not None)
 
 
 def test_one_text_of_each_group_stays(spark):
@@ -86,6 +90,13 @@ def test_one_text_of_each_group_stays(spark):
     assert all(r.doc_id == least[group[fingerprint(r.text)]] for r in kept)
 
 
+def test_clashing_columns_stay(spark):
+    docs = spark.createDataFrame(plain.awkward(), plain.DOCS).selectExpr("*", "'x' as _hash", "1 as _id", "2 as _none", "3 as fp", "'y' as _row")
+    kept = simhash.simhash_dedup(docs)
+    assert kept.columns == docs.columns
+    assert {tuple(r)[4:] for r in kept.collect()} == {("x", 1, 2, 3, "y")}
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], plain.DOCS)
     assert simhash.simhash_components(empty).count() == 0

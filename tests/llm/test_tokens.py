@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -20,7 +21,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @functools.cache
 def whole():
     made = Tokenizer.from_file(PATH)
-    made.encode_special_tokens = True
     return lambda text: made.encode(text or "", add_special_tokens=False).ids
 
 
@@ -31,9 +31,22 @@ def test_cut_text_encodes_as_the_whole(text):
     assert np.frombuffer(code.ids(text), code.dtype).tolist() == whole()(text)
 
 
-def test_special_strings_are_ordinary_text():
-    code = encoder(PATH)
-    assert 50256 not in np.frombuffer(code.ids("a <|endoftext|> b"), code.dtype)
+def test_special_strings_are_as_in_the_library_or_text():
+    text = "a <|endoftext|> b <|endoftext|>"
+    code, literal = encoder(PATH), encoder(PATH, True)
+    assert np.frombuffer(code.ids(text), code.dtype).tolist() == whole()(text)
+    assert 50256 not in np.frombuffer(literal.ids(text), literal.dtype)
+    assert literal.tokenizer.decode(np.frombuffer(literal.ids(text), literal.dtype).tolist(), skip_special_tokens=False) == text
+
+
+def test_ids_that_are_no_integers_are_refused(spark):
+    for kind, ok in (("string", False), ("smallint", True)):
+        docs = spark.createDataFrame([(1, "a b")], "doc_id int, text string").selectExpr(f"cast(doc_id as {kind}) doc_id", "text")
+        if ok:
+            assert [r.doc_id for r in token_files.read_token_files(token_files.write_token_files(docs)).collect()] == [1]
+        else:
+            with pytest.raises(TypeError):
+                token_files.write_token_files(docs)
 
 
 def test_files_round_trip(spark):
