@@ -25,7 +25,7 @@ TAIL = ".,;:!?\"#$%&()*+-/<=>@[\\]^_`{|}~"
 ODD = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n\t\r"]
 RUNS = ("  ", " \n", " \t", " \r")
 #: Entries of a memo.
-MEMO = 150_000
+MEMO = 400_000
 
 
 def is_run(text: str) -> bool:
