@@ -11,10 +11,15 @@ from qsolake.functions.radio import PORTABLE_CALLS, base_call, lookup_candidates
 def country_lookup(frame: DataFrame, call_col: str, countries: DataFrame, prefix: str) -> DataFrame:
     """frame with {prefix}country, _continent, _cq, _itu and _matched of the call, null where no prefix fits.
 
-    countries: prefix, exact, country, continent, cq_zone, itu_zone. Each distinct call is looked up once: its
+    Also {prefix}primary, the entity's primary prefix. countries: prefix, exact, country, continent, cq_zone, itu_zone
+    and primary (taken for the prefix where there is no such column). Each distinct call is looked up once: its
     candidates' leading parts meet the table in an equi-join, and the best is the earliest candidate, an exact
     entry before a prefix, the longest prefix. Of entries that repeat a prefix the first (smallest) one counts."""
-    table = countries.groupBy("prefix", "exact").agg(F.min(F.struct("country", "continent", "cq_zone", "itu_zone")).alias("entity"))
+    if "primary" not in countries.columns:
+        countries = countries.withColumn("primary", F.col("prefix"))
+    table = countries.groupBy("prefix", "exact").agg(F.min(F.struct("country", "continent", "cq_zone", "itu_zone", "primary")).alias("entity"))
+    named_usa = (F.col("entity.country") == "United States") | F.col("entity.country").startswith("USA ")
+    usa = table.where(named_usa).agg(F.min("entity").alias("usa"))  # one row
     calls = frame.select(F.col(call_col).alias("_call")).distinct()
     tries = calls.select("_call", F.posexplode(lookup_candidates(F.col("_call"))).alias("nth", "candidate"))
     leading = tries.select(
@@ -27,13 +32,13 @@ def country_lookup(frame: DataFrame, call_col: str, countries: DataFrame, prefix
     )
     continent = F.when(F.col("hit.entity.continent") == "AN", "OC").otherwise(F.replace(F.col("hit.entity.continent"), F.lit("*"), F.lit("")))
     # calls of the pattern KG4xxx are ordinary US calls, not Guantanamo's
-    us = F.col("_call").rlike("^KG4[A-Z]{3}$") & (F.col("hit.prefix") == "KG4") & (F.col("hit.entity.country") == "Guantanamo Bay")
+    us = base_call(F.col("_call")).rlike("^KG4[A-Z]{3}$") & (F.col("hit.prefix") == "KG4") & (F.col("hit.entity.country") == "Guantanamo Bay")
+    best = best.join(F.broadcast(usa), us & F.col("usa").isNotNull(), "left")
+    best = best.withColumn("hit", F.when(F.col("usa").isNotNull(), F.struct(F.col("usa").alias("entity"), F.lit("K").alias("prefix"))).otherwise(F.col("hit")))
     named = best.select(
-        "_call",
-        F.when(us, "United States").otherwise(F.col("hit.entity.country")).alias(f"{prefix}country"),
-        F.when(us, "NA").otherwise(continent).alias(f"{prefix}continent"),
+        "_call", F.regexp_replace(F.col("hit.entity.country"), ":$", "").alias(f"{prefix}country"), continent.alias(f"{prefix}continent"),
         F.col("hit.entity.cq_zone").alias(f"{prefix}cq"), F.col("hit.entity.itu_zone").alias(f"{prefix}itu"),
-        F.when(us, "K").otherwise(F.col("hit.prefix")).alias(f"{prefix}matched"),
+        F.col("hit.entity.primary").alias(f"{prefix}primary"), F.col("hit.prefix").alias(f"{prefix}matched"),
     )
     return frame.join(named, F.col(call_col).eqNullSafe(F.col("_call")), "left").drop("_call")
 

@@ -1,8 +1,12 @@
 """Contest scoring: declarative rules over a frame of contacts, and the totals that follow from them.
 
-A rule is a set of Column builders. The engine flags duplicates in log order, evaluates points, bonus and
-multiplier once a row, and every total is an aggregate of those rows. Rules that remember what came before in the
-log (first seen, third band) are windows over the log in its order."""
+A rule (qsolake.plans.rules) is a set of Column builders. The engine flags duplicates in log order, evaluates points,
+bonus and multiplier once a row, and brings the rows down to one for each log, band and multiplier; every total is
+made from those. Rules that remember what came before in the log are windows over the log in its order.
+
+Contacts have doc_id, line_no, call, my_call, freq, mode, qso_date, time_on, sent and rcvd (exchanges), my_grid, grid,
+and what operators.lookup adds for the worked call (w_) and the station (s_). Optional: stx_string, srx_string, srx,
+cqz, qth (cells of their own for parts of the exchange) and raw (the log line)."""
 
 from __future__ import annotations
 
@@ -12,16 +16,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from qsolake.functions.geo import distance_km
-from qsolake.functions.radio import band_from_frequency, callsign_prefix, trimmed, wpx_prefix
-from qsolake.functions.values import leading_int
+from qsolake.functions.radio import band_from_frequency, let, trimmed
 from qsolake.operators.contacts import flag_duplicates
+from qsolake.plans.contest_sets import LEGACY_BANDS
 
 Builder = Callable[[], Column]
-
-
-def one() -> Column:
-    return F.lit(1)
+OPTIONAL = ["stx_string", "srx_string", "srx", "cqz", "qth"]
+CONTINENTS = ["AF", "AS", "EU", "NA", "OC", "SA"]
 
 
 def no_multiplier() -> Column:
@@ -32,319 +33,184 @@ def no_multiplier() -> Column:
 class Rule:
     """points, bonus, multiplier: expressions over a contact. duplicates: key columns, or None to count all.
 
-    scope: whether a multiplier counts once a log or once a band. fixed, minimum: of the number of multipliers.
-    factors: a factor for each band, in place of multipliers. total: product, band_product, band_qso_product,
-    band_factor_product, plus_bonus or continents. tokens: the multiplier holds several values, separated by ';'."""
+    band: how the band is told, see bands(). tokens: the multiplier holds several values, separated by ';'.
+    scope: how often a multiplier counts, once a log ("global"), once a band, or by the column that a builder gives.
+    with_points: only of contacts with points. weight: what a multiplier counts. fixed, minimum: of their number.
+    factors: a factor for each band, in place of multipliers or beside them. first_band: a band's own number has only
+    the multipliers that are new there. total: see totals(). prepare: adds columns that the builders need."""
 
     id: str
     points: Builder
     multiplier: Builder = no_multiplier
     bonus: Builder = lambda: F.lit(0)
     contests: tuple[str, ...] = ()
-    duplicates: tuple[str, ...] | None = ("band", "mode_raw", "call_key")
-    scope: str = "global"
+    duplicates: tuple[str, ...] | None = None
+    band: str = "standard"
+    tokens: bool = False
+    scope: str | Builder = "global"
+    with_points: bool = False
+    weight: Builder = lambda: F.lit(1)
     fixed: int | None = None
     minimum: int = 0
     factors: dict[str, int] = field(default_factory=dict)
+    first_band: bool = False
     total: str = "product"
-    tokens: bool = False
-    with_points: bool = False
-
-
-LOW = ["160M", "80M", "40M"]
-BAND_CALL = ("band", "call_key")
-
-
-def text(name: str) -> Column:
-    return trimmed(F.coalesce(F.col(name), F.lit("")))
-
-
-def code(name: str) -> Column:
-    return F.upper(text(name))
-
-
-def mode_is(*modes: str) -> Column:
-    return F.upper("mode").isin(list(modes))
-
-
-def band_is(*bands: str) -> Column:
-    return F.col("band").isin(list(bands))
-
-
-def resolved() -> Column:
-    return F.col("s_country").isNotNull() & F.col("w_country").isNotNull()
-
-
-def same_continent() -> Column:
-    return F.col("s_continent") == F.col("w_continent")
-
-
-def same_entity() -> Column:
-    return F.col("s_country") == F.col("w_country")
-
-
-def on_band(value: Column) -> Column:
-    """0 for an unresolved side or a frequency outside all bands."""
-    return F.when(resolved() & (F.col("band") != "OTHER"), value).otherwise(0)
-
-
-def by_distance(same: Builder | int, near: Builder | int, far: Builder | int) -> Builder:
-    c = lambda v: v() if callable(v) else F.lit(v)
-    return lambda: on_band(F.when(same_entity(), c(same)).when(same_continent(), c(near)).otherwise(c(far)))
-
-
-def from_to(home: str, inside: tuple[int, int, int], outside_home: int, others: tuple[int, int, int]) -> Builder:
-    """Points for contests of one country. Both there: inside by (entity, continent, far); a foreign station working
-    it: outside_home; foreign stations among themselves: others."""
-
-    def build() -> Column:
-        here, there = F.col("s_country") == home, F.col("w_country") == home
-        pick = lambda t: F.when(same_entity(), t[0]).when(same_continent(), t[1]).otherwise(t[2])
-        return on_band(F.when(here, pick(inside)).when(there, outside_home).otherwise(pick(others)))
-
-    return build
-
-
-def low_high(low: int, high: int) -> Column:
-    return F.when(band_is(*LOW), low).otherwise(high)
-
-
-def entity() -> Column:
-    return F.when(F.col("band") != "OTHER", F.coalesce("w_country", F.lit(""))).otherwise("")
-
-
-def wpx() -> Column:
-    return wpx_prefix(F.col("call"))
-
-
-def distance() -> Column:
-    return distance_km(text("my_grid"), text("grid"))
-
-
-def floor_km() -> Column:
-    return F.coalesce(F.floor(distance()), F.lit(0))
-
-
-def km_or_one(rounded: Callable[[Column], Column] = F.floor) -> Column:
-    return F.when((code("my_grid") != "") & (code("my_grid") == code("grid")), 1).otherwise(F.coalesce(rounded(distance()), F.lit(0)))
-
-
-def grid4() -> Column:
-    return F.substring(code("grid"), 1, 4)
-
-
-def zone_and_entity() -> Column:
-    zone = leading_int(F.col("rcvd"))
-    return F.when((F.col("band") != "OTHER") & zone.isNotNull() & F.col("w_country").isNotNull(), F.concat(F.lit("Z"), zone.cast("string"), F.lit(";"), F.col("w_country"))).otherwise("")
-
-
-def in_order(*keys: Column) -> Window:
-    return Window.partitionBy("doc_id", *keys).orderBy("line_no")
-
-
-def first_seen(value: Column, *keys: Column) -> Column:
-    """1 where a value that isn't empty is met for the first time in its log (and keys), else 0."""
-    return F.when((value != "") & (F.row_number().over(in_order(value, *keys)) == 1), 1).otherwise(0)
-
-
-def ages() -> Column:
-    sent, received = leading_int(F.col("sent")), leading_int(F.col("rcvd"))
-    young = (sent < 26).cast("int") + (received < 26).cast("int")
-    return F.when(sent.isNull() | received.isNull(), 0).when(young == 2, 5).when(young == 1, 2).otherwise(1)
-
-
-def yl() -> Column:
-    n = (code("sent") == "YL").cast("int") + (code("rcvd") == "YL").cast("int")
-    return F.when(n == 2, 5).when(n == 1, 3).otherwise(1)
-
-
-def wpx_points() -> Column:
-    home = F.when(F.col("s_continent") == "NA", 2).otherwise(1)
-    return F.when(~resolved(), 0).when(same_entity(), 1).when(same_continent(), low_high(2, 1) * home).otherwise(low_high(6, 3))
-
-
-def remembrance() -> Column:
-    minutes = (F.substring("time_on", 1, 2).try_cast("int") * 60 + F.substring("time_on", 3, 2).try_cast("int"))
-    base = F.when(band_is("160M", "23CM", "13CM", "9CM", "6CM", "3CM", "1.25CM", "6MM", "4MM", "2.5MM", "2MM", "1MM"), 2).otherwise(1)
-    day = F.when((minutes > 660) & (minutes < 960), 3).otherwise(1)
-    return F.when(text("call") == "", 0).otherwise(base * day * F.when(mode_is("CW", "RY"), 2).otherwise(1))
-
-
-def low_power() -> Column:
-    power = F.regexp_extract(F.replace(code("rcvd"), F.lit("W"), F.lit(".")), r"^([+-]?\d+\.?\d*|\.\d+)", 1).try_cast("double")
-    weak, portable = F.coalesce((power > 0) & (power <= 10), F.lit(False)), code("call").rlike("/(M|P)$")
-    return F.when(text("call") == "", 0).when(portable, F.when(weak, 15).otherwise(5)).otherwise(F.when(weak, 10).otherwise(5))
-
-
-def sent_received_first() -> Column:
-    sent, received = F.substring(code("my_grid"), 1, 4), grid4()
-    firsts = first_seen(sent, F.col("band"), received != "") + first_seen(received, F.col("band"), sent != "")
-    return F.when((sent == "") | (received == ""), 0).otherwise(1 + 10 * firsts)
-
-
-def third_band_bonus() -> Column:
-    """2 where a prefix is worked on its third band."""
-    prefix = wpx()
-    new = F.row_number().over(in_order(prefix, F.col("band"))) == 1
-    return F.when(new & (F.sum(F.col("_new_band")).over(in_order(prefix)) == 3), 2).otherwise(0)
-
-
-# Factors of the bands.
-WIA_FACTORS = {
-    "10M": 1, "4M": 1, "2M": 3, "1.25M": 3, "70CM": 5, "33CM": 5, "23CM": 8, "13CM": 10, "9CM": 10, "6CM": 10, "3CM": 10,
-    "1.25CM": 10, "6MM": 10, "4MM": 10, "2.5MM": 10, "2MM": 10, "1MM": 10,
-}
-CQ_VHF_POINTS = {"4M": 2, "2M": 2}
-OCEANIA_POINTS = {"160M": 20, "80M": 10, "40M": 5, "20M": 1, "15M": 2, "10M": 3}
-ARI_SEZ_POINTS = {"160M": 2, "80M": 2, "40M": 1, "20M": 3, "15M": 5, "10M": 5}
+    prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows
 
 
 def per_band(table: dict[str, int], otherwise: int = 0) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for p in table.items() for v in p]), F.col("band")), F.lit(otherwise))
 
 
-RULES = {
-    r.id: r
-    for r in [
-        Rule("generic-prefix", one, lambda: F.coalesce(F.nullif(wpx(), F.lit("")), callsign_prefix(F.col("call")))),
-        Rule("wfd", lambda: F.when(mode_is("PH", "FM", "AM"), 1).otherwise(2), contests=("WFD", "WINTER-FIELD-DAY"), fixed=1),
-        Rule("cq-wpx", wpx_points, wpx, contests=("CQ-WPX",), duplicates=BAND_CALL),
-        Rule("sarl-youth", ages, contests=("SARL-YOUTH-SPRINT",), fixed=1),
-        Rule("sarl-yl", yl, contests=("SARL-YL-SPRINT",), fixed=1),
-        Rule("wia-ha", lambda: F.when(band_is("80M"), F.when(mode_is("CW"), 2).otherwise(1)).otherwise(0), contests=("WIA-HA",), duplicates=BAND_CALL, fixed=1),
-        Rule("radio-popov", lambda: F.greatest(F.coalesce(leading_int(F.col("rcvd")), F.lit(0)), F.lit(0)), contests=("RADIO-POPOV",), duplicates=BAND_CALL, fixed=1),
-        Rule("ig-rtty", lambda: F.when(text("rcvd") != "", 1).otherwise(0), lambda: code("rcvd"), contests=("IG-RY", "IG-RTTY"), duplicates=BAND_CALL),
-        Rule("cwops", one, lambda: code("call"), contests=("CW-OPS",), duplicates=BAND_CALL),
-        Rule("hsc", lambda: F.when(text("rcvd") == "", 0).when((code("rcvd") != "NM") & (leading_int(F.col("rcvd")) > 0), 5).otherwise(1), contests=("HSC", "HSC-CW"), duplicates=BAND_CALL, fixed=1),
-        Rule("euhfc", lambda: F.when(text("rcvd") != "", 1).otherwise(0), lambda: code("rcvd"), contests=("EUHFC", "EU-HF"), duplicates=BAND_CALL, scope="band"),
-        Rule("spar-wfd", lambda: F.when(mode_is("CW", "PH", "RY", "TV", "SA"), 1).otherwise(0), lambda: F.when(mode_is("CW", "PH", "RY", "TV", "SA"), code("mode")).otherwise(""), contests=("SPAR-WFD",), duplicates=("band", "mode_key", "call_key"), scope="band"),
-        Rule("popov-vhf", floor_km, contests=("POPOV-VHF",), duplicates=None, fixed=1),
-        Rule("tmc-rtty", floor_km, contests=("TMC-RTTY",), duplicates=None, fixed=1),
-        Rule("pears-vhf", km_or_one, grid4, contests=("PEARS-VHF-UHF",), duplicates=None, scope="band", total="band_product"),
-        Rule("digifest", km_or_one, grid4, contests=("DIGIFEST",), duplicates=None),
-        Rule("wia-vhf", sent_received_first, grid4, contests=("WIA-VHF-UHF",), duplicates=None, factors=WIA_FACTORS),
-        Rule("aegean-vhf", lambda: km_or_one(F.ceil), grid4, contests=("AEGEAN-VHF",), duplicates=None, scope="band", total="band_qso_product"),
-        Rule("rsgb-low-power", low_power, contests=("RSGB-LOW-POWER",), duplicates=None, fixed=1),
-        Rule("remembrance-day", remembrance, contests=("REMEMBRANCE-DAY",), duplicates=None, fixed=1),
-        Rule("bdm-ww-rtty", lambda: F.when(~resolved(), 0).when(same_continent(), 5).otherwise(10), contests=("BDM-WW-RTTY",), duplicates=None, fixed=1),
-        Rule("cq-vhf", lambda: per_band(CQ_VHF_POINTS, 1), lambda: F.when((grid4() != "") & (code("my_grid") != ""), F.concat(F.substring(code("my_grid"), 1, 4), F.lit(">"), grid4())).otherwise(""), contests=("CQ-VHF",), duplicates=None, scope="band"),
-        Rule("ari-sez", lambda: per_band(ARI_SEZ_POINTS), lambda: F.when(text("rcvd") != "", F.concat(F.when(mode_is("CW"), "CW").otherwise("PH"), F.substring(code("rcvd"), 1, 4))).otherwise(""), contests=("ARI-SEZ",), duplicates=None, scope="band"),
-        Rule("ww-digi", lambda: F.coalesce(F.floor(F.ceil(distance()) / 3000) + 1, F.lit(0)), grid4, contests=("WW-DIGI",), duplicates=None, scope="band", total="band_product"),
-        Rule("dmc-rtty", lambda: F.when(F.col("band") != "OTHER", 1).otherwise(0), wpx, contests=("DMC-RTTY",), duplicates=None),
-        Rule("sarl-hf", lambda: F.when(mode_is("PH"), 1).otherwise(2), wpx, bonus=third_band_bonus, contests=("SARL-HF-CW", "SARL-HF-PHONE"), duplicates=None, scope="band", total="plus_bonus"),
-        Rule("10m-rtty", lambda: F.when(band_is("10M"), 1).otherwise(0), entity, contests=("10M-RTTY",), duplicates=None),
-        Rule("aadx", lambda: on_band(F.when(band_is("160M"), 3).when(band_is("80M", "12M"), 2).otherwise(1) * F.when((F.col("s_continent") == "AS") & (F.col("w_continent") != "AS"), 3).otherwise(1)), lambda: F.when(F.col("s_continent") == "AS", entity()).otherwise(F.coalesce("w_continent", F.lit(""))), contests=("AADX-CW", "AADX-SSB"), duplicates=None, scope="band"),
-        Rule("cq-ww", by_distance(0, lambda: F.when(F.col("s_continent") == "NA", 2).otherwise(1), 3), zone_and_entity, contests=("CQ-WW-CW", "CQ-WW-SSB"), duplicates=None, scope="band", tokens=True),
-        Rule("cq-ww-rtty", by_distance(1, 2, 3), zone_and_entity, contests=("CQ-WW-RTTY",), duplicates=None, scope="band", tokens=True),
-        Rule("epc-ww-dx", by_distance(1, lambda: F.when(band_is("15M", "10M"), 3).otherwise(2), lambda: F.when(band_is("80M"), 6).when(band_is("10M"), 5).otherwise(4)), entity, contests=("EPC-WW-DX",), duplicates=None, scope="band"),
-        Rule("polska-bpsk63", by_distance(1, 2, 3), entity, contests=("POLSKA-WW-BPSK63",), duplicates=None, scope="band", with_points=True),
-        Rule("ft8-dx", one, entity, contests=("FT8-DX", "FT8-RU"), duplicates=None, with_points=True),
-        Rule("gacw", by_distance(0, 1, lambda: F.when(F.col("w_continent") == "SA", 5).otherwise(3)), zone_and_entity, contests=("GACW",), duplicates=None, scope="band", tokens=True),
-        Rule("jarts", by_distance(2, 2, 3), entity, contests=("JARTS-WW-RTTY",), duplicates=None, scope="band"),
-        Rule("marconi-memorial", one, entity, contests=("MARCONI-MEMORIAL",), duplicates=None, scope="band"),
-        Rule("oceania-dx", lambda: F.when((F.col("s_continent") == "OC") | (F.col("w_continent") == "OC"), per_band(OCEANIA_POINTS)).otherwise(0), wpx, contests=("OCEANIA-DX-CW", "OCEANIA-DX-SSB"), duplicates=None, scope="band"),
-        Rule("radio-ww-rtty", by_distance(5, 5, 10), entity, contests=("RADIO-WW-RTTY",), duplicates=None, scope="band"),
-        Rule("ru-ww-psk", by_distance(lambda: low_high(2, 1), lambda: low_high(6, 3), lambda: low_high(10, 5)), entity, contests=("RU-WW-PSK",), duplicates=None, scope="band"),
-        Rule("sartg-rtty", by_distance(5, 10, 15), entity, contests=("SARTG-RTTY",), duplicates=None, scope="band"),
-        Rule("dl-dx-rtty", by_distance(5, lambda: F.lit(10) + F.when(F.col("w_country") == "Germany", 3).otherwise(0), lambda: F.lit(15) + F.when(F.col("w_country") == "Germany", 5).otherwise(0)), entity, contests=("DL-DX-RTTY",), duplicates=None, scope="band", with_points=True),
-        Rule("yu-dx", by_distance(1, 2, 4), lambda: code("rcvd"), contests=("YU-DX", "YUDX"), duplicates=None, scope="band"),
-        Rule("wag", from_to("Germany", (1, 3, 5), 3, (0, 0, 0)), entity, contests=("WAG-CW", "WAG-SSB"), duplicates=None, scope="band"),
-        Rule("jidx", lambda: F.when(resolved() & ((F.col("s_country") == "Japan") != (F.col("w_country") == "Japan")), per_band({"160M": 4, "80M": 2, "40M": 1, "20M": 1, "15M": 1, "10M": 2})).otherwise(0), zone_and_entity, contests=("JIDX-CW", "JIDX-SSB"), duplicates=None, scope="band", tokens=True),
-        Rule("spdx-rtty", by_distance(2, 5, 10), entity, contests=("SP-DX-RTTY",), duplicates=None, scope="band", total="continents"),
-        Rule("africa-dx", lambda: on_band(F.when(F.col("w_continent") == "AF", 2).otherwise(1)), lambda: F.when(F.col("w_continent") == "AF", entity()).otherwise(""), contests=("AFRICA-DX",), duplicates=None, scope="band", total="band_product_one"),
-        Rule("cwjf-first-country", by_distance(1, lambda: F.when(band_is("80M", "40M"), 4).otherwise(2), lambda: F.when(band_is("80M", "40M"), 6).otherwise(3)), lambda: F.when(first_seen(entity()) == 1, entity()).otherwise(""), duplicates=None),
-    ]
-}
-
-
-def rule_for(contest: str) -> str:
-    """The rule of a contest's name, generic-prefix where none is made for it."""
-    name = contest.strip().upper()
-    exact = [r.id for r in RULES.values() if name in r.contests]
-    near = [r.id for r in RULES.values() if any(name.startswith(c) for c in r.contests)]
-    return (exact or near or ["generic-prefix"])[0]
+def bands(kind: str) -> Column:
+    """The band of a contact: standard, legacy (with the tokens of VHF logs), or one range of kHz for all."""
+    standard = F.coalesce(F.nullif(band_from_frequency(F.col("freq")), F.lit("")), F.lit("OTHER"))
+    if kind == "standard":
+        return standard
+    if kind == "legacy":
+        token = F.try_element_at(F.create_map(*[F.lit(v) for p in LEGACY_BANDS.items() for v in p]), F.upper(trimmed(F.coalesce("freq", F.lit("")))))
+        return F.coalesce(token, standard)
+    name, low, high = kind.split(":")
+    return F.when(khz().between(float(low), float(high)), name).otherwise("OTHER")
+
+
+def khz() -> Column:
+    """The number that the frequency starts with, taken as kHz."""
+    return F.regexp_extract(F.coalesce("freq", F.lit("")), r"^\s*([+-]?(?:\d+\.?\d*|\.\d+))", 1).try_cast("double")
 
 
 def score_rows(contacts: DataFrame, rule: Rule) -> DataFrame:
     """contacts with band, duplicate, points, bonus_points and multiplier; crossed-out contacts left out."""
     if "raw" in contacts.columns:
         contacts = contacts.where(~F.coalesce(F.col("raw"), F.lit("")).startswith("X-QSO:"))
-    band = F.coalesce(F.nullif(band_from_frequency(F.col("freq")), F.lit("")), F.lit("OTHER"))
-    rows = (
-        contacts.withColumn("band", band).withColumn("call_key", F.upper("call")).withColumn("mode_raw", F.col("mode"))
-        .withColumn("mode_key", F.upper("mode"))
+    missing = [c for c in OPTIONAL if c not in contacts.columns]
+    rows = contacts.withColumns({c: F.lit("") for c in missing}).withColumns(
+        {"band": bands(rule.band), "call_key": F.upper("call"), "mode_raw": F.col("mode"), "mode_key": F.upper("mode")}
     )
-    rows = rows.withColumn("_new_band", F.when(F.row_number().over(in_order(wpx(), F.col("band"))) == 1, 1).otherwise(0)) if rule.id == "sarl-hf" else rows
+    rows = rule.prepare(rows)
     if rule.duplicates is None:
         rows = rows.withColumn("duplicate", F.lit(False))
     else:
         rows = flag_duplicates(rows, [F.col(c) for c in rule.duplicates])
     keep = lambda v, nothing: F.when(F.col("duplicate"), F.lit(nothing)).otherwise(v)
-    return (
-        rows.withColumn("points", keep(rule.points().cast("long"), 0)).withColumn("bonus_points", keep(rule.bonus().cast("long"), 0))
-        .withColumn("multiplier", keep(F.coalesce(rule.multiplier(), F.lit("")), "")).drop("call_key", "mode_raw", "_new_band")
-        .withColumnRenamed("mode_key", "mode_upper")
+    values = {
+        "points": keep(F.coalesce(rule.points().cast("long"), F.lit(0)), 0), "bonus_points": keep(rule.bonus().cast("long"), 0),
+        "multiplier": keep(F.coalesce(rule.multiplier(), F.lit("")), ""),
+    }
+    added = [c for c in rows.columns if c.startswith("_")]
+    return rows.withColumns(values).drop("call_key", "mode_raw", *missing, *added).withColumnRenamed("mode_key", "mode_upper")
+
+
+def multiplier_tokens(rule: Rule) -> Column:
+    """The multipliers of a row that count, without repeats."""
+    counts = ~F.col("duplicate") & (F.col("points") > 0 if rule.with_points else F.lit(True))
+    value = F.when(counts, F.col("multiplier")).otherwise("")
+    parts = F.transform(F.split(value, ";"), trimmed) if rule.tokens else F.array(value)
+    return F.array_distinct(F.filter(parts, lambda t: t != ""))
+
+
+def by_multiplier(rows: DataFrame, rule: Rule) -> DataFrame:
+    """One row for each log, band and multiplier (null for contacts without), with the sums of its contacts.
+
+    A contact of several multipliers is summed at its first. news: the multiplier counts here, as it does nowhere
+    before in its log or band."""
+    known = (F.col("band") != "OTHER") & F.col("w_country").isNotNull()
+    place = sum((F.when(F.col("w_continent") == c, 1 << i).otherwise(0) for i, c in enumerate(CONTINENTS)), F.lit(0))
+    each = rows.select(
+        "doc_id", "band", "line_no", "duplicate", "points", "bonus_points", known.alias("known"), place.alias("place"),
+        F.posexplode_outer(multiplier_tokens(rule)).alias("nth", "token"),
+    ).withColumn("head", F.coalesce(F.col("nth") == 0, F.lit(True)))
+    scope = {"global": F.lit(""), "band": F.col("band")}.get(rule.scope) if isinstance(rule.scope, str) else rule.scope()
+    scored = F.col("points") > 0
+    small = each.withColumn("scope", scope).groupBy("doc_id", "band", "scope", "token").agg(
+        F.count_if(F.col("head") & ~F.col("duplicate")).alias("qsos"), F.count_if(F.col("head") & F.col("duplicate")).alias("duplicates"),
+        F.sum(F.when(F.col("head"), F.col("points")).otherwise(0)).alias("points"),
+        F.sum(F.when(F.col("head"), F.col("bonus_points")).otherwise(0)).alias("bonus"),
+        F.count_if(F.col("head") & F.col("known")).alias("accepted"), F.bool_or(scored & ~F.col("duplicate")).alias("active"),
+        F.bit_or(F.when(scored, F.col("place")).otherwise(0)).alias("places"), F.min("line_no").alias("first"),
+    )
+    order = Window.partitionBy("doc_id", "scope", "token").orderBy("first", "band")
+    return small.withColumn("news", F.col("token").isNotNull() & (F.row_number().over(order) == 1))
+
+
+def by_band_parts(rows: DataFrame, rule: Rule) -> DataFrame:
+    """One row for each log and band: sums, own (multipliers in the band), new (those that count here)."""
+    continent = F.col("token").startswith("CONT:") & F.lit(rule.total == "continents_apart")
+    weight = rule.weight()
+    return by_multiplier(rows, rule).groupBy("doc_id", "band").agg(
+        *[F.sum(c).cast("long").alias(c) for c in ("qsos", "duplicates", "points", "bonus", "accepted")],
+        F.bool_or("active").alias("active"), F.bit_or("places").alias("places"),
+        F.sum(F.when(F.col("token").isNotNull() & ~continent, weight).otherwise(0)).cast("long").alias("own"),
+        F.sum(F.when(F.col("news") & ~continent, weight).otherwise(0)).cast("long").alias("new"),
+        F.sum(F.when(F.col("news") & continent, 1).otherwise(0)).cast("long").alias("continents"),
     )
-
-
-def multiplier_tokens(rows: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, band, token of every multiplier that counts."""
-    counted = rows.where(~F.col("duplicate") & (F.col("multiplier") != ""))
-    if rule.with_points:
-        counted = counted.where("points > 0")
-    token = F.explode(F.split("multiplier", ";")) if rule.tokens else F.col("multiplier")
-    return counted.select("doc_id", "band", token.alias("token")).where("token <> ''")
 
 
 def by_band(rows: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, band, qsos, points, bonus, multipliers."""
-    sums = rows.groupBy("doc_id", "band").agg(
-        F.count_if(~F.col("duplicate")).alias("qsos"), F.sum("points").cast("long").alias("points"),
-        F.sum("bonus_points").cast("long").alias("bonus"),
-    )
-    if rule.factors:
-        factor = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for p in rule.factors.items() for v in p]), F.col("band")), F.lit(0))
-        return sums.withColumn("multipliers", factor.cast("long"))
-    tokens = multiplier_tokens(rows, rule).groupBy("doc_id", "band").agg(F.count_distinct("token").alias("multipliers"))
-    return sums.join(tokens, ["doc_id", "band"], "left").withColumn("multipliers", F.coalesce("multipliers", F.lit(0)).cast("long"))
+    if rule.factors and rule.total == "factors":
+        n = per_band(rule.factors)
+    else:
+        n = F.col("new") if rule.first_band else F.col("own")
+    return by_band_parts(rows, rule).select("doc_id", "band", "qsos", "points", "bonus", n.cast("long").alias("multipliers"))
+
 
+def totals(rows: DataFrame, rule: Rule, qtcs: DataFrame | None = None) -> DataFrame:
+    """doc_id, qsos, duplicates, points, multipliers, total: one row a log.
 
-def totals(rows: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, qsos, duplicates, points, multipliers, total: one row a log."""
-    bands = by_band(rows, rule)
-    n = F.col("multipliers")
+    total: product of points and multipliers; band_product, band_qso_product, band_factor_product and
+    band_product_bonus sum up products of the bands; at_least_one does so with one multiplier at least; jolly with a
+    hundred a special station; factors with the band's factor; twice_and_bonus and by_500 add to the points;
+    continents, continents_apart and accepted have a third factor. qtcs (doc_id, n) count as points for with_qtcs."""
+    p, n, own = F.col("points"), F.col("multipliers"), F.col("own")
     product = {
-        "band_product": F.col("points") * n, "band_qso_product": F.col("qsos") * F.col("points") * n,
-        "band_product_one": F.col("points") * F.greatest(n, F.lit(1)),
-    }.get(rule.total, F.col("points") * n if rule.factors else F.lit(0))
-    per = bands.groupBy("doc_id").agg(
-        F.sum("qsos").alias("qsos"), F.sum("points").alias("points"), F.sum("bonus").alias("bonus"),
-        F.sum(product.cast("long")).alias("by_band"), F.sum(F.when(F.col("points") > 0, n).otherwise(0) if rule.factors else n).alias("band_multipliers"),
+        "band_product": p * own, "band_qso_product": F.col("qsos") * p * own, "band_product_bonus": p * own + F.col("bonus"),
+        "band_factor_product": p * own * per_band(rule.factors) if rule.factors else F.lit(0),
+        "at_least_one": F.when(F.col("active"), p * F.greatest(own, F.lit(1))).otherwise(0),
+        "jolly": p * F.when(own > 0, own * 100).otherwise(1), "factors": p * per_band(rule.factors) if rule.factors else F.lit(0),
+    }.get(rule.total)
+    count = F.col("new")
+    if rule.total == "at_least_one":
+        count = F.when(F.col("active"), F.greatest(own, F.lit(1))).otherwise(0)
+    elif rule.total == "factors":
+        count = F.when(F.col("active"), per_band(rule.factors)).otherwise(0)
+    elif rule.total == "continents_apart":
+        count = F.col("new") + F.col("continents")
+    parts = by_band_parts(rows, rule)
+    out = parts.groupBy("doc_id").agg(
+        *[F.sum(c).alias(c) for c in ("qsos", "duplicates", "points", "bonus", "accepted", "new", "continents")],
+        F.sum(count.cast("long")).alias("counted"), F.sum(F.coalesce(product, F.lit(0)).cast("long") if product is not None else F.lit(0)).alias("products"),
+        F.bit_count(F.bit_or("places")).alias("places"),
     )
-    extra = rows.groupBy("doc_id").agg(
-        F.count_if("duplicate").alias("duplicates"), F.count_distinct(F.when(F.col("points") > 0, F.col("w_continent"))).alias("continents")
-    )
-    out = per.join(extra, "doc_id")
-    if rule.fixed is not None:
-        count = F.lit(rule.fixed)
-    elif rule.factors or rule.scope == "band":
-        count = F.col("band_multipliers")
-    else:
-        distinct = multiplier_tokens(rows, rule).groupBy("doc_id").agg(F.count_distinct("token").alias("distinct"))
-        out = out.join(distinct, "doc_id", "left")
-        count = F.coalesce("distinct", F.lit(0))
-    out = out.withColumn("multipliers", F.greatest(count, F.lit(rule.minimum)).cast("long"))
-    if rule.factors or rule.total.startswith("band_"):
-        total = F.col("by_band")
-    elif rule.total == "plus_bonus":
-        total = F.col("points") + 2 * F.col("multipliers") + F.col("bonus")
-    elif rule.total == "continents":
-        total = F.col("points") * F.col("multipliers") * F.col("continents")
-    else:
-        total = F.col("points") * F.col("multipliers")
+    count = F.lit(rule.fixed) if rule.fixed is not None else F.greatest("counted", F.lit(rule.minimum))
+    out = out.withColumn("multipliers", count.cast("long"))
+    if qtcs is not None:
+        out = out.join(qtcs.select("doc_id", F.col("n").alias("qtcs")), "doc_id", "left")
+    sent = F.coalesce("qtcs", F.lit(0)) if qtcs is not None else F.lit(0)
+    total = {
+        "product": p * n, "twice_and_bonus": p + n * 2 + F.col("bonus"), "by_500": p + n * 500, "log_bonus": p * n + F.col("bonus"),
+        "continents": p * n * F.greatest("places", F.lit(1)), "continents_apart": p * F.col("new") * F.col("continents"),
+        "accepted": F.col("accepted") * p * n, "with_qtcs": (p + sent) * n,
+    }.get(rule.total, F.col("products"))
     return out.select("doc_id", "qsos", "duplicates", "points", "multipliers", total.cast("long").alias("total"))
 
 
+def formula(rule: Rule) -> Column:
+    """How a row of totals() came about, in words."""
+    number = lambda c: F.format_number(c, 0)
+    said = {
+        "band_product": "Sum of points x multipliers of each band", "band_qso_product": "Sum of contacts x points x multipliers of each band",
+        "band_product_bonus": "Sum of points x multipliers of each band, and distance bonus", "factors": "Sum of points x band factor",
+        "band_factor_product": "Sum of points x multipliers x band factor", "at_least_one": "Sum of points x multipliers (one at least) of each band",
+        "jolly": "Sum of points x special stations x 100 of each band", "twice_and_bonus": "Points + 2 x multipliers + bonus",
+        "by_500": "Points + 500 x multipliers", "log_bonus": "Points + bonus of the station", "continents": "Points x multipliers x continents",
+        "continents_apart": "Points x multipliers x continents", "accepted": "Contacts x points x multipliers", "with_qtcs": "(Points + QTCs) x multipliers",
+    }.get(rule.total)
+    if said:
+        return F.concat(F.lit(said + " ("), number("points"), F.lit(" points, "), number("multipliers"), F.lit(" multipliers)"))
+    return F.concat(number("points"), F.lit(" points x "), number("multipliers"), F.lit(" multipliers"))
+
+
 def grouped(rows: DataFrame, *keys: Column) -> DataFrame:
     """Contacts and points of each group of a log."""
     return rows.groupBy("doc_id", *keys).agg(F.count_if(~F.col("duplicate")).alias("qsos"), F.sum("points").cast("long").alias("points"))
@@ -355,7 +221,10 @@ def by_mode(rows: DataFrame) -> DataFrame:
 
 
 def by_country(rows: DataFrame) -> DataFrame:
-    return grouped(rows, F.coalesce("w_country", F.lit("Unknown")).alias("country"), F.coalesce("w_continent", F.lit("")).alias("continent"))
+    """With place: the country's in its log, most contacts first, then by name."""
+    out = grouped(rows, F.coalesce("w_country", F.lit("Unknown")).alias("country"), F.coalesce("w_continent", F.lit("")).alias("continent"))
+    order = Window.partitionBy("doc_id").orderBy(F.col("qsos").desc(), "country", "continent")
+    return out.withColumn("place", F.row_number().over(order))
 
 
 def by_hour(rows: DataFrame) -> DataFrame:
@@ -368,3 +237,10 @@ def with_overrides(rows: DataFrame, overrides: DataFrame) -> DataFrame:
     return (
         rows.join(o, ["doc_id", "line_no"], "left").withColumn("points", F.coalesce("_p", "points")).withColumn("multiplier", F.coalesce("_m", "multiplier")).drop("_p", "_m")
     )
+
+
+def exchange_part(cell: str, exchange: str, at: int = -1) -> Column:
+    """A cell of its own, upper-cased, else the last (or at-th) word of the exchange as it is."""
+    own = F.upper(trimmed(F.coalesce(F.col(cell), F.lit(""))))
+    words = let(trimmed(F.coalesce(F.col(exchange), F.lit(""))), lambda x: F.try_element_at(F.split(x, r"\s+"), F.lit(at)))
+    return F.coalesce(F.nullif(own, F.lit("")), words, F.lit(""))

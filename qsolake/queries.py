@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from qsolake.functions import geo, radio, values
 from qsolake.operators import contacts, lookup
-from qsolake.plans import scoring, synth
+from qsolake.plans import rules, scoring, synth
 
 BAND_CASE = "CASE " + " ".join(f"WHEN khz BETWEEN {a} AND {b} THEN '{n}'" for a, b, n in radio.BANDS_KHZ) + " ELSE '' END"
 #: Band of the view's frequencies, which are kHz, MHz below 1000, or GHz with a G.
@@ -51,7 +51,7 @@ def located(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
-    return scoring.score_rows(located(spark, sf_dir), scoring.RULES[rule])
+    return scoring.score_rows(located(spark, sf_dir), rules.RULES[rule])
 
 
 QUERIES, ORACLES = {}, {}
@@ -263,7 +263,7 @@ s AS (SELECT *, CASE WHEN duplicate THEN 0 ELSE 1 END AS points, CASE WHEN dupli
 @query("score_by_band", GENERIC + """SELECT doc_id, band, count(*) FILTER (NOT duplicate) AS qsos, sum(points)::BIGINT AS points, 0::BIGINT AS bonus,
   count(DISTINCT nullif(multiplier, '')) AS multipliers FROM s GROUP BY doc_id, band""")
 def score_by_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.by_band(scored(spark, sf_dir, "generic-prefix"), scoring.RULES["generic-prefix"])
+    return scoring.by_band(scored(spark, sf_dir, "generic-prefix"), rules.RULES["generic-prefix"])
 
 
 @query("score_by_mode", GENERIC + "SELECT doc_id, upper(mode) AS mode, count(*) FILTER (NOT duplicate) AS qsos, sum(points)::BIGINT AS points FROM s GROUP BY 1, 2")
@@ -271,7 +271,8 @@ def score_by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.by_mode(scored(spark, sf_dir, "generic-prefix"))
 
 
-@query("score_by_country", GENERIC + "SELECT doc_id, coalesce(w_country, 'Unknown') AS country, coalesce(w_continent, '') AS continent, count(*) FILTER (NOT duplicate) AS qsos, sum(points)::BIGINT AS points FROM s GROUP BY 1, 2, 3")
+@query("score_by_country", GENERIC + """SELECT doc_id, coalesce(w_country, 'Unknown') AS country, coalesce(w_continent, '') AS continent, count(*) FILTER (NOT duplicate) AS qsos, sum(points)::BIGINT AS points,
+  row_number() OVER (PARTITION BY doc_id ORDER BY count(*) FILTER (NOT duplicate) DESC, coalesce(w_country, 'Unknown'), coalesce(w_continent, '')) AS place FROM s GROUP BY 1, 2, 3""")
 def score_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.by_country(scored(spark, sf_dir, "generic-prefix"))
 
@@ -290,7 +291,7 @@ def score_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     overrides = rows.select(
         "doc_id", "line_no", F.when(F.col("line_no") % 50 == 0, 7).cast("long").alias("points"), F.when(F.col("line_no") % 70 == 0, "X1").alias("multiplier")
     ).where("points is not null or multiplier is not null")
-    return scoring.totals(scoring.with_overrides(rows, overrides), scoring.RULES["generic-prefix"])
+    return scoring.totals(scoring.with_overrides(rows, overrides), rules.RULES["generic-prefix"])
 
 
 for _name, _size, _period in (("15m", 15, None), ("60m", 60, None), ("period", 60, (1500, 20000))):
@@ -301,88 +302,3 @@ for _name, _size, _period in (("15m", 15, None), ("60m", 60, None), ("period", 6
     query(f"activity_buckets_{_name}", GENERIC + f"""SELECT doc_id, (epoch_min // {_size} * {_size})::BIGINT AS bucket,
       count(*) FILTER (NOT duplicate) AS qsos, sum(points)::BIGINT AS points FROM s
       {'WHERE epoch_min BETWEEN %d AND %d' % _period if _period else ''} GROUP BY 1, 2""")(_buckets)
-
-#: For the oracle of each rule: points and multiplier of a contact, and how the total is made.
-LOW_SQL = "band IN ('160M', '80M', '40M')"
-OPEN = "s_country IS NOT NULL AND w_country IS NOT NULL"
-ZONE_SQL = f"CASE WHEN band <> 'OTHER' AND regexp_matches(rcvd, '^[0-9]+') AND w_country IS NOT NULL THEN ['Z' || CAST(CAST(rcvd AS INT) AS VARCHAR), w_country] ELSE [] END"
-ENTITY_SQL = "CASE WHEN band <> 'OTHER' THEN coalesce(w_country, '') ELSE '' END"
-GRID_KM = "CASE WHEN my_grid = grid THEN 1 ELSE coalesce(floor(km), 0) END"
-
-
-def _apart(same, near, far, extra: str = "") -> str:
-    return f"CASE WHEN NOT ({OPEN}) OR band = 'OTHER' THEN 0 WHEN s_country = w_country THEN {same} WHEN s_continent = w_continent THEN {near} ELSE {far} END"
-
-
-def _values(table: dict[str, int], otherwise: int = 0) -> str:
-    return "CASE band " + " ".join(f"WHEN '{b}' THEN {v}" for b, v in table.items()) + f" ELSE {otherwise} END"
-
-
-# rule: (points, multiplier or list of tokens, duplicate key or '', scope, total)
-RULE_SQL = {
-    "generic-prefix": ("1", "wpx", "band, mode, upper(call)", "global", "product"),
-    "wfd": ("CASE WHEN upper(mode) IN ('PH', 'FM', 'AM') THEN 1 ELSE 2 END", "'QSO'", "band, mode, upper(call)", "fixed", "product"),
-    "cq-wpx": (f"CASE WHEN NOT ({OPEN}) THEN 0 WHEN s_country = w_country THEN 1 WHEN s_continent = w_continent THEN (CASE WHEN {LOW_SQL} THEN 2 ELSE 1 END) * (CASE WHEN s_continent = 'NA' THEN 2 ELSE 1 END) WHEN {LOW_SQL} THEN 6 ELSE 3 END", "wpx", "band, upper(call)", "global", "product"),
-    "sarl-youth": ("CASE WHEN NOT regexp_matches(rcvd, '^[0-9]') THEN 0 ELSE [1, 2, 5][1 + (CAST(sent AS INT) < 26)::INT + (try_cast(rcvd AS INT) < 26)::INT] END", "'QSO'", "band, mode, upper(call)", "fixed", "product"),
-    "sarl-yl": ("[1, 3, 5][1 + (sent = 'YL')::INT + (rcvd = 'YL')::INT]", "'QSO'", "band, mode, upper(call)", "fixed", "product"),
-    "wia-ha": ("CASE WHEN band = '80M' THEN CASE WHEN upper(mode) = 'CW' THEN 2 ELSE 1 END ELSE 0 END", "'QSO'", "band, upper(call)", "fixed", "product"),
-    "radio-popov": ("coalesce(try_cast(rcvd AS INT), 0)", "'QSO'", "band, upper(call)", "fixed", "product"),
-    "ig-rtty": ("(rcvd <> '')::INT", "rcvd", "band, upper(call)", "global", "product"),
-    "cwops": ("1", "call", "band, upper(call)", "global", "product"),
-    "hsc": ("CASE WHEN rcvd = '' THEN 0 WHEN try_cast(rcvd AS INT) > 0 THEN 5 ELSE 1 END", "'QSO'", "band, upper(call)", "fixed", "product"),
-    "euhfc": ("(rcvd <> '')::INT", "rcvd", "band, upper(call)", "band", "product"),
-    "spar-wfd": ("(upper(mode) IN ('CW', 'PH', 'RY', 'TV', 'SA'))::INT", "CASE WHEN upper(mode) IN ('CW', 'PH', 'RY', 'TV', 'SA') THEN upper(mode) ELSE '' END", "band, upper(mode), upper(call)", "band", "product"),
-    "popov-vhf": ("coalesce(floor(km), 0)", "'QSO'", "", "fixed", "product"),
-    "tmc-rtty": ("coalesce(floor(km), 0)", "'QSO'", "", "fixed", "product"),
-    "pears-vhf": (GRID_KM, "substr(grid, 1, 4)", "", "band", "band_product"),
-    "digifest": (GRID_KM, "substr(grid, 1, 4)", "", "global", "product"),
-    "aegean-vhf": ("CASE WHEN my_grid = grid THEN 1 ELSE coalesce(ceil(km), 0) END", "substr(grid, 1, 4)", "", "band", "band_qso_product"),
-    "bdm-ww-rtty": (f"CASE WHEN NOT ({OPEN}) THEN 0 WHEN s_continent = w_continent THEN 5 ELSE 10 END", "'QSO'", "", "fixed", "product"),
-    "remembrance-day": ("(CASE WHEN band IN ('160M', '3CM') THEN 2 ELSE 1 END) * (CASE WHEN CAST(substr(time_on, 1, 2) AS INT) * 60 + CAST(substr(time_on, 3, 2) AS INT) BETWEEN 661 AND 959 THEN 3 ELSE 1 END) * (CASE WHEN upper(mode) IN ('CW', 'RY') THEN 2 ELSE 1 END)", "'QSO'", "", "fixed", "product"),
-    "cq-vhf": (_values(scoring.CQ_VHF_POINTS, 1), "CASE WHEN grid <> '' THEN substr(my_grid, 1, 4) || '>' || substr(grid, 1, 4) ELSE '' END", "", "band", "product"),
-    "ari-sez": (_values(scoring.ARI_SEZ_POINTS), "CASE WHEN rcvd <> '' THEN (CASE WHEN upper(mode) = 'CW' THEN 'CW' ELSE 'PH' END) || substr(rcvd, 1, 4) ELSE '' END", "", "band", "product"),
-    "ww-digi": ("coalesce(floor(ceil(km) / 3000) + 1, 0)", "substr(grid, 1, 4)", "", "band", "band_product"),
-    "dmc-rtty": ("(band <> 'OTHER')::INT", "wpx", "", "global", "product"),
-    "10m-rtty": ("(band = '10M')::INT", ENTITY_SQL, "", "global", "product"),
-    "aadx": (f"CASE WHEN NOT ({OPEN}) OR band = 'OTHER' THEN 0 ELSE (CASE WHEN band = '160M' THEN 3 WHEN band IN ('80M', '12M') THEN 2 ELSE 1 END) * (CASE WHEN s_continent = 'AS' AND w_continent <> 'AS' THEN 3 ELSE 1 END) END", f"CASE WHEN s_continent = 'AS' THEN {ENTITY_SQL} ELSE coalesce(w_continent, '') END", "", "band", "product"),
-    "cq-ww": (_apart(0, "CASE WHEN s_continent = 'NA' THEN 2 ELSE 1 END", 3), ZONE_SQL, "", "band", "product"),
-    "cq-ww-rtty": (_apart(1, 2, 3), ZONE_SQL, "", "band", "product"),
-    "epc-ww-dx": (_apart(1, "CASE WHEN band IN ('15M', '10M') THEN 3 ELSE 2 END", "CASE WHEN band = '80M' THEN 6 WHEN band = '10M' THEN 5 ELSE 4 END"), ENTITY_SQL, "", "band", "product"),
-    "gacw": (_apart(0, 1, "CASE WHEN w_continent = 'SA' THEN 5 ELSE 3 END"), ZONE_SQL, "", "band", "product"),
-    "jarts": (_apart(2, 2, 3), ENTITY_SQL, "", "band", "product"),
-    "marconi-memorial": ("1", ENTITY_SQL, "", "band", "product"),
-    "radio-ww-rtty": (_apart(5, 5, 10), ENTITY_SQL, "", "band", "product"),
-    "ru-ww-psk": (_apart(f"CASE WHEN {LOW_SQL} THEN 2 ELSE 1 END", f"CASE WHEN {LOW_SQL} THEN 6 ELSE 3 END", f"CASE WHEN {LOW_SQL} THEN 10 ELSE 5 END"), ENTITY_SQL, "", "band", "product"),
-    "sartg-rtty": (_apart(5, 10, 15), ENTITY_SQL, "", "band", "product"),
-    "yu-dx": (_apart(1, 2, 4), "rcvd", "", "band", "product"),
-    "wag": (f"CASE WHEN NOT ({OPEN}) OR band = 'OTHER' THEN 0 WHEN s_country = 'Germany' THEN (CASE WHEN w_country = s_country THEN 1 WHEN s_continent = w_continent THEN 3 ELSE 5 END) WHEN w_country = 'Germany' THEN 3 ELSE 0 END", ENTITY_SQL, "", "band", "product"),
-    "africa-dx": (f"CASE WHEN NOT ({OPEN}) OR band = 'OTHER' THEN 0 WHEN w_continent = 'AF' THEN 2 ELSE 1 END", f"CASE WHEN w_continent = 'AF' THEN {ENTITY_SQL} ELSE '' END", "", "band", "band_product_one"),
-    "spdx-rtty": (_apart(2, 5, 10), ENTITY_SQL, "", "band", "continents"),
-}
-
-
-def rule_sql(rule: str) -> str:
-    points, multiplier, key, scope, total = RULE_SQL[rule]
-    tokens = multiplier if multiplier.startswith("CASE WHEN band <> 'OTHER' AND regexp") else f"[{multiplier}]"
-    dup = DUP.format(key) if key else "FALSE AS duplicate"
-    by_band = {"band_product": "p * m", "band_qso_product": "q * p * m", "band_product_one": "p * greatest(m, 1)"}.get(total, "0")
-    n = {"fixed": "1", "band": "sum(m)"}.get(scope, "any_value(gm)")
-    final = f"sum({by_band})" if total.startswith("band_") else f"sum(p) * ({n})" + (" * any_value(conts)" if total == "continents" else "")
-    return KM_CTE + f""", sg AS (
-      SELECT km.*, g.w_country, g.w_continent, g.s_country, g.s_continent FROM km JOIN g USING (line_no)
-    ), s0 AS (SELECT *, {dup} FROM sg),
-    s AS (SELECT *, CASE WHEN duplicate THEN 0 ELSE ({points})::BIGINT END AS points, CASE WHEN duplicate THEN [] ELSE {tokens} END AS ms FROM s0),
-    t AS (SELECT DISTINCT doc_id, band, unnest(ms) AS token FROM s), u AS (SELECT * FROM t WHERE token <> ''),
-    b AS (SELECT doc_id, band, count(*) FILTER (NOT duplicate) AS q, count(*) FILTER (duplicate) AS d, sum(points) AS p FROM s GROUP BY doc_id, band),
-    bm AS (SELECT doc_id, band, count(*) AS m FROM u GROUP BY doc_id, band), gm AS (SELECT doc_id, count(DISTINCT token) AS gm FROM u GROUP BY doc_id),
-    cc AS (SELECT doc_id, count(DISTINCT CASE WHEN points > 0 THEN w_continent END) AS conts FROM s GROUP BY doc_id),
-    x AS (SELECT b.*, coalesce(m, 0) AS m, coalesce(gm, 0) AS gm, conts FROM b LEFT JOIN bm USING (doc_id, band) LEFT JOIN gm USING (doc_id) JOIN cc USING (doc_id))
-    SELECT doc_id, sum(q)::BIGINT AS qsos, sum(d)::BIGINT AS duplicates, sum(p)::BIGINT AS points, ({n})::BIGINT AS multipliers, ({final})::BIGINT AS total FROM x GROUP BY doc_id"""
-
-
-def rule_totals(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
-    return scoring.totals(scored(spark, sf_dir, rule), scoring.RULES[rule])
-
-
-for _rule in scoring.RULES:
-    query("rule_" + _rule.replace("-", "_"), rule_sql(_rule) if _rule in RULE_SQL else None)(partial(rule_totals, rule=_rule))

@@ -35,17 +35,13 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", decoded(F.col("content")).alias("d")).select("path", "d.*")
 
 
-def _legacy(content: Column) -> Column:
-    """Windows-1252 as browsers read it: a byte without a character stands for itself."""
-
-    def read(b: bytes) -> str:
-        return "".join(bytes([x]).decode("cp1252") if x not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(x) for x in b)
+#: The bytes of Windows-1252 that aren't Latin-1's; one without a character stands for itself, as browsers read it.
+LEGACY_BYTES = [b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
 
-    @F.pandas_udf("text string, encoding string")
-    def run(contents: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"text": [read(b) for b in contents], "encoding": "Windows-1252"})
 
-    return run(content)
+def _legacy(content: Column) -> Column:
+    latin = "".join(map(chr, LEGACY_BYTES))
+    return F.struct(F.translate(F.decode(content, "ISO-8859-1"), latin, bytes(LEGACY_BYTES).decode("cp1252")).alias("text"), F.lit("Windows-1252").alias("encoding"))
 
 
 def decoded(content: Column) -> Column:
@@ -148,17 +144,26 @@ def cabrillo_headers(logs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _after_marker(text_lines: Column) -> Column:
-    marked = F.transform(text_lines, lambda x: x.rlike("(?i)^\\s*\\[QSORecords;\\d+\\]\\s*$"))
-    at = F.array_position(marked, F.lit(True)).cast("int")
-    numbered = F.transform(text_lines, lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("raw")))
-    records = F.filter(numbered, lambda x: (x["line_no"] > at) & (at > 0))
-    return F.filter(records, lambda x: (x["raw"] != "") & ~x["raw"].rlike("(?i)^\\s*\\[END(;[^\\]]*)?\\]\\s*$"))
+    """line_no and raw of the record lines: after a record marker, up to a remarks marker, without blank and end lines.
+
+    One walk over the lines carries the section along, so the work follows the number of lines."""
+    records, remarks = "(?i)^\\s*\\[QSORecords;\\d+\\]\\s*$", "(?i)^\\s*\\[Remarks\\]\\s*$"
+    kinds = F.transform(text_lines, lambda x, i: F.struct(
+        (i + 1).alias("line_no"), x.alias("raw"), F.when(x.rlike(records), 1).when(x.rlike(remarks), 2).otherwise(0).alias("marker")
+    ))
+    return F.filter(kinds, lambda x: (x["raw"] != "") & ~x["raw"].rlike("(?i)^\\s*\\[END(;[^\\]]*)?\\]\\s*$"))
 
 
 def edi_contacts(logs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row for each record after the record marker: the keys of logs, line_no, n_fields and the fields."""
     keys = [c for c in logs.columns if c != text_col]
-    rows = logs.select(*keys, F.explode(_after_marker(split_lines(F.col(text_col)))).alias("r")).select(*keys, "r.*")
+    marked = logs.select(*keys, _after_marker(split_lines(F.col(text_col))).alias("_lines"))
+    # Where each section begins; a log has few markers, so a line is held against them, not against all lines.
+    sections = F.transform(F.filter("_lines", lambda x: x["marker"] > 0), lambda x: F.struct(x["line_no"], x["marker"]))
+    rows = marked.withColumn("_sections", sections).select(*keys, "_sections", F.explode("_lines").alias("r")).select(*keys, "_sections", "r.*")
+    inside = F.element_at(F.filter("_sections", lambda s: s["line_no"] < F.col("line_no")), -1)["marker"]
+    first = F.filter("_sections", lambda s: s["marker"] == 1)
+    rows = rows.where((F.col("marker") == 0) & (F.size(first) > 0)).where(inside == 1).drop("_sections", "marker")
     parts = F.split("raw", ";")
     return rows.select(
         *keys, "line_no", F.size(parts).alias("n_fields"), *[F.coalesce(F.get(parts, i), F.lit("")).alias(n) for i, n in enumerate(EDI_FIELDS)]

@@ -6,7 +6,7 @@ from qsolake.sources import logs, writers
 from qsolake.streaming import contacts as streams
 
 CABRILLO = "START-OF-LOG: 3.0\r\nCALLSIGN: K2BB\r\nCONTEST: ANY\r\n\r\n; note\r\nQSO: 14050 CW 2026-09-06 1238 K2BB 599 001 DL1AA 599 232\r\nx-qso: 7050 PH 2026-09-06 1239 K2BB 59\r\nQTC: x\r\nwhat\r\nEND-OF-LOG:\r\n"
-EDI = "[REG1TEST;1]\nTName=A\nTDate=20260906;20260906\nPCall=S53ZO\nPWWLo=JN86CR\nPBand=144 MHz\ntname=B\n[Remarks]\nX=Y\n[QSORecords;2]\n260906;1238;S53O;1;59;001;59;232;;JN86AT;16;;;;\n260906;2538;;1;59;002;59;233;;ZZ;x;;;\n[END;any]\n"
+EDI = "[REG1TEST;1]\nTName=A\nTDate=20260906;20260906\nPCall=K9QQX\nPWWLo=EN52AB\nPBand=144 MHz\ntname=B\n[Remarks]\nX=Y\n[QSORecords;2]\n260906;1238;S53O;1;59;001;59;232;;JN86AT;16;;;;\n260906;2538;;1;59;002;59;233;;ZZ;x;;;\n[END;any]\n"
 
 
 def one(spark, text):
@@ -41,7 +41,7 @@ def test_check_cabrillo(spark):
 def test_edi(spark):
     made = logs.edi_contacts(one(spark, EDI)).orderBy("line_no").collect()
     assert [(r.line_no, r.CALL, r.n_fields) for r in made] == [(11, "S53O", 15), (12, "", 14)]
-    assert logs.edi_headers(one(spark, EDI)).first().headers == {"TNAME": "A", "TDATE": "20260906;20260906", "PCALL": "S53ZO", "PWWLO": "JN86CR", "PBAND": "144 MHz"}
+    assert logs.edi_headers(one(spark, EDI)).first().headers == {"TNAME": "A", "TDATE": "20260906;20260906", "PCALL": "K9QQX", "PWWLO": "EN52AB", "PBAND": "144 MHz"}
     found = {(r.line_no, r.code) for r in checks.check_edi(one(spark, EDI)).collect()}
     assert found == {(12, f"EDI-{c}") for c in ("FIELD-COUNT", "QSO-TIME", "QSO-CALL", "QSO-WWL", "QSO-POINTS")}
 
