@@ -67,6 +67,18 @@ def test_mixed_documents_are_packed(stages):
     assert {r.doc_id: round(r.copies) for r in whole} == Counter(r.doc_id for r in mixed.collect())
 
 
+def test_stages_take_awkward_rows(spark):
+    """Nulls, empty and very long texts, repeated ids, copies, columns named like results; and an empty table."""
+    docs = spark.createDataFrame(plain.awkward(), plain.DOCS).selectExpr("*", "'x' as score", "1 as _rank", "2 as n_dropped", "'y' as _hash")
+    for given in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            made = stage(spark, given, plain.SF)
+            assert made.columns == given.columns, name
+            assert (made.count() > 0) == (given is docs), name
+        assert (corpus_pipeline.pack_sequences(spark, given, plain.SF).count() > 0) == (given is docs)
+    assert Counter(r.doc_id for r in corpus_pipeline.dedup_lines(spark, docs, plain.SF).collect()) == Counter(r[0] for r in plain.awkward())
+
+
 def test_run_gives_the_last_stage(spark, stages):
     columns = ["doc_id", "start", "length", "doc_tokens", "ids_crc32"]
     assert Counter(corpus_pipeline.run(spark, plain.SF).select(columns).collect()) == Counter(stages["packing"][1].select(columns).collect())
