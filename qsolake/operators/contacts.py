@@ -58,10 +58,12 @@ def merge(frames: list[DataFrame], keys: list[str], strategy: str = "keep-first"
     place = F.struct("_nth", "ord")
     if strategy == "keep-all":
         return rows.withColumn("position", place).drop("_nth")
-    key = Window.partitionBy(*[key_part(k) for k in keys])
-    first = F.min(place).over(key)
-    chosen = first if strategy == "keep-first" else F.max(place).over(key)
-    return rows.withColumn("position", first).withColumn("_chosen", chosen).where(place == F.col("_chosen")).drop("_chosen", "_nth")
+    names = [f"_k{i}" for i in range(len(keys))]
+    keyed = rows.withColumns({n: key_part(k) for n, k in zip(names, keys)})
+    ends = keyed.groupBy(*names).agg(F.min(place).alias("position"), (F.min if strategy == "keep-first" else F.max)(place).alias("_chosen"))
+    # Combined before the shuffle and joined back on the chosen row's own place, so no key's rows gather in one task.
+    chosen = ends.select("position", F.col("_chosen._nth").alias("_nth"), F.col("_chosen.ord").alias("ord"))
+    return rows.join(chosen, ["_nth", "ord"]).drop("_nth")
 
 
 def filter_contacts(

@@ -155,18 +155,19 @@ def longest_prefix_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("line_no", "call", "w_country", "w_continent", "w_cq", "w_itu", "w_matched")
 
 
-KNOWN_SQL = "SELECT DISTINCT call FROM q WHERE line_no % 3 = 0 AND call NOT LIKE '%/%'"
+#: Known calls: one for each supplier, in the form of the view's calls.
+KNOWN = """concat(CASE s_suppkey % 6 WHEN 0 THEN 'K' WHEN 1 THEN 'G' WHEN 2 THEN 'DL' WHEN 3 THEN 'JA' WHEN 4 THEN 'VE' ELSE 'ZS' END,
+  CAST(s_suppkey % 10 AS STRING), CASE s_suppkey % 3 WHEN 0 THEN 'AB' WHEN 1 THEN 'XYZ' ELSE 'WW' END)"""
+KNOWN_SQL = f"SELECT DISTINCT {KNOWN} AS call FROM supplier"
 
 
 def known_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synth.qso(spark, sf_dir).where("line_no % 3 = 0 and call not like '%/%'").select("call").distinct()
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr(f"{KNOWN} AS call").distinct()
 
 
-@query("anti_known_calls", CTE + f"""SELECT line_no, call FROM q WHERE call NOT IN ({KNOWN_SQL} AND doc_id < 5)
-  AND {BASE_SQL} NOT IN ({KNOWN_SQL} AND doc_id < 5)""")
+@query("anti_known_calls", CTE + f"""SELECT line_no, call FROM q WHERE call NOT IN ({KNOWN_SQL}) AND {BASE_SQL} NOT IN ({KNOWN_SQL})""")
 def anti_known_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = synth.qso(spark, sf_dir).where("line_no % 3 = 0 and call not like '%/%' and doc_id < 5").select("call").distinct()
-    return lookup.unknown_calls(synth.qso(spark, sf_dir), "call", known).select("line_no", "call")
+    return lookup.unknown_calls(synth.qso(spark, sf_dir), "call", known_calls(spark, sf_dir)).select("line_no", "call")
 
 
 @query("prefix_suggest", CTE + "SELECT DISTINCT call FROM q WHERE call LIKE 'K%' ORDER BY call LIMIT 8")
@@ -205,22 +206,27 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _merge_sql(pick: str) -> str:
-    rows = "SELECT 0 AS nth, line_no AS ord, call, qso_date, mode, line_no FROM q UNION ALL SELECT 1, line_no, call, qso_date, upper(mode), line_no + 1000000 FROM q WHERE line_no % 2 = 0"
+    shifted = "strftime(strptime(qso_date || time_on, '%Y%m%d%H%M') + INTERVAL 1 MINUTE * (line_no % 2), '%H%M')"
+    rows = f"SELECT 0 AS nth, line_no AS ord, call, qso_date, time_on, mode, band, line_no FROM q UNION ALL SELECT 1, line_no, call, qso_date, {shifted}, upper(mode), band, line_no + 1000000 FROM q"
     if pick == "all":
-        return CTE + f"SELECT call, qso_date, mode, line_no, nth AS first_nth, ord AS first_ord FROM ({rows})"
-    part = "PARTITION BY upper(call), qso_date, upper(mode) ORDER BY nth, ord"
+        return CTE + f"SELECT call, qso_date, time_on, mode, band, line_no, nth AS first_nth, ord AS first_ord FROM ({rows})"
+    keys = "upper(call), qso_date, time_on, upper(mode), band"
+    part = f"PARTITION BY {keys} ORDER BY nth, ord"
     wanted = "n = 1" if pick == "first" else "n = total"
     return CTE + f""", r AS ({rows}), o AS (
-      SELECT *, row_number() OVER ({part}) AS n, count(*) OVER (PARTITION BY upper(call), qso_date, upper(mode)) AS total,
+      SELECT *, row_number() OVER ({part}) AS n, count(*) OVER (PARTITION BY {keys}) AS total,
         first_value(nth) OVER ({part}) AS first_nth, first_value(ord) OVER ({part}) AS first_ord FROM r
-    ) SELECT call, qso_date, mode, line_no, first_nth, first_ord FROM o WHERE {wanted}"""
+    ) SELECT call, qso_date, time_on, mode, band, line_no, first_nth, first_ord FROM o WHERE {wanted}"""
 
 
 def _merged(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
-    a = synth.qso(spark, sf_dir).select("call", "qso_date", "mode", "line_no", F.col("line_no").alias("ord"))
-    b = a.where("line_no % 2 = 0").withColumn("mode", F.upper("mode")).withColumn("line_no", F.col("line_no") + 1_000_000)
-    out = contacts.merge([a, b], ["call", "qso_date", "mode"], strategy)
-    return out.select("call", "qso_date", "mode", "line_no", F.col("position._nth").alias("first_nth"), F.col("position.ord").alias("first_ord"))
+    """The log and a copy of it whose odd contacts are a minute later: on call, date, time, mode and band."""
+    band = F.coalesce(F.nullif(radio.band_from_frequency(F.col("freq")), F.lit("")), F.lit("OTHER"))
+    a = synth.qso(spark, sf_dir).select("call", "qso_date", "time_on", "mode", band.alias("band"), "line_no", F.col("line_no").alias("ord"))
+    later = F.try_to_timestamp(F.concat("qso_date", "time_on"), F.lit("yyyyMMddHHmm")) + F.make_dt_interval(mins=(F.col("line_no") % 2).cast("int"))
+    b = a.withColumn("mode", F.upper("mode")).withColumn("time_on", F.date_format(later, "HHmm")).withColumn("line_no", F.col("line_no") + 1_000_000)
+    out = contacts.merge([a, b], ["call", "qso_date", "time_on", "mode", "band"], strategy)
+    return out.select("call", "qso_date", "time_on", "mode", "band", "line_no", F.col("position._nth").alias("first_nth"), F.col("position.ord").alias("first_ord"))
 
 
 for _pick in ("first", "last", "all"):

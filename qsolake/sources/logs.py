@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from qsolake.functions.radio import let
+
 LINE_END = "\\r\\n|\\n|\\r"
 TAGS = "array<struct<name:string,value:string,type:string>>"
 # The fixed columns of a Cabrillo contact line (name, first column, end), and the order of EDI fields.
@@ -144,26 +146,21 @@ def cabrillo_headers(logs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _after_marker(text_lines: Column) -> Column:
-    """line_no and raw of the record lines: after a record marker, up to a remarks marker, without blank and end lines.
-
-    One walk over the lines carries the section along, so the work follows the number of lines."""
+    """line_no and raw of the record lines: after a record marker, up to a remarks marker, without blank and end lines."""
     records, remarks = "(?i)^\\s*\\[QSORecords;\\d+\\]\\s*$", "(?i)^\\s*\\[Remarks\\]\\s*$"
     kinds = F.transform(text_lines, lambda x, i: F.struct(
         (i + 1).alias("line_no"), x.alias("raw"), F.when(x.rlike(records), 1).when(x.rlike(remarks), 2).otherwise(0).alias("marker")
     ))
-    return F.filter(kinds, lambda x: (x["raw"] != "") & ~x["raw"].rlike("(?i)^\\s*\\[END(;[^\\]]*)?\\]\\s*$"))
+    plain = lambda x: (x["marker"] == 0) & (x["raw"] != "") & ~x["raw"].rlike("(?i)^\\s*\\[END(;[^\\]]*)?\\]\\s*$")
+    # A log has few markers: each line is held against them, not against all lines.
+    inside = lambda x, s: F.try_element_at(F.filter(s, lambda m: m["line_no"] < x["line_no"]), F.lit(-1))["marker"] == 1
+    return let(kinds, lambda k: let(F.filter(k, lambda x: x["marker"] > 0), lambda s: F.filter(k, lambda x: plain(x) & inside(x, s))))
 
 
 def edi_contacts(logs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row for each record after the record marker: the keys of logs, line_no, n_fields and the fields."""
     keys = [c for c in logs.columns if c != text_col]
-    marked = logs.select(*keys, _after_marker(split_lines(F.col(text_col))).alias("_lines"))
-    # Where each section begins; a log has few markers, so a line is held against them, not against all lines.
-    sections = F.transform(F.filter("_lines", lambda x: x["marker"] > 0), lambda x: F.struct(x["line_no"], x["marker"]))
-    rows = marked.withColumn("_sections", sections).select(*keys, "_sections", F.explode("_lines").alias("r")).select(*keys, "_sections", "r.*")
-    inside = F.element_at(F.filter("_sections", lambda s: s["line_no"] < F.col("line_no")), -1)["marker"]
-    first = F.filter("_sections", lambda s: s["marker"] == 1)
-    rows = rows.where((F.col("marker") == 0) & (F.size(first) > 0)).where(inside == 1).drop("_sections", "marker")
+    rows = logs.select(*keys, F.explode(_after_marker(split_lines(F.col(text_col)))).alias("r")).select(*keys, "r.line_no", "r.raw")
     parts = F.split("raw", ";")
     return rows.select(
         *keys, "line_no", F.size(parts).alias("n_fields"), *[F.coalesce(F.get(parts, i), F.lit("")).alias(n) for i, n in enumerate(EDI_FIELDS)]

@@ -123,10 +123,21 @@ def check_cabrillo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.check_cabrillo(cabrillo_logs(spark, sf_dir)).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("check_adif", CTE + "SELECT 'none' AS code, 0::BIGINT AS n WHERE (SELECT count(*) FROM q) < 0")
+@query("check_adif", CTE + """SELECT code, count(*) AS n FROM (SELECT line_no, unnest([CASE WHEN line_no % 31 = 0 THEN 'ADIF-CALL-EMPTY' WHEN line_no % 37 = 0 THEN 'ADIF-CALL' END,
+  CASE WHEN line_no % 23 = 0 THEN 'ADIF-DATE' END, CASE WHEN line_no % 17 = 0 OR line_no % 5 = 0 THEN 'ADIF-TIME' END, CASE WHEN line_no % 3 = 0 AND line_no % 2 = 1 AND line_no % 9 <> 0 THEN 'ADIF-BAND' END,
+  CASE WHEN line_no % 11 = 0 THEN 'ADIF-MODE' END, CASE WHEN line_no % 12 = 0 THEN 'ADIF-GRID' END]) AS code FROM q) WHERE code IS NOT NULL GROUP BY code""")
 def check_adif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = logs.adif_records(_documents(spark, sf_dir, "adif"))
-    return checks.check_adif(records, KEYS).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    """Records with defects at known places, written as ADIF and read back."""
+    n = F.col("line_no")
+    fields = {
+        "CALL": F.when(n % 31 == 0, "").when(n % 37 == 0, "NOCALL").otherwise(F.col("call")), "QSO_DATE": F.when(n % 23 == 0, "20261340").otherwise(F.col("qso_date")),
+        "TIME_ON": F.when(n % 17 == 0, "2460").when(n % 5 == 0, "").otherwise(F.col("time_on")), "BAND": F.when((n % 3 == 0) & (n % 9 != 0), "").otherwise("20M"),
+        "FREQ": F.when(n % 2 == 1, "").otherwise("14.05"), "MODE": F.when(n % 11 == 0, "").otherwise("CW"), "GRIDSQUARE": F.when(n % 12 == 0, "ZZ99").otherwise("JO62"),
+    }
+    tags = F.concat_ws(" ", *[F.when(v != "", F.concat(F.lit(f"<{k}:"), F.length(v).cast("string"), F.lit(">"), v)) for k, v in fields.items()])
+    text = F.concat(F.lit("<ADIF_VER:5>3.1.7 <EOH>"), F.array_join(F.collect_list(F.concat(tags, F.lit(" <EOR>"))), "\n"))
+    written = synth.qso(spark, sf_dir).groupBy("doc_id", "qso_date", (n % 97).alias("part")).agg(text.alias("text"))
+    return checks.check_adif(logs.adif_records(written), [*KEYS, "part"]).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- table edits ------------------------------------------------------------------------------------------------
@@ -173,7 +184,19 @@ table_query("join", "a || c || '|' || b || '|' || d", 3, lambda t: table.join_co
 table_query("combine", "trim(b) || CASE WHEN d = '' THEN '' ELSE ' ' || d END", 1, lambda t: table.join_columns(table.delete_columns(t, [0, 2]), [0, 1], with_space=True))
 table_query("shift_right", "'|' || a || '|' || b || '|' || c", 4, lambda t: table.shift_rows(t, "right"))
 table_query("shift_left", "CASE WHEN row_no % 2 = 0 THEN b || '|' || c || '|' || d || '|' ELSE a || '|' || b || '|' || c || '|' || d END", 4, lambda t: table.shift_rows(t, "left", F.col("row_no") % 2 == 0))
-table_query("align", "CASE WHEN d = '' THEN '|' || a || '|' || b || '|' || c ELSE a || '|' || b || '|' || c || '|' || d END", 4, lambda t: table.shift_rows(t, "right", F.get("cells", F.lit(3)) == ""))
+table_query("shift_some", "CASE WHEN d = '' THEN '|' || a || '|' || b || '|' || c ELSE a || '|' || b || '|' || c || '|' || d END", 4, lambda t: table.shift_rows(t, "right", F.get("cells", F.lit(3)) == ""))
+
+
+@query("table_align", PARTS_SQL + """, f AS (SELECT *, CASE WHEN row_no % 4 = 0 THEN 1 ELSE 0 END AS first FROM t), n AS (SELECT c, first, count(*) AS n FROM f GROUP BY c, first),
+  m AS (SELECT c, first AS most FROM n QUALIFY row_number() OVER (PARTITION BY c ORDER BY n DESC, first) = 1)
+  SELECT row_no, CASE WHEN most = 0 THEN a || '|x|' || c || '|' ELSE '|' || a || '|x|' || c END AS row FROM f JOIN m USING (c)""")
+def table_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table for each part type; every fourth row of it begins one cell late."""
+    found = spark.read.parquet(f"{sf_dir}/part.parquet")
+    late = F.col("p_partkey") % 4 == 0
+    cells = F.when(late, F.array(F.lit(""), "p_name", F.lit("x"), "p_type")).otherwise(F.array("p_name", F.lit("x"), "p_type", F.lit("")))
+    t = found.select(F.col("p_partkey").alias("row_no"), F.col("p_type").alias("kind"), cells.alias("cells"))
+    return table.align_rows(t, [0, 1, 2, 3], ["kind"]).select("row_no", F.array_join("cells", "|").alias("row"))
 
 
 @query("table_serial", PARTS_SQL + "SELECT row_no, lpad(n, greatest(length(n), 3)::INT, '0') || '|' || a AS row FROM (SELECT *, (row_number() OVER (PARTITION BY c ORDER BY row_no) + 9)::VARCHAR AS n FROM t)")

@@ -6,12 +6,12 @@ from collections import Counter
 import duckdb
 import pytest
 
-from qsolake import queries, rule_queries, text_queries
+from qsolake import log_queries, queries, rule_queries, text_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
-MADE = queries.QUERIES | rule_queries.QUERIES | text_queries.QUERIES
-SQL = queries.ORACLES | rule_queries.ORACLES | text_queries.ORACLES
+MADE = queries.QUERIES | log_queries.QUERIES | rule_queries.QUERIES | text_queries.QUERIES
+SQL = queries.ORACLES | log_queries.ORACLES | rule_queries.ORACLES | text_queries.ORACLES
 
 
 @pytest.fixture(scope="module")
