@@ -10,7 +10,8 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qsolake.operators import conversions, lookup, preflight
+from qsolake.functions import radio
+from qsolake.operators import contacts, conversions, lookup, preflight
 from qsolake.plans import contest_view, synth
 from qsolake.queries import CTE
 from qsolake.sources import reference
@@ -239,3 +240,34 @@ def fast_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("contest_entities", "SELECT DISTINCT prim AS entity, continent FROM " + contest_view.COUNTRIES_SQL)
 def contest_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contest_view.countries(spark).select(F.col("primary").alias("entity"), "continent").distinct()
+
+
+# --- order and duplicates ----------------------------------------------------------------------------------------
+
+
+@query("sorted_slots", CTE + """, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY qso_date, time_on, line_no) AS n FROM q),
+  p AS (SELECT doc_id, line_no AS slot, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS n FROM q) SELECT doc_id, line_no, slot FROM o JOIN p USING (doc_id, n)""")
+def sorted_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contacts.sorted_slots(synth.qso(spark, sf_dir)).select("doc_id", "line_no", "slot")
+
+
+PAIRS = CTE + """, pairs AS (SELECT DISTINCT a.line_no AS first, b.line_no AS second FROM q a JOIN q b ON a.call = b.call AND a.qso_date = b.qso_date AND a.line_no < b.line_no
+  AND abs(a.epoch_min - b.epoch_min) <= 30 AND ((a.band = b.band AND upper(a.mode) = upper(b.mode)) OR a.epoch_min = b.epoch_min))
+"""
+RESOLVED = {
+    "keep-first": "SELECT line_no AS id, call, grid FROM q WHERE line_no NOT IN (SELECT second FROM pairs)",
+    "keep-last": "SELECT line_no AS id, call, grid FROM q WHERE line_no NOT IN (SELECT first FROM pairs)",
+    "merge": """SELECT line_no AS id, call, CASE WHEN grid <> '' THEN grid ELSE coalesce((SELECT arg_min(b.grid, b.line_no) FROM pairs JOIN q b ON second = b.line_no WHERE first = q.line_no AND b.grid <> ''), '') END AS grid
+      FROM q WHERE line_no NOT IN (SELECT second FROM pairs)""",
+}
+
+
+def resolved(spark: SparkSession, sf_dir: str, action: str) -> DataFrame:
+    rows = synth.qso(spark, sf_dir).withColumn("id", F.col("line_no"))
+    band = F.coalesce(F.nullif(radio.band_from_frequency(F.col("freq")), F.lit("")), F.lit("OTHER"))
+    pairs = contacts.duplicate_pairs(rows.withColumn("band", band), 30)
+    return contacts.resolve_duplicates(rows.select("id", "call", "grid"), pairs, action)
+
+
+for _action, _sql in RESOLVED.items():
+    query(f"resolve_{_action.replace('-', '_')}", PAIRS + _sql)(partial(resolved, action=_action))

@@ -128,3 +128,34 @@ def common_value(frame: DataFrame, column: str) -> DataFrame:
     """For each log the column's value if all its rows agree, else null."""
     v = F.coalesce(F.col(column), F.lit(""))
     return frame.groupBy("doc_id").agg(F.when(F.min(v) == F.max(v), F.min(v)).alias(column))
+
+
+def sorted_slots(frame: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """frame with slot: the line that each contact goes to when its log is sorted by date, time and line.
+
+    Only the lines that hold contacts change places; other lines of a log stay where they are."""
+    lines = Window.partitionBy(doc).orderBy("line_no")
+    times = Window.partitionBy(doc).orderBy(F.coalesce("qso_date", F.lit("")), F.coalesce("time_on", F.lit("")), "line_no")
+    places = frame.select(doc, F.col("line_no").alias("slot")).withColumn("_n", F.row_number().over(Window.partitionBy(doc).orderBy("slot")))
+    return frame.withColumn("_n", F.row_number().over(times)).join(places, [doc, "_n"]).drop("_n")
+
+
+def resolve_duplicates(frame: DataFrame, pairs: DataFrame, action: str) -> DataFrame:
+    """frame (id) after the pairs (first, second) of duplicate_pairs() are resolved.
+
+    keep-first drops each pair's second row, keep-last its first, keep-both none. merge drops the second and fills the
+    first's empty cells from it, from the earliest where several are merged."""
+    if action == "keep-both":
+        return frame
+    if action not in ("keep-first", "keep-last", "merge"):
+        raise ValueError(f"no action {action}")
+    gone = pairs.select(F.col("first" if action == "keep-last" else "second").alias("id")).distinct()
+    kept = frame.join(gone, "id", "left_anti")
+    if action != "merge":
+        return kept
+    cells = [c for c in frame.columns if c != "id"]
+    filled = lambda c: F.when(F.col(f"s.{c}").cast("string") != "", F.struct(F.col("s.id").alias("id"), F.col(f"s.{c}").alias("v")))
+    others = pairs.select(F.col("first").alias("_first"), F.col("second").alias("_second")).distinct().join(frame.alias("s"), F.col("_second") == F.col("s.id"))
+    second = others.groupBy(F.col("_first").alias("id")).agg(*[F.min(filled(c)).alias(f"_{c}") for c in cells])
+    merged = [F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", F.coalesce(F.col(f"_{c}")["v"], F.col(c))).otherwise(F.col(c)).alias(c) for c in cells]
+    return kept.join(second, "id", "left").select("id", *merged).select(frame.columns)
