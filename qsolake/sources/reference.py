@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from qsolake.functions.radio import PORTABLE_CALLS, base_call, let, normalize_callsign, plausible_callsign, trimmed
+from qsolake.functions.radio import PORTABLE_CALLS, base_call, normalize_callsign, plausible_callsign, trimmed
 from qsolake.sources.logs import LINE_END
 
 
