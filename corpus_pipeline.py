@@ -10,10 +10,11 @@ from qsolake.llm.common import written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those predicted toxic, by models of all labels. Null and empty texts count as ordinary and stay,
-    rows that repeat are judged alike, without labels all stay; an empty table stays empty, other columns are carried."""
+    """docs without those predicted toxic, by models that leave the held-out fold of labels alone, so that what they catch
+    there measures them. Null and empty texts count as ordinary and stay, rows that repeat are judged alike, without labels
+    all stay; an empty table stays empty, other columns are carried."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.toxicity(docs, labels, hold_out=False).where("predicted = 0").select(docs.columns)
+    return toxicity.toxicity(docs, labels).where("predicted = 0").select(docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
