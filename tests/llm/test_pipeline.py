@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import corpus_pipeline
 import plain
 from pyspark.sql import functions as F
-from qsolake.llm import queries
+from qsolake.llm import queries, toxicity
 from test_line_dedup import expected as lines_left
 from test_simhash import expected as groups
 
@@ -46,6 +46,13 @@ def test_toxic_documents_go_and_the_rest_is_unchanged(spark, stages):
     assert len(gone & toxic) >= 0.8 * len(toxic)
 
 
+def test_the_toxicity_stage_decides_as_the_operator_does(spark, stages):
+    """By models that haven't learnt the labels of the held-out fold."""
+    before, after = stages["toxicity"]
+    scored = toxicity.toxicity(before, spark.read.parquet(f"{plain.SF}/labels.parquet"))
+    assert Counter(map(tuple, after.collect())) == Counter(map(tuple, scored.where("predicted = 0").select(before.columns).collect()))
+
+
 def test_lines(stages):
     before, after = stages["line_dedup"]
     rows = [(r.doc_id, r.text) for r in before.collect()]
