@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from qsolake.functions import geo, radio, values
 from qsolake.operators import contacts, lookup
 from qsolake.plans import rules, scoring, synth
+from qsolake.sources import writers
 
 BAND_CASE = "CASE " + " ".join(f"WHEN khz BETWEEN {a} AND {b} THEN '{n}'" for a, b, n in radio.BANDS_KHZ) + " ELSE '' END"
 #: Band of the view's frequencies, which are kHz, MHz below 1000, or GHz with a G.
@@ -308,3 +309,14 @@ for _name, _size, _period in (("15m", 15, None), ("60m", 60, None), ("period", 6
     query(f"activity_buckets_{_name}", GENERIC + f"""SELECT doc_id, (epoch_min // {_size} * {_size})::BIGINT AS bucket,
       count(*) FILTER (NOT duplicate) AS qsos, sum(points)::BIGINT AS points FROM s
       {'WHERE epoch_min BETWEEN %d AND %d' % _period if _period else ''} GROUP BY 1, 2""")(_buckets)
+
+
+@query("report_scores", GENERIC + """SELECT doc_id, array_to_string([line_no::VARCHAR, call, band, mode, coalesce(w_country, ''), coalesce(w_continent, ''), coalesce(w_matched, ''), points::VARCHAR, '0',
+  multiplier, CASE WHEN duplicate THEN 'Y' ELSE 'N' END], ',') AS line FROM s""")
+def report_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writers.report_lines(scored(spark, sf_dir, "generic-prefix"), writers.SCORE_REPORT, ["doc_id"])
+
+
+@query("report_activity", GENERIC + """SELECT doc_id, concat((epoch_min // 60 * 60)::BIGINT, ',', count(*) FILTER (NOT duplicate), ',', sum(points)::BIGINT) AS line FROM s GROUP BY doc_id, epoch_min // 60""")
+def report_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writers.report_lines(contacts.activity_buckets(scored(spark, sf_dir, "generic-prefix"), 60), writers.ACTIVITY_REPORT, ["doc_id"])

@@ -75,3 +75,28 @@ def documents(rows: DataFrame, keys: list[str], order: str, line: str, head: Col
     """The keys and text of whole logs: one log is one document, so its lines come together."""
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, line))), lambda x: x[line]), newline)
     return rows.groupBy(*keys).agg(body.alias("_body")).select(*keys, F.concat(head, "_body", tail).alias("text"))
+
+
+# Headings of the reports, and the columns of scored rows that they show.
+SCORE_REPORT = {
+    "QSO_ID": "line_no", "CALL": "call", "BAND": "band", "MODE": "mode", "COUNTRY": "w_country", "CONTINENT": "w_continent", "MATCHED_PREFIX": "w_matched",
+    "POINTS": "points", "BONUS_POINTS": "bonus_points", "MULTIPLIER": "multiplier", "DUPLICATE": "duplicate",
+}
+ACTIVITY_REPORT = {"START": "bucket", "QSOS": "qsos", "POINTS": "points"}
+
+
+def report_lines(rows: DataFrame, report: dict[str, str], keys: list[str]) -> DataFrame:
+    """The keys and, for each row, its CSV line; flags show as Y or N, columns that rows lack are 0 for bonus points, else
+    empty. The heading is report_heading(report); rows stay rows, so a log of any size is written by many tasks."""
+    types = dict(rows.dtypes)
+
+    def cell(heading: str, column: str) -> Column:
+        if column not in types:
+            return F.lit("0" if heading == "BONUS_POINTS" else "")
+        return F.when(F.col(column), "Y").otherwise("N") if types[column] == "boolean" else F.col(column).cast("string")
+
+    return rows.select(*keys, csv_line([cell(h, c) for h, c in report.items()]).alias("line"))
+
+
+def report_heading(report: dict[str, str]) -> str:
+    return ",".join(report)
