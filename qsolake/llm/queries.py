@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qsolake.llm import chat, embedding_dedup, importance, line_dedup, mixing, packing, rules, simhash, token_files, toxicity
-from qsolake.llm.common import written
+from qsolake.llm import (
+    chat, embedding_dedup, importance, lexical, line_dedup, mixing, packing, periodic, rules, simhash, token_files, toxicity, url_filter,
+)
+from qsolake.llm.common import with_let, words, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +68,41 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.postings(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list holds the pages of hosts with unwanted names, so that other ways to write their urls are blocked too."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.url_filter(pages, url_filter.list_of(url_filter.unwanted(pages))).drop("url")
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """docs; a tenth of the texts, chosen by the checksum of the id, repeat a stretch of their words up to the end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        return with_let(F.pmod(g, n), lambda a: with_let(1 + F.floor((n - a) / (3 + g % 8)), lambda p: F.array_join(
+            F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, (a + (i - a) % p).cast("int")))), " "
+        )))
+
+    return docs.withColumn("text", F.when((h % 10 == 0) & F.col("text").rlike("[^\\x20\\x09-\\x0D]"), with_let(words(F.col("text")), repeated)).otherwise(F.col("text")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("text")
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("n"), (-r.start).alias("s"), (-r.period).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")), F.lit("\n")))
+    return found.withColumn("_best", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("_best.s")).alias("start"), F.col("_best.n").alias("length"), (-F.col("_best.p")).alias("period"),
+        F.call_function("div", 1000 * F.col("_best.n"), -F.col("_best.p")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_chat_formatting": op2_chat_formatting,
@@ -77,6 +114,9 @@ QUERIES = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_packing": op9_packing,
     "op10_token_output": op10_token_output,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_url_filter": op12_url_filter,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 OP1_SQL = """
@@ -153,4 +193,60 @@ SELECT *, (failure_bits & {rules.mask(rules.BASE)}) <> 0 AS base_failed,
   (failure_bits & {rules.mask(rules.POLICIES[rules.CURRENT])}) = 0 AS kept FROM f
 """
 
-ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op3_mixing": OP3_SQL, "op4_quality_rules": OP4_SQL}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP11_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all({_LOWER.format("text")}, '{lexical.TERM}') AS ts FROM documents
+), l AS (
+  SELECT row_id, doc_id, len(ts)::BIGINT AS n, ts FROM d WHERE len(ts) > 0
+), g AS (
+  SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM l
+), p AS (
+  SELECT row_id, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT row_id, doc_id, n, unnest(ts) AS term FROM l) GROUP BY ALL
+), i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER.format("text")}, '{lexical.TERM}')) AS term FROM benchmark
+), f AS (
+  SELECT term, count(*) AS df FROM p SEMI JOIN i USING (term) GROUP BY term
+), w AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * df + 1)))::BIGINT AS w FROM f, g
+), s AS (
+  SELECT i.item_id, p.row_id, p.doc_id, sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (10 + (90 * p.n * g.docs) // g.total))))::BIGINT AS score
+  FROM i JOIN w USING (term) JOIN p USING (term), g GROUP BY ALL
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST, row_id))::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= {lexical.K}
+"""
+
+_REST = "coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '')"
+_TWO = "|".join(url_filter.UNWANTED)
+
+
+def _rule_case(value) -> str:
+    fits = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}')"
+    ordered = sorted(url_filter.RULES, key=lambda r: -len(r.name))
+    return "CASE " + " ".join(f"WHEN {fits.format(r.host, r.path)} THEN '{value(r)}'" for r in ordered) + " END"
+
+
+OP12_SQL = f"""
+WITH a AS (
+  SELECT page_id, {_REST} AS rest FROM pages
+), b AS (
+  SELECT page_id, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+    regexp_extract(rest, '^[^?#]*\\?([^#]*)', 1) AS given FROM a
+), c AS (
+  SELECT *, array_to_string(list_sort(list_filter(string_split(given, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '{url_filter.TRACKING}'))), '&') AS kept FROM b
+), k AS (
+  SELECT *, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, '^(www|m)\\.', ''), ':(80|443)$', '')
+    || regexp_replace(path, '(/|/index\\.html?|\\.html?)$', '') || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END AS key FROM c
+), u AS (
+  SELECT DISTINCT key FROM k WHERE regexp_matches(host, '(^|\\.)({_TWO})-({_TWO})(\\.|$)')
+), r AS (
+  SELECT *, {_rule_case(lambda r: r.name)} AS rule, {_rule_case(lambda r: r.verdict)} AS said FROM k
+)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN u.key IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM r LEFT JOIN u ON r.key = u.key
+"""
+
+ORACLE_SQL = {
+    "op1_line_dedup": OP1_SQL, "op3_mixing": OP3_SQL, "op4_quality_rules": OP4_SQL, "op11_lexical_search": OP11_SQL, "op12_url_filter": OP12_SQL,
+}
