@@ -1,10 +1,10 @@
 """Ranked lexical search: postings as a term-bucketed DataFrame, integer scores, sums by item and document, top k.
 
-A task reads its documents in batches of bounded bytes and turns each into posting lists: one row for a term of the batch,
-with the documents that hold it, how often, and how long they are. Lists are dealt to buckets by the hash of their term;
+A task turns its documents, some TERMS_AT_ONCE terms at a time, into posting lists: one row for a term of such a batch, with
+the documents that hold it, how often, and how long they are. Lists are dealt to buckets by the hash of their term;
 those of terms that many documents of the batch hold are dealt by their batch too, so a term that is in every document
-fills no bucket, and no list is longer than a batch. Sorted by term and written, the buckets are the index; it may be
-searched any number of times.
+fills no bucket, and no list is longer than a batch. Sorted by bucket and written, they are the index; it may be searched
+any number of times.
 
 A search joins the items' terms to the lists (sent to the tasks while there are at most SENT_TERMS of them, else joined by
 term), adds up how many documents hold each, scores every posting once in 64-bit integers, brings the lists of a batch
@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from qsolake.llm.common import lower_ascii, new_path, short_batches, tidied, written
+from qsolake.llm.common import lower_ascii, short_batches, tidied, written
 
 #: Letters and digits of ASCII and all other characters beyond ASCII make terms.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Buckets into which terms are hashed; a bucket is what a lookup of one term reads.
-BUCKETS = 256
+BUCKETS = 1024
 #: A list of more documents than this is dealt by its batch too.
 LONG_LIST = 32
 #: Rows (term, items) that are sent to the tasks at most.
@@ -39,9 +39,12 @@ SENT_TERMS = 200_000
 K = 10
 #: The term of the lists that hold every document of a batch with a term.
 ALL = ""
-LISTS = "term string, batch long, n_docs int, rows array<long>, ids array<long>, tf array<int>, n array<int>"
-#: Lists in a batch that goes back to Spark.
+#: counts: how often the document holds the term, shifted by 32 bits, and how many terms it has.
+LISTS = "term string, batch long, n_docs int, ids array<long>, counts array<long>"
+#: Lists in an Arrow batch that goes back to Spark.
 AT_ONCE = 20_000
+#: Terms that are inverted together; a longer text is taken whole.
+TERMS_AT_ONCE = 2_000_000
 
 
 def _bytes() -> bytes:
@@ -58,40 +61,61 @@ class Numbers(dict):
         return made
 
 
-def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Posting lists of each batch of (row, id, text)."""
-    table = _bytes()
-    for batch in batches:
-        texts = batch.column(2).cast(pa.binary() if batch.column(2).type == pa.string() else pa.large_binary())
-        numbers, found, lengths = Numbers(), [], []
-        for text in texts:
-            terms = (text.as_py() or b"").translate(table).split()
-            found.append(np.fromiter(map(numbers.__getitem__, terms), np.int64, len(terms)))
-            lengths.append(len(terms))
-        n = np.array(lengths, np.int32)
-        full = np.flatnonzero(n)
-        if not len(full):
-            continue
-        where = np.repeat(np.arange(len(n)), n)
-        keys, tf = np.unique(np.concatenate(found) * len(n) + where, return_counts=True)
+class Batch:
+    """Documents that are inverted together."""
+
+    def __init__(self):
+        self.numbers, self.found, self.n, self.rows, self.ids, self.size = Numbers(), [], [], [], [], 0
+
+    def add(self, row: int, doc_id: int | None, terms: list[bytes]) -> None:
+        self.found.append(np.fromiter(map(self.numbers.__getitem__, terms), np.int64, len(terms)))
+        for values, value in ((self.n, len(terms)), (self.rows, row), (self.ids, doc_id)):
+            values.append(value)
+        self.size += len(terms)
+
+    def lists(self) -> Iterator[pa.RecordBatch]:
+        """The posting lists; rows that repeat an id get lists of their own, so that a list's batch and id name one row."""
+        n, words = np.array(self.n, np.int64), np.concatenate(self.found)
+        seen: dict = {}
+        again = np.array([seen[x] for x in self.ids if not seen.update({x: seen.get(x, -1) + 1})])
+        names, ids = pa.array(list(self.numbers), pa.binary()), pa.array(self.ids, pa.int64())
+        keys, tf = np.unique(words * len(n) + np.repeat(np.arange(len(n)), n), return_counts=True)
         term, doc = keys // len(n), keys % len(n)
-        starts = np.concatenate([np.flatnonzero(np.diff(term, prepend=-1)), [len(term)]])
-        rows, ids = batch.column(0).to_numpy(), batch.column(1)
-        names = list(numbers)
+        for k in range(again.max() + 1):
+            own = np.flatnonzero(again == k)
+            yield self.made(pa.array([ALL.encode()]), self.rows[own[0]], ids, n, np.zeros(len(own), np.int64), own, np.ones(len(own), np.int64))
+            there = again[doc] == k
+            t, d, c = (term, doc, tf) if there.all() else (term[there], doc[there], tf[there])
+            ends = np.searchsorted(t, np.arange(0, len(names) + AT_ONCE, AT_ONCE))
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                if a < b:
+                    yield self.made(names, self.rows[own[0]], ids, n, t[a:b], d[a:b], c[a:b])
+
+    @staticmethod
+    def made(names: pa.Array, batch: int, ids: pa.Array, n: np.ndarray, term: np.ndarray, doc: np.ndarray, tf: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.diff(term, prepend=-1))
+        offsets = np.append(starts, len(term))
+        at = pa.array(offsets.astype(np.int32))
+        return pa.RecordBatch.from_arrays(
+            [names.take(pa.array(term[starts])).cast(pa.string()), pa.array(np.full(len(starts), batch)), pa.array(np.diff(offsets).astype(np.int32)),
+             pa.ListArray.from_arrays(at, ids.take(pa.array(doc))), pa.ListArray.from_arrays(at, pa.array(tf << 32 | n[doc]))],
+            ["term", "batch", "n_docs", "ids", "counts"],
+        )
 
-        def lists(names: list[bytes], doc: np.ndarray, tf: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-            at, sizes = pa.array(offsets.astype(np.int32)), np.diff(offsets).astype(np.int32)
-            parts = pa.array(rows[doc]), ids.take(pa.array(doc)), pa.array(tf.astype(np.int32)), pa.array(n[doc])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.binary()).cast(pa.string()), pa.array(np.full(len(names), rows[0])), pa.array(sizes), *(pa.ListArray.from_arrays(at, p) for p in parts)],
-                ["term", "batch", "n_docs", "rows", "ids", "tf", "n"],
-            )
 
-        yield lists([ALL.encode()], full, n[full], np.array([0, len(full)]))
-        for i in range(0, len(names), AT_ONCE):
-            at = starts[i : i + AT_ONCE + 1]
-            part = slice(at[0], at[-1])
-            yield lists(names[i : i + AT_ONCE], doc[part], tf[part], at - at[0])
+def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Posting lists of the documents (row, id, text), some TERMS_AT_ONCE terms at a time."""
+    table, now = _bytes(), Batch()
+    for batch in batches:
+        texts = batch.column(2).cast(pa.large_binary())
+        for row, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
+            if terms := (text.as_py() or b"").translate(table).split():
+                now.add(row, doc_id, terms)
+            if now.size >= TERMS_AT_ONCE:
+                yield from now.lists()
+                now = Batch()
+    if now.size:
+        yield from now.lists()
 
 
 def postings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,29 +123,31 @@ def postings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     read = short_batches(docs).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
     part = F.when(F.col("n_docs") > LONG_LIST, F.col("batch"))
-    made = read.mapInArrow(tidied(invert), LISTS).withColumn("bucket", bucket).withColumn("_part", part)
-    spark, path = docs.sparkSession, new_path(docs.sparkSession, "postings")
-    made = made.repartition("bucket", "_part").drop("_part").sortWithinPartitions("bucket", "term")
-    made.write.parquet(path)
-    return spark.read.schema(made.schema).parquet(path)
+    made = read.mapInArrow(tidied(invert), LISTS).repartition(bucket, part)
+    return written(made.withColumn("bucket", bucket).sortWithinPartitions("bucket"), "postings")
 
 
 def terms(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
     """Rows (term, items): each term with the items that hold it."""
     found = F.array_distinct(F.regexp_extract_all(lower_ascii(F.col(text_col)), F.lit(TERM), F.lit(0)))
     pairs = items.select(F.col(item_col).alias("item_id"), F.explode(found).alias("term"))
-    return pairs.groupBy("term").agg(F.collect_set(F.struct("item_id")).alias("items"))
+    held = pairs.groupBy("term").agg(F.collect_set(F.struct("item_id")).alias("items"))
+    return held.select("term", F.transform("items", lambda x: x.item_id).alias("items"))
 
 
 def div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
+def n_of(counts: Column) -> Column:
+    return counts.bitwiseAND(F.lit((1 << 32) - 1))
+
+
 def search(index: DataFrame, items: DataFrame, *, item_col: str = "item_id", text_col: str = "text", k: int = K, sent_terms: int = SENT_TERMS) -> DataFrame:
     """item_id, rank (from 1), doc_id, score of the k best documents of each item; all with a score, if fewer."""
     spark = index.sparkSession
     whole = index.where(F.col("term") == ALL).agg(
-        F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum(F.aggregate("tf", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))
+        F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + n_of(x))), F.lit(0))
     )
     count, length = whole.first()
     wanted = written(terms(items, item_col, text_col), "item-terms")
@@ -134,18 +160,18 @@ def search(index: DataFrame, items: DataFrame, *, item_col: str = "item_id", tex
     weight = F.floor(1000 * F.log((2.0 * count + 2) / (2.0 * F.col("df") + 1))).cast("long")
     weighed = written(wanted.join(held, "term").select("term", "items", weight.alias("w")).where("w > 0"), "item-weights")
 
-    m = F.lit(100 - 90).cast("long") + div(F.lit(90 * count).cast("long") * F.col("p.n"), F.lit(max(length, 1)).cast("long"))
-    tf = F.col("p.tf").cast("long")
+    m = F.lit(100 - 90).cast("long") + div(F.lit(90 * count).cast("long") * n_of(F.col("p.counts")), F.lit(max(length, 1)).cast("long"))
+    tf = F.shiftright("p.counts", 32)
     score = F.col("w") * div(F.lit(1_000_000_000).cast("long") * tf, 1000 * tf + 8 * m)
-    lists = joined(weighed).select("batch", "w", "items", "rows", "ids", "tf", "n").repartition("batch")
+    lists = joined(weighed).select("batch", "w", "items", "ids", "counts").repartition("batch")
     scored = (
-        lists.select("batch", "w", "items", F.explode(F.arrays_zip("rows", "ids", "tf", "n")).alias("p"))
-        .select("batch", "items", F.col("p.rows").alias("row"), F.col("p.ids").alias("doc_id"), score.alias("s")).where("s > 0")
-        .select("batch", "row", "doc_id", "s", F.explode("items").alias("item"))
-        .groupBy("batch", "item", "row", "doc_id").agg(F.sum("s").alias("score"))
+        lists.select("batch", "w", "items", F.explode(F.arrays_zip("ids", "counts")).alias("p"))
+        .select("batch", "items", F.col("p.ids").alias("doc_id"), score.alias("s")).where("s > 0")
+        .select("batch", "doc_id", "s", F.explode("items").alias("item_id"))
+        .groupBy("batch", "item_id", "doc_id").agg(F.sum("s").alias("score"))
     )
-    best = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"), "row")
+    best = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"), "batch")
     return (
         scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        .select(F.col("item.item_id").alias("item_id"), F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+        .select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
     )
