@@ -76,9 +76,10 @@ BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 def short_batches(df: DataFrame) -> DataFrame:
     """df, after the session is told to bound Arrow batches by bytes, as whole texts can be long.
 
-    Every operator that runs Python asks for the same bound, so it doesn't matter which one ran before."""
+    Every operator that runs Python asks for the same bound, so it doesn't matter which one ran before; a value that the
+    application has set, in its configuration or its session, stays. The setting is left, as the plan runs later."""
     spark = df.sparkSession
-    if not spark.sparkContext.getConf().contains(BATCH_SETTING):
+    if spark.conf.get(BATCH_SETTING, None) is None:
         spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
     return df
 

@@ -1,20 +1,24 @@
-"""Toxicity by class-conditional Kneser-Ney models of words, alone and after their predecessor.
+"""Toxicity by class-conditional Kneser-Ney models of words, alone and after their predecessor, and of their letters.
 
 Counts are of documents that hold a word or a pair of words. Each class has its own counts, discounted by D; the
 discounted mass goes to a distribution that both classes share: of a word, the number of distinct words it follows;
 of a pair, the pair's Kneser-Ney probability in both classes together, times the word's own ratio. Class model and
 shared distribution are interpolated by the posterior probability that the counts tell the classes apart (any share
 of the class is as likely, against the share of a word as such), so every word and pair counts by its evidence and
-none is cut off. A pair that wasn't learnt from counts as its word, a word that wasn't is alike in both models. A
-text's score is the difference of its two log-likelihoods over its length, put on a logistic curve whose 0.7 lies at
-the threshold that is best on the rows learnt from, each scored without its own counts.
+none is cut off. A pair that wasn't learnt from counts as its word, and a word that wasn't, or of which the counts say
+little, as its letters: the lowest order is the pieces of three to five letters (edges of the word marked), counted and
+discounted in the same way, whose mean log ratio tilts what the word's shared distribution gives to each class. A text's
+score is the difference of its two log-likelihoods over its words and PRIOR_WORDS more, put on a logistic curve whose 0.7
+lies at the threshold that is best on the rows learnt from, each scored without its own counts. How much the letters
+weigh (LETTER_WEIGHTS) is chosen on the same rows in the same way, of equally good weights the largest.
 
-The models are fitted on at most PER_CLASS labelled documents of each class, those with the smallest hash of their
-id; rows of the held-out fold are never among them, unless all are to be learnt from.
+The models are fitted on at most PER_CLASS labelled documents of each class, those with the smallest hash of their id, as
+far as they hold WORDS_PER_CLASS words, and none of over LONGEST words; of rows that repeat an id one is learnt from, the
+one whose text has the smallest hash. Rows of the held-out fold are never among them, unless all are to be learnt from.
 
 Defined cases: a null or empty text has no expression and scores as an ordinary one; without labelled rows of both
 classes every score is 0; a null id is never held out; labels that contradict each other count as toxic; repeated
-rows are scored alike; a very long text is scored whole; an empty table gives no row; the columns of docs stay, ones named like a result are
+rows are learnt from once and scored alike; a very long text is scored whole; an empty table gives no row; the columns of docs stay, ones named like a result are
 replaced."""
 
 from __future__ import annotations
@@ -26,16 +30,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from qsolake.llm.common import short_batches, tidy, written
+from qsolake.llm.common import n_words, short_batches, tidy, written
 
 PER_CLASS = 6_000
+WORDS_PER_CLASS = 4_000_000
+LONGEST = 100_000
 D = 0.75
 #: Words that a text is taken to be longer, so that one word doesn't decide a very short one.
 PRIOR_WORDS = 50
 CUT = 0.7
+#: Lengths of the pieces of letters.
+GRAMS = (3, 4, 5)
+LETTER_WEIGHTS = (0.0, 0.5, 1.0)
 #: Parts in which the driver fetches the pairs; a power of two.
 PARTS = 16
 EDGES = ".,;:!?\"'()[]{}<>*_-#$%&|"
@@ -46,26 +55,58 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-class Hashes(dict):
-    """word -> hash of its letters without EDGES, 0 if nothing else is left; at most SIZE words are kept."""
+def grams(bare: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all pieces of GRAMS letters of words, edges marked, and the place of the word that each is from."""
+    letters = np.frombuffer("".join(f"<{w}>" for w in bare).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, bare), np.int64, len(bare)) + 2
+    ends = np.repeat(np.cumsum(lengths), lengths)
+    owner, at = np.repeat(np.arange(len(bare)), lengths), np.arange(len(letters))
+    keys, owners, mix = [], [], np.uint64(0x9E3779B97F4A7C15)
+    for n in GRAMS:
+        key = np.full(max(len(letters) - n + 1, 0), n, np.uint64)
+        for i in range(n):
+            key = (key ^ letters[i : i + len(key)]) * mix
+            key ^= key >> np.uint64(29)
+        whole = at[: len(key)] + n <= ends[: len(key)]
+        keys.append(key[whole])
+        owners.append(owner[: len(key)][whole])
+    return np.concatenate(keys).view(np.int64), np.concatenate(owners)
+
+
+class Words:
+    """What is known of words: the hash of their letters without EDGES (0 if nothing is left), and the letters' ratio."""
 
     SIZE = 200_000
 
-    def __missing__(self, word: str) -> int:
+    def __init__(self, letters: Letters | None = None, weight: float = 0.0):
+        self.hash: dict[str, int] = {}
+        self.ratio: dict[str, float] = {}
+        self.letters = letters if weight else None
+        self.weight = weight
+
+    def learn(self, found: list[str]) -> None:
         import xxhash
 
-        bare = word.strip(EDGES)
-        value = xxhash.xxh64_intdigest(bare) or 1 if bare else 0
-        if len(self) >= self.SIZE:
-            self.clear()
-        self[word] = value
-        return value
+        new = [w for w in dict.fromkeys(found) if w not in self.hash]
+        bare = [w.strip(EDGES) for w in new]
+        self.hash.update((w, xxhash.xxh64_intdigest(b) or 1 if b else 0) for w, b in zip(new, bare))
+        if self.letters:
+            self.ratio.update(zip(new, (self.weight * self.letters.ratios(bare)).tolist()))
 
+    def numbered(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of a text, and the weighed ratios of their letters."""
+        found = (text or "").lower().split()
+        if len(self.hash) > self.SIZE:
+            self.clear()
+        self.learn(found)
+        made = np.fromiter(map(self.hash.__getitem__, found), np.uint64, len(found))
+        kept = made != 0
+        ratio = np.fromiter(map(self.ratio.__getitem__, found), np.float64, len(found)) if self.letters else np.zeros(len(found))
+        return made[kept], ratio[kept]
 
-def words(text: str | None, hashes: Hashes) -> np.ndarray:
-    found = (text or "").lower().split()
-    made = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
-    return made[made != 0]
+    def clear(self) -> None:
+        self.hash.clear()
+        self.ratio.clear()
 
 
 def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -99,6 +140,48 @@ def at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place, keys[place] == wanted
 
 
+class Letters:
+    """Counts of pieces of letters in documents of the toxic and the ordinary class (columns 1 and 0), keys sorted."""
+
+    def __init__(self, table: pa.Table):
+        key = table.column("w").to_numpy()
+        order = np.argsort(key)
+        self.key = key[order]
+        self.n = np.stack([table.column(c).to_numpy().astype(np.int32)[order] for c in ("o", "t")], 1)
+        self.total, self.distinct = self.n.sum(0, dtype=np.int64), (self.n > 0).sum(0)
+        self.share = float(self.total[1] / max(self.total.sum(), 1))
+        self.telling, self.known = 0.01, np.zeros(0)
+
+    def learn(self) -> None:
+        """How many pieces tell the classes apart, and the ratio of each."""
+        counts, n = np.unique(self.n, axis=0, return_counts=True)
+        self.telling = telling(chance(counts[:, 1], counts[:, 0], self.share), n)
+        self.known = self.ratio_of(self.n.astype(np.int64))
+
+    def ratio_of(self, n: np.ndarray) -> np.ndarray:
+        """Log ratio of pieces with these counts, none for one that isn't left."""
+        alone = np.maximum(n.sum(1), 1) / self.total.sum()
+        own = (np.maximum(n - D, 0) + D * self.distinct * alone[:, None]) / self.total
+        s = sure(self.telling, chance(n[:, 1], n[:, 0], self.share))[:, None]
+        p = s * own + (1 - s) * alone[:, None]
+        return np.where(n.sum(1) > 0, np.log(p[:, 1] / p[:, 0]), 0.0)
+
+    def ratios(self, bare: list[str], own: int | None = None) -> np.ndarray:
+        """Log ratio of words by their letters, the mean of their pieces; with own, without the counts of one document that
+        holds them all in that class."""
+        if not len(self.key) or not bare:
+            return np.zeros(len(bare))
+        keys, owner = grams(bare)
+        place, there = at(self.key, keys)
+        if own is None:
+            r = np.where(there, self.known[place], 0.0)
+        else:
+            n = self.n[place].astype(np.int64)
+            n[:, own] -= there
+            r = np.where(there, self.ratio_of(np.maximum(n, 0)), 0.0)
+        return np.bincount(owner, r, len(bare)) / np.maximum(np.bincount(owner, minlength=len(bare)), 1)
+
+
 class Model:
     """Counts of the toxic and the ordinary class (columns 1 and 0).
 
@@ -118,6 +201,7 @@ class Model:
         self.total, self.distinct = self.n.sum(0, dtype=np.int64), (self.n > 0).sum(0)
         self.shared = int(np.maximum(self.follows, 1).sum(dtype=np.int64))
         self.telling = self.pair_telling = 0.01
+        self.letters: Letters | None = None
 
     @property
     def usable(self) -> bool:
@@ -148,21 +232,24 @@ class Model:
         odds = self.share / (1 - self.share) * p[:, 1] / p[:, 0]
         return np.clip(odds / (1 + odds), 1e-9, 1 - 1e-9)
 
-    def probability(self, n: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """P(word) in both classes."""
-        own = (np.maximum(n - D, 0) + D * self.distinct * (np.maximum(self.follows[place], 1) / self.shared)[:, None]) / self.total
+    def probability(self, n: np.ndarray, place: np.ndarray, letters: np.ndarray | float = 0.0) -> np.ndarray:
+        """P(word) in both classes; letters: the log ratio of its letters."""
+        tilt = np.exp(np.multiply.outer(np.broadcast_to(letters, len(n)), np.array([-0.5, 0.5])))
+        own = (np.maximum(n - D, 0) + D * self.distinct * (np.maximum(self.follows[place], 1) / self.shared)[:, None] * tilt) / self.total
         s = sure(self.telling, chance(n[:, 1], n[:, 0], self.share))[:, None]
-        return s * own + (1 - s) * (np.maximum(n.sum(1), 1) / self.total.sum())[:, None]
+        return s * own + (1 - s) * (np.maximum(n.sum(1), 1) / self.total.sum())[:, None] * tilt
 
-    def ratios(self, found: np.ndarray, starts: np.ndarray, own: int | None = None) -> np.ndarray:
-        """Log ratio of each word of texts that begin at starts; with own, without this text's counts in that class."""
+    def ratios(self, found: np.ndarray, letters: np.ndarray, starts: np.ndarray, own: int | None = None) -> np.ndarray:
+        """Log ratio of each word of texts that begin at starts, by the ratio of its letters; with own, without this text's
+        counts in that class."""
         place, there = at(self.word, found)
         n = self.n[place].astype(np.int64)
         if own is not None:
             n[:, own] -= there
             n = np.maximum(n, 0)
-        p = self.probability(n, place)
-        r = np.where(there & (n.sum(1) > 0), np.log(p[:, 1] / p[:, 0]), 0.0)
+        n[~there] = 0
+        p = self.probability(n, place, letters)
+        r = np.where(n.sum(1) > 0, np.log(p[:, 1] / p[:, 0]), letters)
         if len(found) < 2:
             return r
         pair, both = at(self.pair, pair_keys(found[:-1], found[1:]).view(np.int64))
@@ -187,64 +274,70 @@ class Model:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, hold_out: bool = True) -> DataFrame:
-    """text, toxic of the documents to learn from: a bounded number of each class."""
+    """text, toxic of the documents to learn from: a bounded number and length of each class, one row for each id."""
     marks = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (~held_out(F.col("doc_id")) if hold_out else F.lit(True)))
         .groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     )
     few = [marks.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_CLASS) for c in (F.col("toxic"), ~F.col("toxic"))]
     chosen = few[0].unionByName(few[1])  # 2 x PER_CLASS rows at most
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), n_words(F.col(text_col)).alias("n"))
+    one = (
+        texts.where(F.col("n") <= LONGEST).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic")
+        .agg(F.min_by(F.struct("text", "n"), F.xxhash64("text")).alias("row")).select("doc_id", "toxic", "row.*")
+    )
+    rows = written(one, "toxicity-rows")
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")  # PER_CLASS numbers at most
+    whole = rows.select("doc_id", (F.sum("n").over(order) <= WORDS_PER_CLASS).alias("learnt")).where("learnt")
+    return rows.join(F.broadcast(whole), "doc_id").select("text", "toxic")
+
+
+#: Kinds of what is counted.
+WORD, PAIR, PIECE = 0, 1, 2
 
 
 def fit(train: DataFrame) -> Model:
     """The counts of the bounded training rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        known = Words()
         for batch in batches:
-            texts = [words(x, hashes) for x in batch.column(0).to_pylist()]
-            for toxic in (False, True):
-                chosen = [x for x, y in zip(texts, batch.column(1).to_pylist()) if y == toxic and len(x)]
-                if not chosen:
-                    continue
-                alone = np.concatenate([np.unique(x) for x in chosen])
-                pairs = np.concatenate([np.unique(np.stack([x[:-1], x[1:]], 1), axis=0) for x in chosen])
-                h = np.concatenate([np.zeros(len(alone), np.uint64), pairs[:, 0]])
-                w = np.concatenate([alone, pairs[:, 1]])
-                n = np.ones(len(w), np.int64)
-                for start in range(0, len(w), 50_000):
-                    part = slice(start, start + 50_000)
-                    one, none = pa.array(n[part]), pa.array(n[part] * 0)
-                    yield pa.RecordBatch.from_arrays(
-                        [*(pa.array(x[part].view(np.int64)) for x in (h, w, pair_keys(h, w))), *((one, none) if toxic else (none, one))],
-                        ["h", "w", "k", "t", "o"],
-                    )
-
-    counts = train.mapInArrow(count, "h long, w long, k long, t long, o long").groupBy("h", "w", "k")
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found, _ = known.numbered(text)
+                pairs = np.unique(np.stack([found[:-1], found[1:]], 1), axis=0)
+                bare = [b for b in {w.strip(EDGES) for w in (text or "").lower().split()} if b]
+                for kind, h, w in (
+                    (WORD, None, np.unique(found)), (PAIR, pairs[:, 0], pairs[:, 1]), (PIECE, None, np.unique(grams(bare)[0]) if bare else found[:0]),
+                ):
+                    h = np.zeros(len(w), np.int64) if h is None else h
+                    k = pair_keys(h, w) if kind == PAIR else h
+                    one, none = np.ones(len(w), np.int64), np.zeros(len(w), np.int64)
+                    columns = np.full(len(w), kind, np.int64), h.view(np.int64), w.view(np.int64), k.view(np.int64), *((one, none) if toxic else (none, one))
+                    for start in range(0, len(w), 50_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(x[start : start + 50_000]) for x in columns], ["kind", "h", "w", "k", "t", "o"])
+
+    counts = train.mapInArrow(count, "kind long, h long, w long, k long, t long, o long").groupBy("kind", "h", "w", "k")
     counts = written(counts.agg(F.sum("t").cast("int").alias("t"), F.sum("o").cast("int").alias("o")), "toxicity-counts")
-    pairs = counts.where("h <> 0")
+    pairs = counts.where(F.col("kind") == PAIR)
     begun = pairs.groupBy(F.col("h").alias("w")).agg(
         F.sum("t").cast("int").alias("of_t"), F.sum("o").cast("int").alias("of_o"), F.count_if(F.col("t") > 0).cast("int").alias("types_t"),
         F.count_if(F.col("o") > 0).cast("int").alias("types_o"), F.count(F.lit(1)).cast("int").alias("types"),
     )
     follows = pairs.groupBy("w").agg(F.count(F.lit(1)).cast("int").alias("follows"))
-    vocabulary = counts.where("h = 0").select("w", "t", "o").join(begun, "w", "left").join(follows, "w", "left").na.fill(0)
+    vocabulary = counts.where(F.col("kind") == WORD).select("w", "t", "o").join(begun, "w", "left").join(follows, "w", "left").na.fill(0)
     model = Model(vocabulary.toArrow())
     if model.usable:
         # Part by part, so that the driver holds little besides the model.
         step = (1 << 64) // PARTS
         parts = (pairs.where(F.col("k").between(a, a + step - 1)).select("k", "w", "t", "o") for a in range(-(1 << 63), 1 << 63, step))
         model.learn(part.toArrow() for part in parts)
+        model.letters = Letters(counts.where(F.col("kind") == PIECE).select("w", "t", "o").toArrow())
+        model.letters.learn()
     return model
 
 
-def threshold(train: DataFrame, model: Broadcast) -> float:
-    """The middle of the gap in which accepting all above gives the best F1 on the training rows."""
-    rows = train.select(evidence_without_udf(model)("text", "toxic").alias("x"), "toxic").collect()  # 2 x PER_CLASS at most
-    x = np.array([r.x for r in rows])
-    y = np.array([r.toxic for r in rows])
+def best_cut(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """The best F1 of accepting all above a threshold, and the middle of the gap in which that lies."""
     order = np.argsort(-x, kind="stable")
     x, y = x[order], y[order]
     hit = np.cumsum(y)
@@ -252,46 +345,60 @@ def threshold(train: DataFrame, model: Broadcast) -> float:
     f1[:-1][x[:-1] == x[1:]] = -1
     best = int(f1.argmax())
     below = x[best + 1] if best + 1 < len(x) else 0.0
-    return max((x[best] + max(below, 0.0)) / 2, 1e-6)
+    return float(f1[best]), float(max((x[best] + max(below, 0.0)) / 2, 1e-6))
+
+
+def chosen_weight(train: DataFrame, model: Broadcast) -> tuple[float, float]:
+    """The weight of the letters and the threshold that do best on the training rows, each without its own counts."""
+    rows = train.select(evidence_without_udf(model)("text", "toxic").alias("x"), "toxic").collect()  # 2 x PER_CLASS at most
+    x, y = np.array([r.x for r in rows]), np.array([r.toxic for r in rows])
+    cuts = [(*best_cut(x[:, i], y), w) for i, w in enumerate(LETTER_WEIGHTS)]
+    _, cut, weight = max(cuts, key=lambda c: (round(c[0], 9), c[2]))
+    return weight, cut
 
 
 #: Texts that are scored at once.
 AT_ONCE = 100
 
 
-def evidence(texts: list[str | None], hashes: Hashes, model: Model) -> list[float]:
-    found = [words(x, hashes) for x in texts]
-    lengths = np.array([len(x) for x in found])
+def evidence(texts: list[str | None], known: Words, model: Model) -> list[float]:
+    found = [known.numbered(x) for x in texts]
+    lengths = np.array([len(x) for x, _ in found])
     starts = np.cumsum(lengths) - lengths
-    sums = np.concatenate([[0.0], np.cumsum(model.ratios(np.concatenate(found), starts))])
+    ratios = model.ratios(np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]), starts)
+    sums = np.concatenate([[0.0], np.cumsum(ratios)])
     return ((sums[starts + lengths] - sums[starts]) / (lengths + PRIOR_WORDS)).tolist()
 
 
-def evidence_without(text: str | None, toxic: bool, hashes: Hashes, model: Model) -> float:
-    """The evidence of a text learnt from, without its own counts."""
-    found = words(text, hashes)
-    return float(model.ratios(found, np.zeros(1, np.int64), int(toxic)).sum() / (len(found) + PRIOR_WORDS))
+def evidence_without(text: str | None, toxic: bool, known: Words, model: Model) -> list[float]:
+    """The evidence of a text learnt from, without its own counts, for each weight of the letters."""
+    found, _ = known.numbered(text)
+    bare = [b for w in (text or "").lower().split() if (b := w.strip(EDGES))]
+    own = dict.fromkeys(bare)
+    own = dict(zip(own, model.letters.ratios(list(own), int(toxic)).tolist()))
+    letters = np.fromiter(map(own.__getitem__, bare), np.float64, len(bare))
+    return [float(model.ratios(found, w * letters, np.zeros(1, np.int64), int(toxic)).sum() / (len(found) + PRIOR_WORDS)) for w in LETTER_WEIGHTS]
 
 
-def evidence_udf(model: Broadcast):
+def evidence_udf(model: Broadcast, weight: float):
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        hashes = Hashes()
+        known = Words(model.value.letters, weight)
         for texts in batches:
-            made = [x for i in range(0, len(texts), AT_ONCE) for x in evidence(list(texts[i : i + AT_ONCE]), hashes, model.value)]
+            made = [x for i in range(0, len(texts), AT_ONCE) for x in evidence(list(texts[i : i + AT_ONCE]), known, model.value)]
             yield pd.Series(made, dtype="float64")
-        hashes.clear()
+        known.clear()
         tidy()
 
     return run
 
 
 def evidence_without_udf(model: Broadcast):
-    @F.pandas_udf("double")
+    @F.pandas_udf("array<double>")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        hashes = Hashes()
+        known = Words()
         for texts, toxic in batches:
-            yield pd.Series([evidence_without(t, y, hashes, model.value) for t, y in zip(texts, toxic)], dtype="float64")
+            yield pd.Series([evidence_without(t, y, known, model.value) for t, y in zip(texts, toxic)])
 
     return run
 
@@ -300,14 +407,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     """docs with held_out, score (0 to 1) and predicted (score >= 0.7).
 
     Without hold_out the labels of the held-out fold are learnt from too, for use rather than for measuring."""
-    train = written(labelled(short_batches(docs), labels, id_col, text_col, hold_out), "toxicity-rows")
+    train = labelled(short_batches(docs), labels, id_col, text_col, hold_out)
     model = fit(train)
     rest = docs.select(*[c for c in docs.columns if c not in ("held_out", "score", "predicted")], held_out(F.col(id_col)).alias("held_out"))
     if not model.usable:
         return rest.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0))
     model = docs.sparkSession.sparkContext.broadcast(model)
-    cut = threshold(train, model)
-    x = evidence_udf(model)(F.col(text_col))
+    weight, cut = chosen_weight(train, model)
+    x = evidence_udf(model, weight)(F.col(text_col))
     score = 1 / (1 + F.exp(-((F.col("score") / cut - 1) * 5 + math.log(CUT / (1 - CUT)))))
     return (
         rest.withColumn("score", x).withColumn("predicted", (F.col("score") >= cut).cast("int"))
