@@ -5,12 +5,13 @@ asked for) is read in full, rows are classified, columns get fields from heading
 contact is brought to canonical values with the issues that a person has to look at. All is column expressions over
 whole files, but for the scan of quoted cells.
 
-Defined cases: null texts are left out; a text over MAX_SOURCE characters, MAX_ROWS rows or MAX_CELLS cells gives a
-file with `rejected` set and no rows; an empty text gives a file without columns."""
+Defined cases: null texts are left out; an empty text gives a file without columns. Files of any size are read; where Limits
+are given, a file beyond one has `rejected` set and no rows."""
 
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -20,20 +21,36 @@ from pyspark.sql import types as T
 from qsolake.functions import radio
 from qsolake.functions.radio import let, trimmed
 
-# Limits of a file, the fields, and the headings (letters and digits only) that name them.
-MAX_SOURCE, MAX_ROWS, MAX_COLUMNS, MAX_CELLS, SAMPLE = 5_000_000, 50_000, 256, 1_000_000, 100_000
+
+
+class Limits(NamedTuple):
+    """What a file may have at most; None: any number."""
+
+    characters: int | None = None
+    rows: int | None = None
+    columns: int | None = None
+    cells: int | None = None
+
+
+#: Characters at the beginning of a text by which interpretations are scored.
+SAMPLE = 100_000
+# The fields, and the headings (letters and digits only) that name them.
 FIELDS = [
     "QSO_DATE", "TIME_ON", "FREQ", "BAND", "MODE", "SUBMODE", "CALL", "STATION_CALLSIGN", "RST_SENT", "RST_RCVD", "STX", "SRX",
     "STX_STRING", "SRX_STRING", "MY_GRIDSQUARE", "GRIDSQUARE", "QSO_POINTS", "COMMENT", "OPERATOR", "EDI_NEW_WWL",
     "EDI_NEW_EXCHANGE", "EDI_NEW_DXCC", "EDI_DUPLICATE",
 ]
 HEADINGS = {
-    "QSO_DATE": "date qsodate", "TIME_ON": "time timeon utc", "FREQ": "freq frequency frequencykhz frequencymhz", "BAND": "band",
-    "MODE": "mode", "SUBMODE": "submode", "CALL": "call callsign contactedcall", "STATION_CALLSIGN": "mycall stationcallsign stationcall",
-    "RST_SENT": "snt sent rstsent", "RST_RCVD": "rcvd received rstrcvd rstreceived", "STX": "stx sentserial serialsent",
-    "SRX": "srx receivedserial serialreceived", "STX_STRING": "stxstring sentexchange", "SRX_STRING": "srxstring receivedexchange",
-    "MY_GRIDSQUARE": "mygrid mygridsquare mylocator", "GRIDSQUARE": "grid gridsquare locator", "QSO_POINTS": "pts points qsopoints",
-    "COMMENT": "comment comments notes", "OPERATOR": "operator",
+    "date": "QSO_DATE", "qsodate": "QSO_DATE", "time": "TIME_ON", "timeon": "TIME_ON", "utc": "TIME_ON", "freq": "FREQ",
+    "frequency": "FREQ", "frequencykhz": "FREQ", "frequencymhz": "FREQ", "band": "BAND", "mode": "MODE", "submode": "SUBMODE",
+    "call": "CALL", "callsign": "CALL", "contactedcall": "CALL", "mycall": "STATION_CALLSIGN", "stationcallsign": "STATION_CALLSIGN",
+    "stationcall": "STATION_CALLSIGN", "snt": "RST_SENT", "sent": "RST_SENT", "rstsent": "RST_SENT", "rcvd": "RST_RCVD",
+    "received": "RST_RCVD", "rstrcvd": "RST_RCVD", "rstreceived": "RST_RCVD", "stx": "STX", "sentserial": "STX", "serialsent": "STX",
+    "srx": "SRX", "receivedserial": "SRX", "serialreceived": "SRX", "stxstring": "STX_STRING", "sentexchange": "STX_STRING",
+    "srxstring": "SRX_STRING", "receivedexchange": "SRX_STRING", "mygrid": "MY_GRIDSQUARE", "mygridsquare": "MY_GRIDSQUARE",
+    "mylocator": "MY_GRIDSQUARE", "grid": "GRIDSQUARE", "gridsquare": "GRIDSQUARE", "locator": "GRIDSQUARE", "pts": "QSO_POINTS",
+    "points": "QSO_POINTS", "qsopoints": "QSO_POINTS", "comment": "COMMENT", "comments": "COMMENT", "notes": "COMMENT",
+    "operator": "OPERATOR",
 }
 # The grouped table of sent and received exchanges, known by the words of its heading.
 GROUPED = "QSO_DATE TIME_ON FREQ MODE STATION_CALLSIGN RST_SENT STX MY_GRIDSQUARE CALL RST_RCVD SRX GRIDSQUARE QSO_POINTS COMMENT".split()
@@ -63,7 +80,7 @@ def evidence(s: Column) -> Column:
 
 def field_of(heading: Column) -> Column:
     """The field that a heading names, else an empty string."""
-    table = [F.lit(x) for field, names in HEADINGS.items() for name in names.split() for x in (name, field)]
+    table = [F.lit(x) for pair in HEADINGS.items() for x in pair]
     found = F.try_element_at(F.create_map(*table), F.regexp_replace(F.lower(heading), "[^a-z0-9]", ""))
     return F.coalesce(found, F.when(heading.isin(FIELDS), heading), F.lit(""))
 
@@ -155,7 +172,7 @@ def boundaries(text: Column) -> Column:
         blank = lambda i: F.forall(lines, lambda x: F.substring(x, i + 1, 1).rlike(r"(?U)^\s"))
         gaps = F.transform(F.sequence(F.lit(0), F.greatest(width, F.lit(1)) - 1), lambda i: (i > 0) & blank(i))
         ends = let(gaps, lambda g: F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: (i > 0) & ~F.get(g, i) & F.coalesce(F.get(g, i - 1), F.lit(False))))
-        return F.when(F.size(lines) < 2, F.array().cast("array<int>")).otherwise(F.slice(ends, 1, MAX_COLUMNS - 1))
+        return F.when(F.size(lines) < 2, F.array().cast("array<int>")).otherwise(ends)
 
     return let(F.slice(useful, 1, 100), found)
 
@@ -167,10 +184,14 @@ def readable(files: DataFrame) -> DataFrame:
     return files.where(F.col("text").isNotNull()).select("path", F.regexp_replace("text", "^\ufeff", "").alias("text"))
 
 
-def interpretations(files: DataFrame, bounds: list[int] | None = None) -> DataFrame:
+def over(value: Column, most: int | None) -> Column:
+    return F.lit(False) if most is None else value > most
+
+
+def interpretations(files: DataFrame, bounds: list[int] | None = None, *, limits: Limits = Limits()) -> DataFrame:
     """path and, for each interpretation, candidate, strategy, delimiter, bounds, width and score (0 to 100): 35 for rows of equal
     width, 45 for cells of a known shape, up to 20 for known headings. Small rows: the texts stay behind."""
-    small = readable(files).where(F.length("text") <= MAX_SOURCE)
+    small = readable(files).where(~over(F.length("text"), limits.characters))
     wanted = F.array(*map(F.lit, sorted({b for b in bounds if 0 < b <= 10_000}))).cast("array<int>") if bounds is not None else boundaries(F.col("text"))
     one = lambda name, strategy, d=None: F.struct(F.lit(name).alias("candidate"), F.lit(strategy).alias("strategy"), F.lit(d).cast("string").alias("delimiter"))
     kinds = [*(one(f"delimiter-{i}", "delimited", d) for i, d in enumerate(DELIMITERS)), one("whitespace", "whitespace"), one("fixed-width", "fixed-width")]
@@ -184,7 +205,7 @@ def interpretations(files: DataFrame, bounds: list[int] | None = None) -> DataFr
     seen = F.aggregate("_active", F.lit(0), lambda n, r: n + known(r, evidence))
     scored = sized.select(
         "path", "candidate", "strategy", "delimiter", "bounds", F.size("_active").alias("_n"), most.alias("_most"), seen.alias("_seen"), named.alias("_named"),
-        (F.exists("_rows", lambda r: F.size(r["cells"]) > MAX_COLUMNS) | (F.size("_rows") > MAX_ROWS)).alias("_over"),
+        (F.exists("_rows", lambda r: over(F.size(r["cells"]), limits.columns)) | over(F.size("_rows"), limits.rows)).alias("_over"),
     )
     width = F.coalesce("_most.w", F.lit(0))
     share = F.col("_most.n") / F.col("_n") * 35 + F.col("_seen") / (F.col("_n") * width) * 45 + F.least(F.lit(20), F.col("_named") * 3)
@@ -203,15 +224,15 @@ def chosen(candidates: DataFrame, candidate: str | None = None) -> DataFrame:
 # --- rows and columns --------------------------------------------------------------------------------------------
 
 
-def sessions(files: DataFrame, picked: DataFrame | None = None) -> DataFrame:
+def sessions(files: DataFrame, picked: DataFrame | None = None, *, limits: Limits = Limits()) -> DataFrame:
     """path, candidate, score, columns (name, field, confidence, unit), rows (nth, original, cells, kind, errors),
     metadata, grouped and rejected, of each file as chosen() reads it."""
-    picked = chosen(interpretations(files)) if picked is None else picked
-    df = readable(files).join(picked, "path", "left").withColumn("_long", F.length("text") > MAX_SOURCE)
+    picked = chosen(interpretations(files, limits=limits)) if picked is None else picked
+    df = readable(files).join(picked, "path", "left").withColumn("_long", over(F.length("text"), limits.characters))
     df = df.withColumn("text", F.when(F.col("_long"), "").otherwise(F.col("text"))).withColumn("strategy", F.coalesce("strategy", F.lit("whitespace")))
     df = df.withColumn("_all", cells_of(F.col("text"), F.col("strategy"), F.col("delimiter"), F.col("bounds")))
     total = F.aggregate("_all", F.lit(0), lambda n, r: n + F.size(r["cells"]))
-    rejected = F.when(F.col("_long"), "characters").when(F.size("_all") > MAX_ROWS, "rows").when(F.exists("_all", lambda r: F.size(r["cells"]) > MAX_COLUMNS), "columns").when(total > MAX_CELLS, "cells")
+    rejected = F.when(F.col("_long"), "characters").when(over(F.size("_all"), limits.rows), "rows").when(F.exists("_all", lambda r: over(F.size(r["cells"]), limits.columns)), "columns").when(over(total, limits.cells), "cells")
     df = df.withColumn("rejected", rejected).withColumn("_all", F.when(F.col("rejected").isNull(), F.col("_all")).otherwise(F.slice("_all", 1, 0)))
     dated = lambda r: F.exists(r["cells"], lambda c: is_date(trimmed(c)))
     headings = lambda r: F.size(F.filter(r["cells"], lambda c: field_of(trimmed(c)) != ""))
@@ -252,7 +273,7 @@ def sessions(files: DataFrame, picked: DataFrame | None = None) -> DataFrame:
 
     df = df.withColumn("rows", F.transform("_all", shaped)).withColumn("_data", F.filter("rows", lambda r: r["kind"] == "qso"))
     sizes = F.transform(F.slice("_data", 1, 200), lambda r: F.size(r["cells"]))
-    width = F.least(F.lit(MAX_COLUMNS), F.greatest(F.size("_fields"), F.coalesce(F.array_max(sizes), F.lit(0)), F.when(F.col("grouped"), len(GROUPED)).otherwise(0)))
+    width = F.greatest(F.size("_fields"), F.coalesce(F.array_max(sizes), F.lit(0)), F.when(F.col("grouped"), len(GROUPED)).otherwise(0))
     df = df.withColumn("_width", width).withColumn("_seen", F.slice("_data", 1, 100))
     places = F.when(F.col("_width") > 0, F.sequence(F.lit(0), F.col("_width") - 1)).otherwise(F.array().cast("array<int>"))
     group = F.array(*map(F.lit, GROUPED))

@@ -29,7 +29,7 @@ def country_entries(files: DataFrame, text_col: str = "text") -> DataFrame:
     kept = F.filter(F.transform(F.split("chunk", "\n"), trimmed), lambda x: (x != "") & ~x.startswith("#"))
     rows = rows.select("chunk_no", F.split(F.array_join(kept, " "), ":").alias("f")).where(F.size("f") >= 9)
     at = lambda i: F.col("f")[i]
-    aliases = F.concat(F.array(at(7)), F.split(F.array_join(F.slice("f", 9, 100_000), ":"), r"[\s,]+"))
+    aliases = F.concat(F.array(at(7)), F.split(F.array_join(F.slice("f", 9, F.size("f")), ":"), r"[\s,]+"))
     rows = rows.select("chunk_no", "f", F.posexplode(aliases).alias("nth", "token"))
     token = F.regexp_replace(trimmed(F.col("token")), "[;,]+$", "")
     bare = F.regexp_replace(F.regexp_replace(token, "^=", ""), r"\([^)]*\)|\[[^\]]*\]|<[^>]*>|\{[^}]*\}|~[^~]*~", "")

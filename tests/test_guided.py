@@ -4,25 +4,26 @@ from qsolake.sources import guided
 
 HEAD = "Date,Time,Freq,Mode,Call,STX,SRX,Comment"
 FILES = {
-    "quoted": f'{HEAD}\n20240106,1238,14050,USB,S53O,1,2,"said ""hi"", left"\n20240106,1239,14.05,CW,HA2R,2,437,"one\ntwo"\n',
-    "newlines": f"{HEAD}\r\n20240106,1238,14050,CW,S53O,1,2,a\r20240106,1239,14.05,CW,HA2R,2,437,b\n{HEAD}\n",
-    "twice": "20240106\t1238\t14.05\tCW\tS53O\n20240106\t1238\t14.050\tCW\tS53O\n",
-    "stray": 'Date;Time;Band;Mode;Call\n20240106;1238;20M;CW;S5"3O\n20240106;1238;20M;CW;"S53O\n',
-    "two calls": "20240106 1238 14.05 CW K1AA S53O\n20240107 1239 7.05 CW K1AA HA2R/P\n",
+    "quoted": f'{HEAD}\n20240106,1238,14050,USB,Q3M,1,2,"said ""hi"", left"\n20240106,1239,14.05,CW,Q7WW,2,12,"one\ntwo"\n',
+    "newlines": f"{HEAD}\r\n20240106,1238,14050,CW,Q3M,1,2,a\r20240106,1239,14.05,CW,Q7WW,2,12,b\n{HEAD}\n",
+    "twice": "20240106\t1238\t14.05\tCW\tQ3M\n20240106\t1238\t14.050\tCW\tQ3M\n",
+    "stray": 'Date;Time;Band;Mode;Call\n20240106;1238;20M;CW;Q3"M\n20240106;1238;20M;CW;"Q3M\n',
+    "two calls": "20240106 1238 14.05 CW Q1AA Q3M\n20240107 1239 7.05 CW Q1AA Q7WW/P\n",
     "grouped": "Date Time Freq Mode MyCall Snt Exchange Call Rcvd Exchange Pts Comment\nYYYYMMDD HHMM kHz\n"
-    "20240106 1238 144300,5 USB S53ZO 59 001 JN86CR S53O 59 232 JN86AT 16\n20240106 1240 144300 CW S53ZO 599 002 JN86CR OE3XOB/P 599 7 JN88 99 a long comment\n",
-    "conflict": "Date,Time,Freq,Band,Mode,Submode,Call,Callsign\n20240230,2460,14.05,40M,USB,LSB,S53O,S53X\n",
-    "metadata": "Station: K1AB\nStation: K2AB\n# none\nDate|Time|Frequency MHz|Mode|Call\n01/02/2024|1238|14.05|CW|S53O\n13/02/2024|1:38Z|0|CW|S53O\nTotal 2\n",
+    "20240106 1238 50110,5 USB Q5XYZ 59 001 KK11AA Q3M 59 17 KK12BB 16\n20240106 1240 50100 CW Q5XYZ 599 002 KK11AA Q9ABC/P 599 7 KK13 99 a long comment\n",
+    "conflict": "Date,Time,Freq,Band,Mode,Submode,Call,Callsign\n20240230,2460,14.05,40M,USB,LSB,Q3M,Q3X\n",
+    "metadata": "Station: Q1AB\nStation: Q2AB\n# none\nDate|Time|Frequency MHz|Mode|Call\n01/02/2024|1238|14.05|CW|Q3M\n13/02/2024|1:38Z|0|CW|Q3M\nTotal 2\n",
     "empty": "",
     "none": None,
-    "long": "x" * (guided.MAX_SOURCE + 1),
+    "long": "x" * 5001,
 }
 
 
 def made(spark, bounds=None, candidate=None, names=tuple(FILES), **options):
     files = spark.createDataFrame([(n, FILES[n]) for n in names], "path string, text string")
-    picked = guided.chosen(guided.interpretations(files, bounds), candidate)
-    session = guided.sessions(files, picked)
+    limits = guided.Limits(characters=5000)
+    picked = guided.chosen(guided.interpretations(files, bounds, limits=limits), candidate)
+    session = guided.sessions(files, picked, limits=limits)
     found = {n: [] for n in names}
     for r in sorted(guided.contacts(session, **options).collect(), key=lambda r: r.nth):
         found[r.path].append((r["values"], sorted(i.code for i in r.issues), r.unmapped))
@@ -37,16 +38,16 @@ def test_layouts(spark):
         "conflict": ("delimiter-2", ["header", "qso"]),
         "metadata": ("delimiter-3", ["metadata", "metadata", "comment", "header", "qso", "qso", "summary"]), "empty": ("delimiter-0", []), "long": (None, []),
     }
-    assert session["long"].rejected == "characters" and session["metadata"].metadata == {"Station": "K2AB"}
+    assert session["long"].rejected == "characters" and session["metadata"].metadata == {"Station": "Q2AB"}
     assert found["empty"] == found["none"] == found["long"] == []
     one, two = found["quoted"]
-    assert one[0] == {"QSO_DATE": "20240106", "TIME_ON": "1238", "FREQ": "14.05", "MODE": "SSB", "CALL": "S53O", "STX": "1", "SRX": "2", "COMMENT": 'said "hi", left', "SUBMODE": "USB", "BAND": "20M"}
+    assert one[0] == {"QSO_DATE": "20240106", "TIME_ON": "1238", "FREQ": "14.05", "MODE": "SSB", "CALL": "Q3M", "STX": "1", "SRX": "2", "COMMENT": 'said "hi", left', "SUBMODE": "USB", "BAND": "20M"}
     assert two[0]["COMMENT"] == "one\ntwo" and one[1] == two[1] == []
     assert [x[1] for x in found["twice"]] == [[], ["duplicate-row"]]
     assert [x[1] for x in found["newlines"]] == [[], []]
-    assert [x[1] for x in found["stray"]] == [["invalid-call", "malformed-record"], ["malformed-record"]] and found["stray"][1][0]["CALL"] == "S53O"
+    assert [x[1] for x in found["stray"]] == [["invalid-call", "malformed-record"], ["malformed-record"]] and found["stray"][1][0]["CALL"] == "Q3M"
     assert "CALL" not in found["two calls"][0][0] and "STATION_CALLSIGN" not in found["two calls"][0][0]  # which is which isn't invented
-    assert found["two calls"][0][1] == ["missing-field"] and "K1AA" in {v.strip() for v in found["two calls"][0][2].values()}
+    assert found["two calls"][0][1] == ["missing-field"] and "Q1AA" in {v.strip() for v in found["two calls"][0][2].values()}
     assert found["conflict"][0][1] == ["band-conflict", "duplicate-mapping", "invalid-date", "invalid-time", "submode-conflict"]
     assert [x[1] for x in found["metadata"]] == [["ambiguous-date"], ["invalid-frequency"]] and found["metadata"][1][0]["TIME_ON"] == "0138"
 
@@ -57,11 +58,22 @@ def test_choices(spark):
     session, _ = made(spark, names=("twice",), candidate="whitespace")
     assert session["twice"].candidate == "whitespace"
     session, _ = made(spark, [9, 14, 20, 23], "fixed-width", names=("two calls",))
-    assert session["two calls"].rows[0].cells == ["20240106 ", "1238 ", "14.05 ", "CW ", "K1AA S53O"]
+    assert session["two calls"].rows[0].cells == ["20240106 ", "1238 ", "14.05 ", "CW ", "Q1AA Q3M"]
 
 
 def test_grouped_exchanges(spark):
     session, found = made(spark, candidate="whitespace", names=("grouped",))
     assert [x.kind for x in session["grouped"].rows] == ["header", "header", "qso", "qso"]
-    assert [x[1] for x in found["grouped"]] == [[], []] and found["grouped"][0][0]["FREQ"] == "144.3005"
-    assert found["grouped"][1][0]["COMMENT"] == "a long comment" and found["grouped"][1][0]["CALL"] == "OE3XOB/P"
+    assert [x[1] for x in found["grouped"]] == [[], []] and found["grouped"][0][0]["FREQ"] == "50.1105"
+    assert found["grouped"][1][0]["COMMENT"] == "a long comment" and found["grouped"][1][0]["CALL"] == "Q9ABC/P"
+
+
+def test_limits_are_optional(spark):
+    files = spark.createDataFrame([("long", "a,b\n" * 2000), ("wide", ",".join("x" * 300)), ("none", None)], "path string, text string")
+    found = {r.path: (r.rejected, r.n) for r in guided.sessions(files).selectExpr("path", "rejected", "size(rows) n").collect()}
+    assert found == {"long": (None, 2000), "wide": (None, 1)}
+    for limits, path, why in (
+        (guided.Limits(rows=1999), "long", "rows"), (guided.Limits(cells=3999), "long", "cells"), (guided.Limits(characters=7999), "long", "characters"),
+    ):
+        made = {r.path: r.rejected for r in guided.sessions(files, limits=limits).collect()}
+        assert made == {"long": None, "wide": None} | {path: why}
