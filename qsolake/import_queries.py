@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from qsolake.operators import recovery
 from qsolake.plans import synth
 from qsolake.queries import CTE
 from qsolake.sources import guided
@@ -66,6 +67,14 @@ def import_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.col("path").alias("file"), F.col("nth").cast("long").alias("nth"), *[F.coalesce(F.try_element_at("values", F.lit(x)), F.lit("")).alias(x.lower()) for x in names], codes.alias("codes"))
 
 
+def import_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interpretation of each file that can be exported as ADIF, of the four of best score."""
+    texts = files(spark, sf_dir).withColumn("path", F.col("path").cast("string"))
+    heads = texts.selectExpr("path", "true AS utc_confirmed", *[f"CAST(NULL AS STRING) AS {c}" for c in ("contest", "station", "locator", "band", "scoring", "claimed_score", "dates")])
+    found = recovery.recover(texts, "adif", heads, date_order="dmy")
+    return found.select(F.col("path").cast("long").alias("file"), "selected", "errors", "reason", F.array_join(F.transform("tried", lambda t: t["candidate"]), ",").alias("tried"))
+
+
 _BASE = CTE + f", b AS (SELECT {synth.select(BASE)} FROM q)\n"
 DETECT_SQL = _BASE + f"""SELECT file, ['delimiter-2','delimiter-0','delimiter-1','delimiter-3','whitespace'][fmt + 1] AS candidate,
   CASE WHEN fmt = 4 THEN 'QSO_DATE TIME_ON FREQ MODE CALL' WHEN fmt = 3 THEN '{" ".join(NAMES)} ' ELSE '{" ".join(NAMES)}' END AS fields, (fmt < 4)::BIGINT AS n_header, count(*) AS n_qso,
@@ -85,5 +94,5 @@ CONTACTS_SQL = _BASE + f""", v AS (SELECT *, row_number() OVER (PARTITION BY fil
     CASE WHEN unsure THEN 'ambiguous-date' END, CASE WHEN f = '10.368G' THEN 'invalid-frequency' WHEN f = '999999' AND fmt <> 3 THEN 'ambiguous-frequency' END, CASE WHEN m = '' THEN 'missing-field' END,
     CASE WHEN c = 'NOCALL' THEN 'invalid-call' END, CASE WHEN srx <> '' AND NOT regexp_full_match(srx, '[0-9]+') THEN 'invalid-number' END, CASE WHEN gridsquare = 'ZZ99' THEN 'invalid-locator' END,
     CASE WHEN fmt = 2 AND line_no % 29 = 0 OR fmt = 3 AND line_no % 23 <> 0 THEN 'structure' END, CASE WHEN k > 1 THEN 'duplicate-row' END], lambda z: z IS NOT NULL)), ',') AS codes FROM x"""
-QUERIES = {"import_detect": import_detect, "import_contacts": import_contacts}
+QUERIES = {"import_detect": import_detect, "import_contacts": import_contacts, "import_recovery": import_recovery}
 ORACLES = {"import_detect": DETECT_SQL, "import_contacts": CONTACTS_SQL}

@@ -283,7 +283,7 @@ def sessions(files: DataFrame, picked: DataFrame | None = None, *, limits: Limit
     def shares(i: Column) -> Column:
         values = F.transform("_seen", lambda r: trimmed(F.coalesce(F.get(r["cells"], i), F.lit(""))))
         return let(values, lambda v: let(F.filter(v, lambda x: x != ""), lambda some: F.struct(*[
-            (F.size(F.filter(some, test)) / F.size(some) > 0.8).alias(name)
+            (F.size(F.filter(some, test)) > F.size(some) * 0.8).alias(name)
             for name, test in {"date": is_date, "mode": is_mode, "freq": _frequency, "time": is_time, "call": is_call, "grid": is_grid}.items()
         ], (F.size(F.filter(v, is_call)) > F.size(v) * 0.8).alias("calls"), (F.size(F.filter(v, is_grid)) > F.size(v) * 0.8).alias("grids"))))
 
