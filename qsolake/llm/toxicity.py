@@ -74,39 +74,45 @@ def grams(bare: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """What is known of words: the hash of their letters without EDGES (0 if nothing is left), and the letters' ratio."""
+    """What is known of words: the hash of their letters without EDGES (0 if nothing is left), and the weighed ratio of
+    these letters, at the place of each word."""
 
-    SIZE = 200_000
+    SIZE = 300_000
 
     def __init__(self, letters: Letters | None = None, weight: float = 0.0):
-        self.hash: dict[str, int] = {}
-        self.ratio: dict[str, float] = {}
-        self.letters = letters if weight else None
-        self.weight = weight
+        self.letters, self.weight = letters if weight else None, weight
+        self.clear()
 
-    def learn(self, found: list[str]) -> None:
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.hash, self.ratio = np.zeros(0, np.uint64), np.zeros(0)
+
+    def learn(self, texts: list[list[str]]) -> None:
         import xxhash
 
-        new = [w for w in dict.fromkeys(found) if w not in self.hash]
+        if len(self.place) > self.SIZE:
+            self.clear()
+        new = [w for w in set().union(*texts) if w not in self.place]
+        if not new:
+            return
         bare = [w.strip(EDGES) for w in new]
-        self.hash.update((w, xxhash.xxh64_intdigest(b) or 1 if b else 0) for w, b in zip(new, bare))
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+        made = np.fromiter((xxhash.xxh64_intdigest(b) or 1 if b else 0 for b in bare), np.uint64, len(bare))
+        self.hash = np.concatenate([self.hash, made])
         if self.letters:
-            self.ratio.update(zip(new, (self.weight * self.letters.ratios(bare)).tolist()))
+            self.ratio = np.concatenate([self.ratio, self.weight * self.letters.ratios(bare)])
 
-    def numbered(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the words of a text, and the weighed ratios of their letters."""
-        found = (text or "").lower().split()
-        if len(self.hash) > self.SIZE:
-            self.clear()
+    def numbered(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each text the hashes of its words, and the weighed ratios of their letters."""
+        found = [(text or "").lower().split() for text in texts]
         self.learn(found)
-        made = np.fromiter(map(self.hash.__getitem__, found), np.uint64, len(found))
-        kept = made != 0
-        ratio = np.fromiter(map(self.ratio.__getitem__, found), np.float64, len(found)) if self.letters else np.zeros(len(found))
-        return made[kept], ratio[kept]
-
-    def clear(self) -> None:
-        self.hash.clear()
-        self.ratio.clear()
+        out = []
+        for words in found:
+            at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+            made = self.hash[at]
+            kept = made != 0
+            out.append((made[kept], self.ratio[at[kept]] if self.letters else np.zeros(int(kept.sum()))))
+        return out
 
 
 def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -303,7 +309,7 @@ def fit(train: DataFrame) -> Model:
         known = Words()
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found, _ = known.numbered(text)
+                found, _ = known.numbered([text])[0]
                 pairs = np.unique(np.stack([found[:-1], found[1:]], 1), axis=0)
                 bare = [b for b in {w.strip(EDGES) for w in (text or "").lower().split()} if b]
                 for kind, h, w in (
@@ -358,11 +364,11 @@ def chosen_weight(train: DataFrame, model: Broadcast) -> tuple[float, float]:
 
 
 #: Texts that are scored at once.
-AT_ONCE = 100
+AT_ONCE = 200
 
 
 def evidence(texts: list[str | None], known: Words, model: Model) -> list[float]:
-    found = [known.numbered(x) for x in texts]
+    found = known.numbered(texts)
     lengths = np.array([len(x) for x, _ in found])
     starts = np.cumsum(lengths) - lengths
     ratios = model.ratios(np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]), starts)
@@ -372,7 +378,7 @@ def evidence(texts: list[str | None], known: Words, model: Model) -> list[float]
 
 def evidence_without(text: str | None, toxic: bool, known: Words, model: Model) -> list[float]:
     """The evidence of a text learnt from, without its own counts, for each weight of the letters."""
-    found, _ = known.numbered(text)
+    found, _ = known.numbered([text])[0]
     bare = [b for w in (text or "").lower().split() if (b := w.strip(EDGES))]
     own = dict.fromkeys(bare)
     own = dict(zip(own, model.letters.ratios(list(own), int(toxic)).tolist()))
