@@ -44,7 +44,7 @@ PRIOR_WORDS = 50
 CUT = 0.7
 #: Lengths of the pieces of letters.
 GRAMS = (3, 4, 5)
-LETTER_WEIGHTS = (0.0, 0.5, 1.0)
+LETTER_WEIGHTS = (0.0, 1.0)
 #: Parts in which the driver fetches the pairs; a power of two.
 PARTS = 16
 EDGES = ".,;:!?\"'()[]{}<>*_-#$%&|"
@@ -79,13 +79,16 @@ class Words:
 
     SIZE = 300_000
 
-    def __init__(self, letters: Letters | None = None, weight: float = 0.0):
+    def __init__(self, letters: Letters | None = None, weight: float = 0.0, keys: np.ndarray | None = None):
+        """keys: the sorted hashes in which numbered() looks words up."""
         self.letters, self.weight = letters if weight else None, weight
+        self.keys = np.zeros(0, np.uint64) if keys is None else keys
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.hash, self.ratio = np.zeros(0, np.uint64), np.zeros(0)
+        self.key, self.there = np.zeros(0, np.int64), np.zeros(0, bool)
 
     def learn(self, texts: list[list[str]]) -> None:
         import xxhash
@@ -99,19 +102,21 @@ class Words:
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
         made = np.fromiter((xxhash.xxh64_intdigest(b) or 1 if b else 0 for b in bare), np.uint64, len(bare))
         self.hash = np.concatenate([self.hash, made])
+        key, there = at(self.keys, made)
+        self.key, self.there = np.concatenate([self.key, key]), np.concatenate([self.there, there])
         if self.letters:
             self.ratio = np.concatenate([self.ratio, self.weight * self.letters.ratios(bare)])
 
-    def numbered(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Of each text the hashes of its words, and the weighed ratios of their letters."""
+    def numbered(self, texts: list[str | None]) -> list[tuple[np.ndarray, ...]]:
+        """Of each text the hashes of its words, the weighed ratios of their letters, their places in keys, and whether
+        they are there."""
         found = [(text or "").lower().split() for text in texts]
         self.learn(found)
         out = []
         for words in found:
-            at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-            made = self.hash[at]
-            kept = made != 0
-            out.append((made[kept], self.ratio[at[kept]] if self.letters else np.zeros(int(kept.sum()))))
+            i = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+            i = i[self.hash[i] != 0]
+            out.append((self.hash[i], self.ratio[i] if self.letters else np.zeros(len(i)), self.key[i], self.there[i]))
         return out
 
 
@@ -245,10 +250,10 @@ class Model:
         s = sure(self.telling, chance(n[:, 1], n[:, 0], self.share))[:, None]
         return s * own + (1 - s) * (np.maximum(n.sum(1), 1) / self.total.sum())[:, None] * tilt
 
-    def ratios(self, found: np.ndarray, letters: np.ndarray, starts: np.ndarray, own: int | None = None) -> np.ndarray:
-        """Log ratio of each word of texts that begin at starts, by the ratio of its letters; with own, without this text's
-        counts in that class."""
-        place, there = at(self.word, found)
+    def ratios(self, found: np.ndarray, letters: np.ndarray, starts: np.ndarray, where: list[np.ndarray], own: int | None = None) -> np.ndarray:
+        """Log ratio of each word of texts that begin at starts, by the ratio of its letters; where: the words' places among
+        the model's, and whether they are there; with own, without this text's counts in that class."""
+        place, there = where
         n = self.n[place].astype(np.int64)
         if own is not None:
             n[:, own] -= there
@@ -309,7 +314,7 @@ def fit(train: DataFrame) -> Model:
         known = Words()
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found, _ = known.numbered([text])[0]
+                found = known.numbered([text])[0][0]
                 pairs = np.unique(np.stack([found[:-1], found[1:]], 1), axis=0)
                 bare = [b for b in {w.strip(EDGES) for w in (text or "").lower().split()} if b]
                 for kind, h, w in (
@@ -369,27 +374,28 @@ AT_ONCE = 200
 
 def evidence(texts: list[str | None], known: Words, model: Model) -> list[float]:
     found = known.numbered(texts)
-    lengths = np.array([len(x) for x, _ in found])
+    lengths = np.array([len(x[0]) for x in found])
     starts = np.cumsum(lengths) - lengths
-    ratios = model.ratios(np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]), starts)
+    words, letters, *where = map(np.concatenate, zip(*found))
+    ratios = model.ratios(words, letters, starts, where)
     sums = np.concatenate([[0.0], np.cumsum(ratios)])
     return ((sums[starts + lengths] - sums[starts]) / (lengths + PRIOR_WORDS)).tolist()
 
 
 def evidence_without(text: str | None, toxic: bool, known: Words, model: Model) -> list[float]:
     """The evidence of a text learnt from, without its own counts, for each weight of the letters."""
-    found, _ = known.numbered([text])[0]
+    found, _, *where = known.numbered([text])[0]
     bare = [b for w in (text or "").lower().split() if (b := w.strip(EDGES))]
     own = dict.fromkeys(bare)
     own = dict(zip(own, model.letters.ratios(list(own), int(toxic)).tolist()))
     letters = np.fromiter(map(own.__getitem__, bare), np.float64, len(bare))
-    return [float(model.ratios(found, w * letters, np.zeros(1, np.int64), int(toxic)).sum() / (len(found) + PRIOR_WORDS)) for w in LETTER_WEIGHTS]
+    return [float(model.ratios(found, w * letters, np.zeros(1, np.int64), where, int(toxic)).sum() / (len(found) + PRIOR_WORDS)) for w in LETTER_WEIGHTS]
 
 
 def evidence_udf(model: Broadcast, weight: float):
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = Words(model.value.letters, weight)
+        known = Words(model.value.letters, weight, model.value.word)
         for texts in batches:
             made = [x for i in range(0, len(texts), AT_ONCE) for x in evidence(list(texts[i : i + AT_ONCE]), known, model.value)]
             yield pd.Series(made, dtype="float64")
@@ -402,7 +408,7 @@ def evidence_udf(model: Broadcast, weight: float):
 def evidence_without_udf(model: Broadcast):
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        known = Words()
+        known = Words(keys=model.value.word)
         for texts, toxic in batches:
             yield pd.Series([evidence_without(t, y, known, model.value) for t, y in zip(texts, toxic)])
 
