@@ -224,9 +224,17 @@ def chosen(candidates: DataFrame, candidate: str | None = None) -> DataFrame:
 # --- rows and columns --------------------------------------------------------------------------------------------
 
 
+def column(name, field="", unit="auto", confidence=0.0, constant=None, upper=False, date_order=None, locked=False) -> Column:
+    """A column of a session. One that a user has set is locked; a constant stands for its cells."""
+    given = {"name": name, "field": field, "unit": unit, "confidence": confidence, "constant": constant, "upper": upper, "date_order": date_order, "locked": locked}
+    kinds = {"confidence": "double", "upper": "boolean", "locked": "boolean"}
+    return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).cast(kinds.get(k, "string")).alias(k) for k, v in given.items()])
+
+
 def sessions(files: DataFrame, picked: DataFrame | None = None, *, limits: Limits = Limits()) -> DataFrame:
-    """path, candidate, score, columns (name, field, confidence, unit), rows (nth, original, cells, kind, errors),
-    metadata, grouped and rejected, of each file as chosen() reads it."""
+    """path, candidate, score, columns (as column() makes them), rows (nth, original, cells, kind, errors, and
+    originals: what stood in each cell before edits, null without any), metadata, grouped and rejected, of each file as chosen()
+    reads it."""
     picked = chosen(interpretations(files, limits=limits)) if picked is None else picked
     df = readable(files).join(picked, "path", "left").withColumn("_long", over(F.length("text"), limits.characters))
     df = df.withColumn("text", F.when(F.col("_long"), "").otherwise(F.col("text"))).withColumn("strategy", F.coalesce("strategy", F.lit("whitespace")))
@@ -269,7 +277,7 @@ def sessions(files: DataFrame, picked: DataFrame | None = None, *, limits: Limit
         joined = F.concat(F.slice(r["cells"], 1, F.col("_tail")), F.array(F.regexp_replace(rest, r"(?U)\s+$", "")))
         k = kind(r)
         long = (k == "qso") & F.coalesce(F.size(r["cells"]) > F.col("_tail") + 1, F.lit(False))
-        return F.struct(i.alias("nth"), r["original"].alias("original"), F.when(long, joined).otherwise(r["cells"]).alias("cells"), k.alias("kind"), r["errors"].alias("errors"))
+        return F.struct(i.alias("nth"), r["original"].alias("original"), F.when(long, joined).otherwise(r["cells"]).alias("cells"), k.alias("kind"), r["errors"].alias("errors"), F.lit(None).cast("array<string>").alias("originals"))
 
     df = df.withColumn("rows", F.transform("_all", shaped)).withColumn("_data", F.filter("rows", lambda r: r["kind"] == "qso"))
     sizes = F.transform(F.slice("_data", 1, 200), lambda r: F.size(r["cells"]))
@@ -300,14 +308,12 @@ def sessions(files: DataFrame, picked: DataFrame | None = None, *, limits: Limit
 
     df = df.withColumn("_named", F.aggregate(places, F.col("_first"), infer))
     unit = lambda name: F.when(name.rlike("(?i)khz"), "kHz").when(name.rlike("(?i)mhz"), "MHz").otherwise("auto")
-    column = lambda i: F.struct(
-        F.get("_titles", i).alias("name"), F.get("_named", i).alias("field"), unit(F.get("_titles", i)).alias("unit"),
-        F.when(F.get("_first", i) != "", 0.98).when(F.get("_named", i) != "", 0.85).otherwise(0.0).alias("confidence"),
-    )
+    sure = lambda i: F.when(F.get("_first", i) != "", 0.98).when(F.get("_named", i) != "", 0.85).otherwise(0.0)
+    shown = lambda i: column(F.get("_titles", i), F.get("_named", i), unit(F.get("_titles", i)), sure(i))
     pairs = F.transform(F.filter("rows", lambda r: r["kind"] == "metadata"), lambda r: F.struct(
         trimmed(F.regexp_extract(r["original"], r"^\s*([^:=]+)[:=]", 1)).alias("k"), trimmed(F.regexp_extract(r["original"], r"^\s*[^:=]+[:=]\s*(.*)$", 1)).alias("v")))
     standing = let(pairs, lambda p: F.filter(p, lambda x, i: ~F.exists(F.slice(p, i + 2, F.size(p)), lambda y: y["k"] == x["k"])))
-    return df.select("path", "candidate", "score", F.transform(places, column).alias("columns"), "rows", F.map_from_entries(standing).alias("metadata"), "grouped", "strategy", "rejected")
+    return df.select("path", "candidate", "score", F.transform(places, shown).alias("columns"), "rows", F.map_from_entries(standing).alias("metadata"), "grouped", "strategy", "rejected")
 
 
 def _frequency(s: Column) -> Column:
@@ -331,16 +337,16 @@ def _checked(value: Column, code: Column) -> Column:
     return F.struct(value.alias("value"), code.alias("code"))
 
 
-def _date(v: Column, order: str) -> Column:
+def _date(v: Column, order: Column) -> Column:
     part = lambda pattern, k: F.regexp_extract(v, pattern, k)
     iso, last = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})$"
     joined = lambda y, m, d: F.concat(y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
     a, b, y = part(last, 1), part(last, 2), part(last, 3)
     over = lambda x: x.try_cast("int") > 12
-    day_first = F.lit(order == "dmy") | (F.lit(order != "mdy") & over(a))
+    day_first = (order == "dmy") | ((order != "mdy") & over(a))
     digits = (
         F.when(v.rlike(r"^\d{8}$"), v).when(v.rlike(iso), joined(part(iso, 1), part(iso, 2), part(iso, 3)))
-        .when(v.rlike(last) & day_first, joined(y, b, a)).when(v.rlike(last) & (F.lit(order == "mdy") | over(b)), joined(y, a, b))
+        .when(v.rlike(last) & day_first, joined(y, b, a)).when(v.rlike(last) & ((order == "mdy") | over(b)), joined(y, a, b))
     )
 
     def judged(d: Column) -> Column:
@@ -373,7 +379,7 @@ def _megahertz(v: Column, unit: Column) -> Column:
     return let(number, judged)
 
 
-def _normal(field: Column, raw: Column, unit: Column, date_order: str) -> Column:
+def _normal(field: Column, raw: Column, unit: Column, date_order: Column, upper: Column) -> Column:
     """value and code (null if nothing is wrong) of one cell of a field."""
 
     def of(v: Column) -> Column:
@@ -387,17 +393,61 @@ def _normal(field: Column, raw: Column, unit: Column, date_order: str) -> Column
                 .when(field.isin("RST_SENT", "RST_RCVD") & ~v.rlike(r"^([1-5][1-9][1-9]?|[+-]\d{1,2})$"), "invalid-report")))
         )
 
-    return let(F.when(field.isin(CAPITALS), F.upper(raw)).otherwise(raw), of)
+    return let(F.when(field.isin(CAPITALS) | upper, F.upper(raw)).otherwise(raw), of)
+
+
+def _changes(x: Column) -> Column:
+    """What was done to a cell until it was a value, in order."""
+    field, text, value = x["field"], x["text"], x["n"]["value"]
+    capital = F.upper(text)
+    return F.array_compact(F.array(
+        F.when(x["edited"], "edited"), F.when(x["fixed"], "constant"), F.when(x["given"] != text, "trimmed"), F.when((field.isin(CAPITALS) | x["upper"]) & (text != capital), "case"),
+        F.when((field == "QSO_DATE") & (value != text), "date"), F.when((field == "TIME_ON") & (value != trimmed(x["original"])), "time"),
+        F.when((field == "FREQ") & (value != trimmed(x["original"])) & ~x["n"]["code"].eqNullSafe("invalid-frequency"), "frequency"),
+        F.when((field == "MODE") & capital.isin(list(MODES)), F.concat(F.lit("mode:"), capital)),
+    ))
+
+
+def _lineage(x: Column, field: Column, value: Column, changes: Column) -> Column:
+    """One value of a contact: the column and cell that it comes from, what was done to it, and how far it can be trusted."""
+
+    def classed(done: Column) -> Column:
+        errors = F.filter("_found", lambda i: (i["field"] == field) & (i["severity"] == "error"))
+        unsure = (~x["locked"] & (x["confidence"] < 0.95)) | ((field == "FREQ") & (x["unit"] == "auto") & (F.size(done) > 0))
+        sort = (
+            F.when(F.exists(errors, lambda i: i["code"].rlike("ambiguous|conflict|duplicate-mapping")), "ambiguous").when(F.size(errors) > 0, "unsupported")
+            .when(F.arrays_overlap(done, F.array(F.lit("edited"), F.lit("constant"))), "user-supplied").when(unsure, "suggested-repair")
+            .when(F.size(done) > 0, "lossless-normalization").otherwise("preserved")
+        )
+        return F.struct(
+            field.alias("field"), x["name"].alias("column"), x["place"].alias("place"), x["original"].alias("original"), value.alias("value"),
+            x["confidence"].alias("confidence"), done.alias("changes"), sort.alias("class"),
+        )
+
+    return let(changes, classed)
 
 
-def contacts(session: DataFrame, *, date_order: str = "auto") -> DataFrame:
+def contacts(session: DataFrame, *, date_order: str = "auto", lineage: bool = False) -> DataFrame:
     """path, nth, original, values (field to value), unmapped (column to cell) and issues (code, field, severity) of
-    every row taken for a contact. Values that a check refuses stay as they are, beside their issue."""
+    every row taken for a contact. Values that a check refuses stay as they are, beside their issue. date_order holds for
+    columns without their own.
+
+    With lineage, also the lineage of every value: field, column, place (null where derived), original (the cell before any
+    edit), value, confidence, changes and class (preserved, lossless-normalization, suggested-repair, user-supplied,
+    ambiguous, unsupported); one entry for each cell that fills the field, in the order of columns."""
     df = session.select("path", "columns", "grouped", "strategy", F.inline(F.filter("rows", lambda r: r["kind"] == "qso")))
     cell = lambda i: F.coalesce(F.get("cells", i), F.lit(""))
-    items = F.transform("columns", lambda c, i: F.struct(c["field"].alias("field"), trimmed(cell(i)).alias("raw"), c["unit"].alias("unit")))
-    items = F.filter(items, lambda x: (x["field"] != "") & (x["raw"] != ""))
-    items = F.transform(items, lambda x: F.struct(x["field"].alias("field"), F.upper(x["raw"]).alias("raw"), _normal(x["field"], x["raw"], x["unit"], date_order).alias("n")))
+    first_cell = lambda i: F.when(F.col("originals").isNull(), cell(i)).otherwise(F.coalesce(F.get("originals", i), F.lit("")))
+    given = lambda c, i: F.coalesce(c["constant"], cell(i))
+    items = F.transform("columns", lambda c, i: F.struct(
+        c["field"].alias("field"), trimmed(given(c, i)).alias("text"), c["unit"].alias("unit"), F.coalesce(c["date_order"], F.lit(date_order)).alias("order"), c["upper"].alias("upper"),
+        *([c["name"].alias("name"), i.alias("place"), c["confidence"].alias("confidence"), c["locked"].alias("locked"), given(c, i).alias("given"), first_cell(i).alias("original"),
+           (cell(i) != first_cell(i)).alias("edited"), c["constant"].isNotNull().alias("fixed")] if lineage else []),
+    ))
+    items = F.filter(items, lambda x: (x["field"] != "") & (x["text"] != ""))
+    kept = ["unit", "upper", "name", "place", "confidence", "locked", "given", "original", "edited", "fixed"] if lineage else []
+    items = F.transform(items, lambda x: F.struct(
+        x["field"].alias("field"), x["text"].alias("text"), F.upper(x["text"]).alias("raw"), _normal(x["field"], x["text"], x["unit"], x["order"], x["upper"]).alias("n"), *[x[k].alias(k) for k in kept]))
     df = df.withColumn("_items", items)
     first = lambda x, i: ~F.exists(F.slice("_items", 1, i), lambda y: y["field"] == x["field"])
     df = df.withColumn("_firsts", F.filter("_items", first))
@@ -408,10 +458,11 @@ def contacts(session: DataFrame, *, date_order: str = "auto") -> DataFrame:
     df = df.withColumns({"_side": side, "_sub": value("SUBMODE"), "_own": value("BAND"), "_freq": value("FREQ"), "_again": again})
     df = df.withColumn("_band", radio.import_frequency_band(F.col("_freq").try_cast("double")))
     more = lambda name, v, cond: F.when(cond, F.array(F.struct(F.lit(name).alias("key"), v.alias("value")))).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
+    banded = (F.col("_band") != "") & F.col("_own").isNull() & ~bad("FREQ") & ~F.exists("_again", lambda x: x["field"] == "FREQ")
     entries = F.concat(
         F.transform("_firsts", lambda x: F.struct(x["field"].alias("key"), x["n"]["value"].alias("value"))),
         more("SUBMODE", F.col("_side"), F.col("_side").isNotNull() & F.col("_sub").isNull()),
-        more("BAND", F.col("_band"), (F.col("_band") != "") & F.col("_own").isNull() & ~bad("FREQ") & ~F.exists("_again", lambda x: x["field"] == "FREQ")),
+        more("BAND", F.col("_band"), banded),
     )
     df = df.withColumn("values", F.map_from_entries(entries))
     short = F.size("cells") < F.size("columns")
@@ -433,9 +484,21 @@ def contacts(session: DataFrame, *, date_order: str = "auto") -> DataFrame:
     ]
     twice = F.row_number().over(Window.partitionBy("path", F.to_json("values")).orderBy("nth")) > 1
     made = df.withColumn("_found", F.concat(*[x.cast(ISSUE) for x in found])).withColumn("_twice", twice)
-    left = F.filter(F.transform("columns", lambda c, i: F.struct(F.concat(F.lit("column-"), i.cast("string")).alias("key"), F.when(c["field"] == "", cell(i)).alias("value"))), lambda x: x["value"].isNotNull())
+    left = F.filter(F.transform("columns", lambda c, i: F.struct(F.concat(F.lit("column-"), i.cast("string")).alias("key"), F.when(c["field"] == "", first_cell(i)).alias("value"))), lambda x: x["value"].isNotNull())
     extra = F.transform(F.slice("cells", F.size("columns") + 1, F.size("cells")), lambda c, i: F.struct(F.concat(F.lit("extra-"), i.cast("string")).alias("key"), c.alias("value")))
+    sides = F.filter("_items", lambda x: (x["field"] == "MODE") & x["raw"].isin("USB", "LSB"))
+    none = lambda kind: F.lit(None).cast(kind)
+    band = F.struct(
+        F.lit("BAND").alias("field"), F.lit("derived").alias("column"), none("int").alias("place"), F.col("_freq").alias("original"), F.col("_band").alias("value"),
+        F.lit(1.0).alias("confidence"), F.array(F.lit("band")).alias("changes"), F.lit("lossless-normalization").alias("class"),
+    )
+    lines = lambda: F.concat(
+        F.transform("_items", lambda x: _lineage(x, x["field"], x["n"]["value"], _changes(x))),
+        F.transform(sides, lambda x: _lineage(x, F.lit("SUBMODE"), x["raw"], F.array_append(_changes(x), F.lit("submode")))),
+        F.filter(F.array(band), lambda x: F.coalesce(banded, F.lit(False))),
+    )
     return made.select(
         "path", "nth", "original", "values", F.map_from_entries(F.concat(left, extra)).alias("unmapped"),
         F.concat("_found", if_so(F.col("_twice"), issue("duplicate-row", severity="warning")).cast(ISSUE)).alias("issues"),
+        *([lines().alias("lineage")] if lineage else []),
     )
