@@ -203,10 +203,9 @@ def edit(sessions: DataFrame, step: Split | Join | Add) -> DataFrame:
     if wrong:
         raise ValueError(wrong)
     fits = F.size("columns") > most
-    return sessions.withColumns({
-        "columns": F.when(fits, _columns(F.col("columns"), step)).otherwise(F.col("columns")),
-        "rows": F.when(fits, _stepped(F.col("rows"), step, F.size("columns"))).otherwise(F.col("rows")),
-    })
+    # Rows first: beside a new `columns`, the width in their lambdas would be taken from that.
+    rows = F.when(fits, _stepped(F.col("rows"), step, F.size("columns"))).otherwise(F.col("rows"))
+    return sessions.withColumn("rows", rows).withColumn("columns", F.when(fits, _columns(F.col("columns"), step)).otherwise(F.col("columns")))
 
 
 def split_width(sessions: DataFrame, index: int, separator: str) -> int:
