@@ -40,14 +40,20 @@ def lineage(df, **kw):
     return {(r.path, r.nth, x.field): x for r in guided.contacts(df, lineage=True, **kw).collect() for x in r.lineage}
 
 
-def test_replay_equals_single_steps(spark):
-    base = sessions(spark)
+def test_replay_equals_single_steps(spark, tmp_path):
+    def written(df):
+        """Each edit's result as a table, as a chain of them plans slowly."""
+        path = str(tmp_path / f"s{len(list(tmp_path.iterdir()))}")
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    base = written(sessions(spark))
     step = base.where("path IN ('one', 'two')")
     for s in STEPS:
-        step = workspace.edit(step, s)
+        step = written(workspace.edit(step, s))
     for i, name, field in ((5, "Serial", "STX"), (6, "Rest", "COMMENT"), (7, "Operator", "OPERATOR")):
-        step = workspace.map_column(step, i, name=name, field=field, **({"constant": "q1op"} if field == "OPERATOR" else {}))
-    done = workspace.replay(base, RECIPE)
+        step = workspace.map_column(written(step), i, name=name, field=field, **({"constant": "q1op"} if field == "OPERATOR" else {}))
+    step, done = written(step), written(workspace.replay(base, RECIPE))
     both = {k: v for k, v in cells(done).items() if k[0] in ("one", "two")}
     assert both == cells(step)
     assert both["one", 1] == (["20260906", "1200", "Q3M", "144.3", "SSB", "001", "KK11AA Portable", ""], ["20260906", "1200", "Q3M", "144.3", "SSB", "001 KK11AA Portable", "001 KK11AA Portable | 001 KK11AA Portable", ""])
