@@ -9,6 +9,7 @@ A null text gives no line and no contact. Order within a log is line_no or recor
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 from xml.parsers import expat
 
 import pandas as pd
@@ -182,22 +183,28 @@ def edi_headers(logs: DataFrame, text_col: str = "text") -> DataFrame:
 TAG = re.compile(r"<\s*([A-Z][A-Z0-9_]*)(?::(\d+)(?::([^>]+))?)?\s*>", re.IGNORECASE)
 
 
-def scan_tags(record: str) -> list[tuple[str, str, str | None]]:
-    """Tags of a record; a tag's length, in UTF-16 units, says where its value ends and the next tag may begin."""
-    wide = any(c > "￿" for c in record)
+def scan_spans(record: str) -> list[tuple[str, str, str | None, int, int]]:
+    """Tags of a record with the places where each begins and ends, in characters. A tag's length, in UTF-16 units, says
+    where its value ends and the next tag may begin; one that ends within a character takes all of it."""
+    wide = any(c > "\uffff" for c in record)
     if wide:
         record = "".join(chr(u) for u in memoryview(record.encode("utf-16-le")).cast("H"))
+        place = [0, *accumulate(int(not 0xDC00 <= ord(c) < 0xE000) for c in record)]
     found, at = [], 0
     while tag := TAG.search(record, at):
         at = tag.end()
         if tag[2] is not None and tag[1].upper() not in ("EOH", "EOR"):
-            at += int(tag[2])
-            found.append((tag[1].upper(), record[tag.end() : at], tag[3]))
+            at = min(at + int(tag[2]), len(record))
+            found.append((tag[1].upper(), record[tag.end() : at], tag[3], tag.start(), at))
     if wide:
-        found = [(n, v.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace"), t) for n, v, t in found]
+        found = [(n, v.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace"), t, place[a], place[b]) for n, v, t, a, b in found]
     return found
 
 
+def scan_tags(record: str) -> list[tuple[str, str, str | None]]:
+    return [tag[:3] for tag in scan_spans(record)]
+
+
 def tags_of(record: str) -> Column:
     @F.pandas_udf(TAGS)
     def run(records: pd.Series) -> pd.Series:

@@ -6,12 +6,12 @@ from collections import Counter
 import duckdb
 import pytest
 
-from qsolake import export_queries, import_queries, log_queries, queries, rule_queries, text_queries
+from qsolake import edit_queries, export_queries, import_queries, log_queries, queries, rule_queries, text_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
-MADE = queries.QUERIES | log_queries.QUERIES | import_queries.QUERIES | export_queries.QUERIES | rule_queries.QUERIES | text_queries.QUERIES
-SQL = queries.ORACLES | log_queries.ORACLES | import_queries.ORACLES | export_queries.ORACLES | rule_queries.ORACLES | text_queries.ORACLES
+MADE = queries.QUERIES | log_queries.QUERIES | import_queries.QUERIES | export_queries.QUERIES | edit_queries.QUERIES | rule_queries.QUERIES | text_queries.QUERIES
+SQL = queries.ORACLES | log_queries.ORACLES | import_queries.ORACLES | export_queries.ORACLES | edit_queries.ORACLES | rule_queries.ORACLES | text_queries.ORACLES
 
 
 @pytest.fixture(scope="module")
