@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qsolake.operators import adif_edits
+from qsolake.operators import adif_edits, cabrillo_lines
 from qsolake.plans import synth
 
 QUERIES, ORACLES = {}, {}
@@ -80,3 +80,98 @@ def adif_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = F.concat("p.header", F.array_join(F.transform("p.records", lambda r: F.concat(r["body"], r["end"])), ""), "p.tail")
     heads = adif_edits.adif_documents(adif_files(spark, sf_dir)).select("file", F.array_join(F.transform("header_tags", lambda t: F.concat(t["name"], F.lit("="), t["value"])), ",").alias("header"))
     return cut.select("file", F.size("p.records").cast("long").alias("records"), (again == F.col("text")).alias("same"), F.col("p.tail").alias("tail")).join(heads, "file")
+
+
+# --- contact lines of many contests, and their repairs -------------------------------------------------------------
+
+CONTEST = f"CASE {FILE} % 4 WHEN 0 THEN 'ANY' WHEN 1 THEN 'SPRING-CW' WHEN 2 THEN 'DARC-WAEDC-SSB' ELSE 'VHF' END"
+LINE = {
+    "file": FILE, "n": "line_no", "k": f"{FILE} % 4", "f": "CASE WHEN line_no % 4 = 0 THEN '7.05' ELSE '14050' END",
+    "m": f"CASE WHEN {FILE} % 4 = 2 THEN 'PH' WHEN line_no % 3 = 0 THEN 'CW' WHEN line_no % 3 = 1 THEN 'ssb' ELSE 'PH' END",
+    "d": "CASE WHEN line_no % 5 = 0 THEN qso_date ELSE concat_ws('-', substr(qso_date, 1, 4), substr(qso_date, 5, 2), substr(qso_date, 7, 2)) END",
+    "t": "CASE WHEN line_no % 7 = 0 THEN substr(time_on, 1, 2) || ':' || substr(time_on, 3, 2) ELSE time_on END", "own": "my_call", "sent": "sent", "call": "call",
+    "rcvd": "CASE WHEN rcvd = '' THEN '000' ELSE rcvd END", "grid": "CASE WHEN grid = '' THEN '' ELSE substr(grid, 1, 4) END",
+}
+_BLANKS = "CASE WHEN n % 6 = 0 THEN '  ' ELSE '' END"
+_TOKENS = "f || ' ' || m || ' ' || d || ' ' || t || ' ' || own || ' 599 ' || sent || ' ' || call || ' 59 ' || rcvd"
+
+
+def fixed(f: str, m: str, d: str, t: str, width: int, rest: str = "") -> str:
+    left = f"'QSO: ' || rpad({f}, 5, ' ') || ' ' || rpad({m}, 2, ' ') || ' ' || rpad({d}, 10, ' ') || ' ' || rpad({t}, 4, ' ') || ' ' || rpad(own, 13, ' ') || ' 599 '"
+    return f"rtrim({left} || rpad(sent, {width}, ' ') || ' ' || rpad(call, 13, ' ') || ' 59  ' || rpad(rcvd, {width}, ' '){rest})"
+
+
+#: Without a layout by blanks or tabs, with one by blanks after a leading one, compact, or at its columns.
+VHF = fixed("f", "substr(m, 1, 2)", "d", "substr(t, 1, 4)", 4, " || ' ' || rpad(grid, 6, ' ')")
+WRITTEN = f"CASE k WHEN 0 THEN 'QSO:' || CASE WHEN n % 11 = 0 THEN chr(9) ELSE ' ' END || {_TOKENS} WHEN 1 THEN ' QSO: ' || {_TOKENS} WHEN 2 THEN 'QSO: ' || {_TOKENS} ELSE {VHF} END || {_BLANKS}"
+MIDDLE = [("MY_CALL", 13), ("RST_SENT", 3), ("STX", 4), ("CALL", 13), ("RST_RCVD", 3), ("SRX", 4)]
+LAYOUTS = [("SPRING", 76, [4, 10, 13, 24, 29], MIDDLE), ("VHF", 80, [4, 10, 13, 24, 29], [*MIDDLE, ("GRIDSQUARE", 6)])]
+
+
+def line_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = synth.qso(spark, sf_dir).selectExpr("*", f"{CONTEST} AS contest").selectExpr("contest", *[f"{v} AS {k}" for k, v in LINE.items()]).selectExpr("file", "contest", "n", f"{WRITTEN} AS line")
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\r\n")
+    made = rows.groupBy("file", "contest").agg(body.alias("body"))
+    return made.select("file", F.concat(F.lit("START-OF-LOG: 3.0\r\nContest: "), F.lower("contest"), F.lit(" \r\n"), "body", F.lit("\r\nEND-OF-LOG:")).alias("text"))
+
+
+def layouts(spark: SparkSession) -> DataFrame:
+    return cabrillo_lines.layout_table(spark, spark.createDataFrame(LAYOUTS, cabrillo_lines.LAYOUT))
+
+
+_LINES = f"""WITH l AS (SELECT *, (row_number() OVER (PARTITION BY file ORDER BY n) + 2)::BIGINT AS line_no FROM (SELECT {synth.select(LINE)} FROM {synth.QSO_SQL})),
+  w AS (SELECT *, {WRITTEN} AS before, {VHF} AS vhf FROM l)"""
+
+
+@query("parse_layouts", f"""{_LINES} SELECT file, line_no, CASE k WHEN 0 THEN '-' WHEN 1 THEN 'SPRING' WHEN 2 THEN 'DARC-WAEDC-SSB' ELSE 'VHF' END AS layout, f AS frequency,
+  CASE WHEN k = 3 THEN substr(m, 1, 2) ELSE m END AS mode, d AS date, CASE WHEN k = 3 THEN substr(t, 1, 4) ELSE t END AS time, own AS my_call, call, sent AS sent_exchange,
+  rcvd || CASE WHEN k = 3 AND grid <> '' THEN ' ' || grid ELSE '' END AS received_exchange FROM w""")
+def parse_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cabrillo_lines.contest_contacts(line_files(spark, sf_dir), layouts(spark)).withColumn("layout", F.coalesce("layout", F.lit("-")))
+    return found.select("file", F.col("line_no").cast("long").alias("line_no"), "layout", "frequency", "mode", "date", "time", "my_call", "call", "sent_exchange", "received_exchange")
+
+
+# A mode of two letters or an hour cut off at its column stays as it is.
+_NEW = {
+    "f": "CASE WHEN n % 4 = 0 THEN '7050' ELSE f END", "m": "CASE WHEN m = 'ssb' THEN CASE WHEN k = 3 THEN 'ss' ELSE 'PH' END ELSE m END",
+    "d": "CASE WHEN n % 5 = 0 THEN concat_ws('-', substr(d, 1, 4), substr(d, 5, 2), substr(d, 7, 2)) ELSE d END", "t": "CASE WHEN n % 7 = 0 THEN CASE WHEN k = 3 THEN substr(t, 1, 4) ELSE replace(t, ':', '') END ELSE t END",
+}
+_AFTER = f"""{_LINES}, x AS (SELECT *, rtrim(replace(before, chr(9), '    ')) AS plain, list_filter([CASE WHEN k = 0 AND n % 11 = 0 THEN 'Expand tabs to fixed-width spaces' END, CASE WHEN n % 5 = 0 THEN 'Normalize date to YYYY-MM-DD' END,
+    CASE WHEN n % 7 = 0 AND k <> 3 THEN 'Normalize time to HHMM' END, CASE WHEN m = 'ssb' AND k <> 3 THEN 'Map mode SSB to PH' END, CASE WHEN n % 4 = 0 THEN 'Normalize frequency to kHz' END], lambda r: r IS NOT NULL) AS found FROM w),
+  y AS (SELECT *, CASE WHEN k = 2 OR k = 0 AND len(found) = 0 THEN plain WHEN k = 0 THEN {fixed(*_NEW.values(), 6)}
+    WHEN k = 1 THEN {fixed(*_NEW.values(), 4)} ELSE {fixed(*_NEW.values(), 4, " || ' ' || rpad(grid, 6, ' ')")} END AS after FROM x),
+  z AS (SELECT *, list_concat(found, CASE WHEN k IN (1, 3) AND after <> plain THEN ['Realign to ' || CASE k WHEN 1 THEN 'SPRING' ELSE 'VHF' END || ' columns'] ELSE [] END) AS reasons FROM y WHERE after <> before),
+  heads AS (SELECT DISTINCT file, 2::BIGINT AS line_no, 'Contest: ' || lower({CONTEST.replace(FILE, 'file')}) AS after FROM l),
+  changes AS (SELECT file, line_no, before, after, CASE WHEN len(reasons) = 0 THEN 'Remove trailing whitespace' ELSE array_to_string(reasons, '; ') END AS reasons FROM z
+    UNION ALL SELECT file, line_no, after || ' ', after, 'Remove trailing whitespace' FROM heads)"""
+
+
+@query("repair_preview", f"{_AFTER} SELECT * FROM changes")
+def repair_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cabrillo_lines.repairs(line_files(spark, sf_dir), layouts(spark))
+    return found.select("file", F.col("line_no").cast("long").alias("line_no"), "before", "after", F.array_join("reasons", "; ").alias("reasons"))
+
+
+def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repairs, some of them of a line that has changed since, some with a second one, and some of no line."""
+    found = cabrillo_lines.repairs(line_files(spark, sf_dir), layouts(spark)).select("file", "line_no", "before", "after")
+    stale = found.withColumn("before", F.when((F.col("line_no") + F.col("file")) % 13 == 0, F.concat("before", F.lit("!"))).otherwise(F.col("before")))
+    second = stale.where((F.col("line_no") + F.col("file")) % 17 == 0).withColumn("after", F.lit("QSO: other"))
+    return stale.unionByName(second).unionByName(found.where("line_no = 2").withColumn("line_no", F.col("line_no") + 100_000))
+
+
+_STATE = "CASE WHEN (line_no + file) % 17 = 0 THEN 'overlap' WHEN (line_no + file) % 13 = 0 THEN 'stale' ELSE 'applied' END"
+
+
+@query("repair_states", f"{_AFTER} SELECT file, line_no, {_STATE} AS state FROM changes UNION ALL SELECT file, line_no + 100000, 'missing' FROM heads")
+def repair_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cabrillo_lines.repair_states(line_files(spark, sf_dir), _planted(spark, sf_dir))
+    return found.select("file", F.col("line_no").cast("long").alias("line_no"), "state")
+
+
+@query("repair_apply", f"""{_AFTER}, kept AS (SELECT * FROM changes WHERE {_STATE} = 'applied'), parts AS (
+    SELECT w.file, w.line_no, coalesce(kept.after, w.before) AS line FROM w LEFT JOIN kept ON w.file = kept.file AND w.line_no = kept.line_no
+    UNION ALL SELECT h.file, 2, coalesce(kept.after, h.after || ' ') FROM heads h LEFT JOIN kept ON h.file = kept.file AND kept.line_no = 2)
+  SELECT file, 'START-OF-LOG: 3.0' || chr(13) || chr(10) || string_agg(line, chr(13) || chr(10) ORDER BY line_no) || chr(13) || chr(10) || 'END-OF-LOG:' AS text FROM parts GROUP BY file""")
+def repair_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cabrillo_lines.apply_repairs(line_files(spark, sf_dir), _planted(spark, sf_dir))
