@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qsolake.operators import adif_edits, cabrillo_lines
+from qsolake.operators import adif_edits, cabrillo_lines, qtcs
 from qsolake.plans import synth
 
 QUERIES, ORACLES = {}, {}
@@ -175,3 +175,59 @@ def repair_states(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT file, 'START-OF-LOG: 3.0' || chr(13) || chr(10) || string_agg(line, chr(13) || chr(10) ORDER BY line_no) || chr(13) || chr(10) || 'END-OF-LOG:' AS text FROM parts GROUP BY file""")
 def repair_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cabrillo_lines.apply_repairs(line_files(spark, sf_dir), _planted(spark, sf_dir))
+
+
+# --- QTCs --------------------------------------------------------------------------------------------------------
+
+QTC_CONTEST = f"CASE {FILE} % 4 WHEN 0 THEN 'DARC-WAEDC-CW' WHEN 1 THEN 'DARC-WAEDC-SSB' WHEN 2 THEN 'DARC-WAEDC-RTTY' ELSE 'ANY' END"
+OWN_MODE = f"CASE {FILE} % 4 WHEN 0 THEN 'CW' WHEN 1 THEN 'PH' ELSE 'RY' END"
+PART = "CAST(floor(line_no % 50 / 10) + 1 AS BIGINT)"
+RECEIVER = f"CASE WHEN {FILE} % 5 = 0 THEN 'DL1AA' WHEN line_no % 7 = 0 THEN 'JA1XX' ELSE 'DL' || CAST({PART} AS STRING) || 'AA' END"
+QTC = {
+    "file": FILE, "n": "line_no", "k": f"{FILE} % 4", "f": "CASE WHEN line_no % 53 = 0 THEN '10120' WHEN line_no % 2 = 0 THEN '14050' ELSE '14060' END",
+    "m": f"CASE WHEN line_no % 47 = 0 THEN 'FM' ELSE {OWN_MODE} END", "d": "CASE WHEN line_no % 43 = 0 THEN '2026-13-40' ELSE '2026-08-09' END", "t": "CASE WHEN line_no % 41 = 0 THEN '2460' ELSE time_on END",
+    "rx": RECEIVER, "g": f"CASE WHEN line_no % 19 = 0 THEN 'x' WHEN line_no % 23 = 0 THEN '0/10' ELSE CAST({PART} AS STRING) || '/10' END", "tx": "CASE WHEN line_no % 11 = 0 THEN 'DL9ZZ' ELSE 'PY2AB' END",
+    "qt": "CASE WHEN line_no % 13 = 0 THEN '1200' WHEN line_no % 37 = 0 THEN '99' ELSE time_on END",
+    "qc": f"CASE WHEN line_no % 13 = 0 THEN 'k1abc' WHEN line_no % 17 = 0 THEN {RECEIVER} WHEN line_no % 31 = 0 THEN 'NOCALL' ELSE 'W1' || chr(CAST(65 + line_no % 26 AS INT)) || 'Z' END",
+    "qs": "CASE WHEN line_no % 13 = 0 THEN '77' WHEN line_no % 29 = 0 THEN 'X1' ELSE CAST(line_no % 1000 AS STRING) END",
+}
+SHAPED = """rtrim('QTC: ' || rpad(f, 5, ' ') || ' ' || rpad(m, 2, ' ') || ' ' || d || ' ' || t || ' ' || rpad(rx, 13, ' ') || ' ' || rpad(g, 6, ' ') || '     ' || rpad(tx, 13, ' ') || ' '
+  || rpad(qt, 4, ' ') || ' ' || rpad(qc, 13, ' ') || ' ' || rpad(qs, 4, ' '))"""
+BLANKS = "concat_ws(' ', 'qtc:', f, m, d, t, rx, g, tx, qt, qc, qs)"
+CONTACT_LINE = """'QSO: ' || f || ' ' || CASE WHEN n % 8 = 0 THEN 'CW' ELSE m END || ' 2026-08-09 1200 K1ABC 599 ' || CASE WHEN n % 12 = 0 THEN 'AB' ELSE '001' END || ' DL1AA 599 ' || CASE WHEN n % 20 = 0 THEN 'QTC' ELSE '7' END"""
+
+
+def qtc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of 50 QTCs, one in two at its columns, with a contact before every fourth."""
+    rows = synth.qso(spark, sf_dir).selectExpr(f"{QTC_CONTEST} AS contest", *[f"{v} AS {k}" for k, v in QTC.items()])
+    lines = rows.selectExpr("file", "contest", "n", f"CASE WHEN n % 4 = 0 THEN {CONTACT_LINE} || chr(10) ELSE '' END || CASE WHEN n % 2 = 0 THEN {SHAPED} ELSE {BLANKS} END AS line")
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
+    return lines.groupBy("file", "contest").agg(body.alias("body")).select("file", F.concat(F.lit("CONTEST: "), "contest", F.lit("\n"), "body").alias("text"))
+
+
+_QTCS = f"""WITH a AS (SELECT {synth.select(QTC)} FROM {synth.QSO_SQL}), b AS (SELECT *, sum(CASE WHEN n % 4 = 0 THEN 2 ELSE 1 END) OVER (PARTITION BY file ORDER BY n) + 1 AS line_no FROM a),
+  v AS (SELECT *, CASE k WHEN 0 THEN 'CW' WHEN 1 THEN 'PH' ELSE 'RY' END AS own, CASE WHEN g <> 'x' THEN split_part(g, '/', 1) END AS series FROM b)"""
+
+
+@query("parse_qtcs", f"""{_QTCS} SELECT file, line_no::BIGINT AS line_no, f AS frequency, m AS mode, d AS date, t AS time, rx AS receiver, g AS series, tx AS sender, qt AS qso_time, qc AS qso_call, qs AS qso_serial FROM v""")
+def parse_qtcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qtcs.qtc_lines(qtc_files(spark, sf_dir)).withColumn("line_no", F.col("line_no").cast("long"))
+
+
+@query("check_qtc", f"""{_QTCS}, w AS (SELECT * FROM v WHERE k <> 3) SELECT file, line_no::BIGINT AS line_no, code, field FROM (
+  SELECT file, line_no - 1 AS line_no, 'WAEDC-QSO-MODE' AS code, 'MODE' AS field FROM w WHERE n % 4 = 0 AND CASE WHEN n % 8 = 0 THEN 'CW' ELSE m END <> own
+  UNION ALL SELECT file, line_no - 1, 'WAEDC-STX', 'STX_STRING' FROM w WHERE n % 12 = 0 UNION ALL SELECT file, line_no - 1, 'WAEDC-SRX', 'SRX_STRING' FROM w WHERE n % 20 = 0
+  UNION ALL SELECT file, line_no, 'QTC-FREQUENCY', 'FREQUENCY' FROM w WHERE f = '10120' UNION ALL SELECT file, line_no, 'QTC-MODE', 'MODE' FROM w WHERE m = 'FM'
+  UNION ALL SELECT file, line_no, 'QTC-DATE', 'QSO_DATE' FROM w WHERE d <> '2026-08-09' UNION ALL SELECT file, line_no, 'QTC-TIME', 'TIME_ON' FROM w WHERE t = '2460'
+  UNION ALL SELECT file, line_no, 'QTC-QSO-TIME', 'TIME_QSO' FROM w WHERE qt = '99' UNION ALL SELECT file, line_no, 'QTC-CALL', 'CALL_QSO' FROM w WHERE qc = 'NOCALL'
+  UNION ALL SELECT file, line_no, 'QTC-SERIAL', 'NR_QSO' FROM w WHERE qs = 'X1' UNION ALL SELECT file, line_no, 'QTC-GROUP', 'QTC_GROUP' FROM w WHERE g IN ('x', '0/10')
+  UNION ALL SELECT file, line_no, 'QTC-RETURN', 'CALL_QSO' FROM w WHERE qc = rx
+  UNION ALL SELECT file, line_no, 'QTC-REPORTED-TWICE', 'CALL_QSO' FROM (SELECT *, row_number() OVER (PARTITION BY file, qt, upper(qc), qs ORDER BY line_no) AS nth FROM w) WHERE nth > 1
+  UNION ALL SELECT file, line_no, 'QTC-CONTINENT', 'CALL_RX' FROM w WHERE own = 'RY' AND rx <> 'JA1XX' AND tx = 'DL9ZZ'
+  UNION ALL SELECT file, line_no, 'QTC-RECEIVER-EU', 'CALL_RX' FROM w WHERE own <> 'RY' AND rx = 'JA1XX' UNION ALL SELECT file, line_no, 'QTC-SENDER-DX', 'CALL_TX' FROM w WHERE own <> 'RY' AND tx = 'DL9ZZ'
+  UNION ALL SELECT file, min(line_no), 'QTC-SERIES-SIZE', 'QTC_GROUP' FROM w WHERE series IS NOT NULL GROUP BY file, tx, series HAVING count(*) <> 10
+  UNION ALL SELECT file, min(line_no), 'QTC-SERIES-METADATA', 'QTC_GROUP' FROM w WHERE series IS NOT NULL GROUP BY file, tx, series HAVING count(DISTINCT CASE WHEN f = '10120' THEN '30M' ELSE '20M' END || m || rx) > 1
+  UNION ALL SELECT file, 0, 'QTC-PAIR-LIMIT', '' FROM w GROUP BY file, tx, rx HAVING count(*) > 10)""")
+def check_qtc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = qtcs.check_qtcs(qtc_files(spark, sf_dir), synth.countries(spark))
+    return found.select("file", F.col("line_no").cast("long").alias("line_no"), "code", "field")
