@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qsolake.operators import adif_edits, cabrillo_lines, qtcs
-from qsolake.plans import synth
+from qsolake import rule_queries
+from qsolake.operators import adif_edits, cabrillo_lines, contacts, qtcs
+from qsolake.plans import contest_view, synth
+from qsolake.sources import writers
 
 QUERIES, ORACLES = {}, {}
 
@@ -231,3 +233,55 @@ def parse_qtcs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def check_qtc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = qtcs.check_qtcs(qtc_files(spark, sf_dir), synth.countries(spark))
     return found.select("file", F.col("line_no").cast("long").alias("line_no"), "code", "field")
+
+
+@query("rule_wae_dx_with_qtcs", f"""WITH t AS ({rule_queries.RULE_SQL["wae-dx"]}), s AS (SELECT doc_id, count(*) AS sent FROM {contest_view.CONTACTS_SQL} WHERE line_no % 5 = 0 GROUP BY doc_id)
+  SELECT doc_id, qsos, duplicates, points, multipliers, ((points + coalesce(sent, 0)) * multipliers)::BIGINT AS total FROM t LEFT JOIN s USING (doc_id)""")
+def rule_wae_dx_with_qtcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log for each station of the contest view, with a QTC for every fifth contact, read for the number of its QTCs."""
+    rows = contest_view.contacts(spark, sf_dir).where("line_no % 5 = 0").selectExpr("doc_id", "concat_ws(' ', 'QTC: 14050 CW 2026-08-09 1200 DL1AA 1/10', my_call, time_on, call, line_no) AS line")
+    texts = rows.groupBy("doc_id").agg(F.concat(F.lit("CONTEST: DARC-WAEDC-CW\n"), F.array_join(F.collect_list("line"), "\n")).alias("text"))
+    return rule_queries.rule_totals(spark, sf_dir, "wae-dx", qtcs.qtc_counts(texts))
+
+
+# --- duplicates of records ---------------------------------------------------------------------------------------
+
+#: Every fourth event again as a record of its own, with a change by its number: none, the call's letters, the time, another
+#: band, mode, submode, station or activity. Calls grow with the events, so pairs do as the records.
+RECORD_FIELDS = {
+    "BAND": "CASE WHEN v = 4 THEN '40m' WHEN n % 2 = 0 THEN '' ELSE '20M' END",
+    "CALL": "CASE WHEN v = 1 THEN 'q' ELSE 'Q' END || CAST(floor(n / 20) AS BIGINT) || 'AB'",
+    "COMMENT": "CASE WHEN v = 9 THEN 'again' ELSE '' END", "FREQ": "CASE WHEN n % 2 = 0 THEN '14.05' ELSE '' END", "MODE": "CASE WHEN v = 5 THEN 'DATA' ELSE 'MFSK' END",
+    "MY_STATE": "CASE WHEN v = 7 THEN 'TX' ELSE '' END", "QSO_DATE": "qso_date", "SIG_INFO": "CASE WHEN v = 8 THEN 'P-1' ELSE '' END", "SUBMODE": "CASE WHEN v = 6 THEN 'FT4' WHEN n % 3 = 0 THEN '' ELSE 'JS8' END",
+    "TIME_ON": "CASE v WHEN 2 THEN substr(time_on, 1, 2) || lpad(CAST((CAST(substr(time_on, 3, 2) AS INT) + n % 9) % 60 AS STRING), 2, '0') WHEN 3 THEN 'noon' ELSE time_on || '15' END",
+}
+_ORIGINAL = ("line_no * 2 AS id", "line_no AS n", "qso_date", "time_on", "0 AS v")
+_COPY = ("line_no * 2 + 1 AS id", "line_no AS n", "qso_date", "time_on", "CAST(floor(line_no / 4) % 10 AS INT) AS v")
+
+
+def duplicate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = synth.qso(spark, sf_dir)
+    both = rows.selectExpr(*_ORIGINAL).unionByName(rows.where("line_no % 4 = 0").selectExpr(*_COPY))
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.expr(x).alias("value")) for k, x in RECORD_FIELDS.items()])
+    return both.select("id", F.map_from_entries(F.filter(pairs, lambda p: p["value"] != "")).alias("fields"))
+
+
+_DIFFERING = "concat_ws(';', " + ", ".join(f"CASE WHEN a.{k} <> b.{k} THEN '{k}' END" for k in RECORD_FIELDS) + ")"
+_DUPLICATES = f"""WITH r AS (SELECT id, v, {synth.select(RECORD_FIELDS)} FROM (SELECT {', '.join(_ORIGINAL)} FROM {synth.QSO_SQL} UNION ALL SELECT {', '.join(_COPY)} FROM {synth.QSO_SQL} WHERE line_no % 4 = 0)),
+  m AS (SELECT *, CASE WHEN v <> 3 THEN CAST(substr(TIME_ON, 1, 2) AS INT) * 60 + CAST(substr(TIME_ON, 3, 2) AS INT) END AS t, CASE WHEN BAND = '' THEN '20M' ELSE upper(BAND) END AS b, CASE WHEN SUBMODE = '' THEN MODE ELSE SUBMODE END AS md FROM r),
+  p AS (SELECT a.id AS first, b.id AS second, abs(a.t - b.t) AS delta, a.b = b.b AND a.md = b.md AS alike, a.MY_STATE = b.MY_STATE AS same, a.SIG_INFO <> b.SIG_INFO AS act, upper(a.CALL) AS first_call, upper(b.CALL) AS second_call, {_DIFFERING} AS differing
+    FROM m a JOIN m b ON upper(a.CALL) = upper(b.CALL) AND a.QSO_DATE = b.QSO_DATE AND a.id < b.id AND abs(a.t - b.t) <= 5),
+  k AS (SELECT *, CASE WHEN act THEN 'activity-aware' WHEN delta = 0 AND alike AND same THEN 'lotw' WHEN delta = 0 AND alike THEN 'exact' WHEN alike THEN 'near' ELSE 'possible' END AS kind FROM p WHERE alike OR delta = 0),
+  z AS (SELECT *, CASE kind WHEN 'near' THEN 'Same call, band, and mode within ' || delta || ' minutes' WHEN 'activity-aware' THEN 'Similar QSO with different activity references; keep both unless confirmed'
+    WHEN 'lotw' THEN 'Matches documented LoTW identity fields' WHEN 'exact' THEN 'Same call, date/time, band, and mode' ELSE 'Same call and time with differing band or mode' END AS reason FROM k)"""
+
+
+@query("duplicate_candidates", _DUPLICATES + " SELECT first, second, kind, delta::INT AS delta, reason, differing FROM z")
+def duplicate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contacts.duplicate_candidates(duplicate_records(spark, sf_dir))
+    return found.select("first", "second", "kind", F.col("delta").cast("int").alias("delta"), "reason", F.array_join("differing", ";").alias("differing"))
+
+
+@query("duplicate_report", _DUPLICATES + """ SELECT first, second, '"' || concat_ws('","', kind, first_call, second_call, differing, reason) || '"' AS line FROM z""")
+def duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writers.duplicate_lines(contacts.duplicate_candidates(duplicate_records(spark, sf_dir)))

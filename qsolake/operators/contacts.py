@@ -26,29 +26,67 @@ def flag_duplicates(frame: DataFrame, keys: list[Column], *, order: str = "line_
     return frame.withColumn("duplicate", nth > 1)
 
 
-def duplicate_pairs(frame: DataFrame, tolerance: int = 5, activity: list[str] | None = None) -> DataFrame:
-    """first, second, kind: contacts of one call and date that may be the same.
+# The fields by which confirmations are matched beside call, time, band and mode, and those of an activity.
+MATCHED = ("PROP_MODE", "SAT_NAME", "STATION_CALLSIGN", "MY_DXCC", "MY_STATE", "MY_CNTY", "MY_GRIDSQUARE")
+ACTIVITY = ("SIG", "SIG_INFO", "MY_SIG", "MY_SIG_INFO")
+
+
+def duplicate_pairs(frame: DataFrame, tolerance: int = 5, activity: list[str] | None = None, identity: list[str] | None = None) -> DataFrame:
+    """first, second, kind, delta: contacts of one call and date that may be the same.
 
     frame: id, call, qso_date, epoch_min (null if unknown), band, mode. Pairs further apart than the tolerance are
-    none, so each contact is put into the time slots it can reach and only contacts of one slot meet."""
+    none, so each contact is put into the time slots it can reach and only contacts of one slot meet. With the columns
+    of identity an exact pair that agrees in all of them is lotw."""
     slot = max(tolerance, 0) + 1
     base = frame.where(key_part("call") != "").select(
         "id", key_part("call").alias("c"), key_part("qso_date").alias("d"), F.col("epoch_min").alias("t"), "band", key_part("mode").alias("m"),
         (F.concat_ws("|", *[key_part(x) for x in activity]) if activity else F.lit("")).alias("act"),
+        F.array(*[key_part(x) for x in identity or ()]).cast("array<string>").alias("own"),
     )
     here = base.where(F.col("t").isNotNull()).withColumn("slot", F.floor(F.col("t") / slot))
     left = here.select(*[F.col(c).alias(f"a_{c}") for c in here.columns if c not in ("c", "d", "slot")], "c", "d", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"))
     right = here.select(*[F.col(c).alias(f"b_{c}") for c in here.columns if c not in ("c", "d", "slot")], "c", "d", "slot")
     delta = F.abs(F.col("a_t") - F.col("b_t"))
     alike = (F.col("a_band") == F.col("b_band")) & (F.col("a_m") == F.col("b_m"))
+    matched = (F.col("a_own") == F.col("b_own")) if identity else F.lit(False)
     kind = (
-        F.when((delta == 0) & alike, "exact").when((delta <= tolerance) & alike, "near").when(delta == 0, "possible")
+        F.when((delta == 0) & alike & matched, "lotw").when((delta == 0) & alike, "exact").when((delta <= tolerance) & alike, "near").when(delta == 0, "possible")
     )
     pairs = left.join(right, ["c", "d", "slot"]).where(F.col("a_id") < F.col("b_id")).withColumn("kind", kind).where("kind is not null")
     kinds = F.when(F.col("a_act") != F.col("b_act"), "activity-aware").otherwise(F.col("kind"))
     return pairs.select(F.col("a_id").alias("first"), F.col("b_id").alias("second"), kinds.alias("kind"), delta.alias("delta"))
 
 
+def duplicate_candidates(frame: DataFrame, tolerance: int = 5) -> DataFrame:
+    """first, second, kind, delta, reason, differing (sorted names of fields), first_call, second_call.
+
+    frame: id and fields (a map of a record's fields; a missing one counts as empty). Bands come from the frequency where
+    none is given, a submode goes before its mode, a record without a date of eight digits or a time of four is in no pair.
+    The maps join the pairs by id once these are found, so that they aren't copied into every slot."""
+    of = lambda n: F.upper(trimmed(F.coalesce(F.try_element_at("fields", F.lit(n)), F.lit(""))))
+    filled = lambda n: F.nullif(of(n), F.lit(""))
+    date, time = of("QSO_DATE"), F.substring(of("TIME_ON"), 1, 4)
+    # Pairs share a date, so minutes of the day tell how far apart they are.
+    minute = F.when(date.rlike(r"^\d{8}$") & time.rlike(r"^\d{4}$"), F.substring(time, 1, 2).try_cast("int") * 60 + F.substring(time, 3, 2).try_cast("int"))
+    slim = frame.select(
+        "id", of("CALL").alias("call"), date.alias("qso_date"), minute.alias("epoch_min"), F.coalesce(filled("BAND"), F.upper(band_from_frequency(of("FREQ")))).alias("band"),
+        F.coalesce(filled("SUBMODE"), of("MODE")).alias("mode"), *[of(n).alias(n) for n in (*MATCHED, *ACTIVITY)],
+    )
+    pairs = duplicate_pairs(slim, tolerance, list(ACTIVITY), list(MATCHED))
+    side = lambda n: frame.select(F.col("id").alias(n), F.coalesce("fields", F.create_map().cast("map<string,string>")).alias(f"_{n}"), of("CALL").alias(f"{n}_call"))
+    met = pairs.join(side("first"), "first").join(side("second"), "second")
+    value = lambda n, k: F.coalesce(F.try_element_at(f"_{n}", k), F.lit(""))
+    names = F.array_union(F.map_keys("_first"), F.map_keys("_second"))
+    differing = F.sort_array(F.filter(names, lambda k: value("first", k) != value("second", k)))
+    reason = (
+        F.when(F.col("kind") == "near", F.concat(F.lit("Same call, band, and mode within "), F.col("delta").cast("string"), F.lit(" minutes")))
+        .when(F.col("kind") == "activity-aware", "Similar QSO with different activity references; keep both unless confirmed")
+        .when(F.col("kind") == "lotw", "Matches documented LoTW identity fields").when(F.col("kind") == "exact", "Same call, date/time, band, and mode")
+        .otherwise("Same call and time with differing band or mode")
+    )
+    return met.select("first", "second", "kind", "delta", reason.alias("reason"), differing.alias("differing"), "first_call", "second_call")
+
+
 def merge(frames: list[DataFrame], keys: list[str], strategy: str = "keep-first") -> DataFrame:
     """One log of several, in their order. keep-last puts the last of a key where its first was.
 

@@ -98,5 +98,16 @@ def report_lines(rows: DataFrame, report: dict[str, str], keys: list[str]) -> Da
     return rows.select(*keys, csv_line([cell(h, c) for h, c in report.items()]).alias("line"))
 
 
+# The heading of the report of duplicates.
+DUPLICATE_HEADING = "Kind,First call,Second call,Differing fields,Reason"
+
+
+def duplicate_lines(candidates: DataFrame) -> DataFrame:
+    """first, second and the CSV line of each of contacts.duplicate_candidates(), every cell quoted."""
+    quoted = lambda v: F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))
+    cells = [F.col("kind"), F.col("first_call"), F.col("second_call"), F.array_join("differing", ";"), F.col("reason")]
+    return candidates.select("first", "second", F.array_join(F.array(*map(quoted, cells)), ",").alias("line"))
+
+
 def report_heading(report: dict[str, str]) -> str:
     return ",".join(report)
