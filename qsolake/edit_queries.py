@@ -285,3 +285,15 @@ def duplicate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("duplicate_report", _DUPLICATES + """ SELECT first, second, '"' || concat_ws('","', kind, first_call, second_call, differing, reason) || '"' AS line FROM z""")
 def duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.duplicate_lines(contacts.duplicate_candidates(duplicate_records(spark, sf_dir)))
+
+
+@query("resolve_merge_chains", f"""SELECT min(line_no) AS id, coalesce(arg_min(grid, line_no) FILTER (grid <> '' AND line_no % 7 >= 2), '') AS grid,
+  coalesce(arg_min(comment, line_no) FILTER (line_no % 7 >= 1), '') AS comment FROM {synth.QSO_SQL} GROUP BY floor(line_no / 7)""")
+def resolve_merge_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of seven contacts, each a pair with the next alone, whose cells are empty in the first ones."""
+    rows = synth.qso(spark, sf_dir).selectExpr(
+        "line_no AS id", "'Q' || CAST(floor(line_no / 7) AS BIGINT) || 'AB' AS call", "'20260101' AS qso_date", "line_no % 7 * 20 AS epoch_min", "'20M' AS band", "'CW' AS mode",
+        "CASE WHEN line_no % 7 < 2 THEN '' ELSE grid END AS grid", "CASE WHEN line_no % 7 < 1 THEN CAST(NULL AS STRING) ELSE comment END AS comment",
+    )
+    done = contacts.resolve_duplicates(rows.select("id", "grid", "comment"), contacts.duplicate_pairs(rows, 30), "merge")
+    return done.select("id", "grid", F.coalesce("comment", F.lit("")).alias("comment"))

@@ -257,8 +257,10 @@ PAIRS = CTE + """, pairs AS (SELECT DISTINCT a.line_no AS first, b.line_no AS se
 RESOLVED = {
     "keep-first": "SELECT line_no AS id, call, grid FROM q WHERE line_no NOT IN (SELECT second FROM pairs)",
     "keep-last": "SELECT line_no AS id, call, grid FROM q WHERE line_no NOT IN (SELECT first FROM pairs)",
-    "merge": """SELECT line_no AS id, call, CASE WHEN grid <> '' THEN grid ELSE coalesce((SELECT arg_min(b.grid, b.line_no) FROM pairs JOIN q b ON second = b.line_no WHERE first = q.line_no AND b.grid <> ''), '') END AS grid
-      FROM q WHERE line_no NOT IN (SELECT second FROM pairs)""",
+    "merge": """, way AS (SELECT first AS x, second AS y FROM pairs UNION SELECT second, first FROM pairs), reach(id, root) AS (SELECT DISTINCT x, x FROM way UNION SELECT way.y, reach.root FROM reach JOIN way ON way.x = reach.id),
+      class AS (SELECT id, min(root) AS root FROM reach GROUP BY id) SELECT line_no AS id, call,
+      CASE WHEN grid <> '' THEN grid ELSE coalesce((SELECT arg_min(b.grid, b.line_no) FROM class JOIN q b ON class.id = b.line_no WHERE class.root = q.line_no AND b.grid <> ''), '') END AS grid
+      FROM q WHERE line_no NOT IN (SELECT id FROM class WHERE id <> root)""",
 }
 
 
@@ -270,4 +272,4 @@ def resolved(spark: SparkSession, sf_dir: str, action: str) -> DataFrame:
 
 
 for _action, _sql in RESOLVED.items():
-    query(f"resolve_{_action.replace('-', '_')}", PAIRS + _sql)(partial(resolved, action=_action))
+    query(f"resolve_{_action.replace('-', '_')}", (PAIRS.replace("WITH", "WITH RECURSIVE", 1) if _action == "merge" else PAIRS) + _sql)(partial(resolved, action=_action))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qsolake.functions.radio import band_from_frequency, trimmed
+from qsolake.operators.components import components
 
 
 def key_part(name: str) -> Column:
@@ -181,19 +182,20 @@ def sorted_slots(frame: DataFrame, doc: str = "doc_id") -> DataFrame:
 def resolve_duplicates(frame: DataFrame, pairs: DataFrame, action: str) -> DataFrame:
     """frame (id) after the pairs (first, second) of duplicate_pairs() are resolved.
 
-    keep-first drops each pair's second row, keep-last its first, keep-both none. merge drops the second and fills the
-    first's empty cells from it, from the earliest where several are merged."""
+    keep-first drops each pair's second row, keep-last its first, keep-both none. merge keeps the smallest id of all rows
+    that pairs connect, also by way of others, and fills its empty cells from them, from the smallest id that has one."""
     if action == "keep-both":
         return frame
     if action not in ("keep-first", "keep-last", "merge"):
         raise ValueError(f"no action {action}")
-    gone = pairs.select(F.col("first" if action == "keep-last" else "second").alias("id")).distinct()
-    kept = frame.join(gone, "id", "left_anti")
     if action != "merge":
-        return kept
+        gone = pairs.select(F.col("first" if action == "keep-last" else "second").alias("id")).distinct()
+        return frame.join(gone, "id", "left_anti")
     cells = [c for c in frame.columns if c != "id"]
-    filled = lambda c: F.when(F.col(f"s.{c}").cast("string") != "", F.struct(F.col("s.id").alias("id"), F.col(f"s.{c}").alias("v")))
-    others = pairs.select(F.col("first").alias("_first"), F.col("second").alias("_second")).distinct().join(frame.alias("s"), F.col("_second") == F.col("s.id"))
-    second = others.groupBy(F.col("_first").alias("id")).agg(*[F.min(filled(c)).alias(f"_{c}") for c in cells])
+    grouped = frame.join(components(pairs).select("id", F.col("component").alias("_to")), "id", "left")
+    others = grouped.where(F.col("_to") != F.col("id"))
+    filled = lambda c: F.when(F.col(c).cast("string") != "", F.struct("id", F.col(c).alias("v")))
+    found = others.groupBy("_to").agg(*[F.min(filled(c)).alias(f"_{c}") for c in cells])
+    kept = grouped.where(F.col("_to").isNull() | (F.col("_to") == F.col("id"))).drop("_to").join(found, F.col("id") == F.col("_to"), "left")
     merged = [F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", F.coalesce(F.col(f"_{c}")["v"], F.col(c))).otherwise(F.col(c)).alias(c) for c in cells]
-    return kept.join(second, "id", "left").select("id", *merged).select(frame.columns)
+    return kept.select("id", *merged).select(frame.columns)
