@@ -23,6 +23,8 @@ replaced."""
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -73,51 +75,54 @@ def grams(bare: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys).view(np.int64), np.concatenate(owners)
 
 
+class Numbers(dict):
+    """Numbers words as they come, and lists those that are new."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class Words:
-    """What is known of words: the hash of their letters without EDGES (0 if nothing is left), and the weighed ratio of
-    these letters, at the place of each word."""
+    """What is known of words, once for all with the same letters: in hash that of the letters without EDGES (0 if nothing
+    is left), at the place of the letters."""
 
     SIZE = 300_000
 
-    def __init__(self, letters: Letters | None = None, weight: float = 0.0, keys: np.ndarray | None = None):
-        """keys: the sorted hashes in which numbered() looks words up."""
-        self.letters, self.weight = letters if weight else None, weight
-        self.keys = np.zeros(0, np.uint64) if keys is None else keys
+    def __init__(self):
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.hash, self.ratio = np.zeros(0, np.uint64), np.zeros(0)
-        self.key, self.there = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.number, self.place, self.bare = Numbers(), np.zeros(0, np.int64), Numbers()
+        self.hash = np.zeros(0, np.uint64)
 
-    def learn(self, texts: list[list[str]]) -> None:
+    def numbered(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the words of all texts one after the other, and how many there are in each."""
+        if len(self.number) > self.SIZE:
+            self.clear()
+        found = [(text or "").lower().split() for text in texts]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        i = np.fromiter(map(self.number.__getitem__, itertools.chain.from_iterable(found)), np.int64, int(lengths.sum()))
+        if self.number.new:
+            place = [self.bare[w.strip(EDGES)] for w in self.number.new]
+            self.place = np.concatenate([self.place, np.array(place, np.int64)])
+            if self.bare.new:
+                self.add(self.bare.new)
+            self.number.new, self.bare.new = [], []
+        i = self.place[i]
+        some = self.hash[i] != 0
+        return i[some], np.bincount(np.repeat(np.arange(len(found)), lengths)[some], minlength=len(found))
+
+    def add(self, bare: list[str]) -> None:
         import xxhash
 
-        if len(self.place) > self.SIZE:
-            self.clear()
-        new = [w for w in set().union(*texts) if w not in self.place]
-        if not new:
-            return
-        bare = [w.strip(EDGES) for w in new]
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
         made = np.fromiter((xxhash.xxh64_intdigest(b) or 1 if b else 0 for b in bare), np.uint64, len(bare))
         self.hash = np.concatenate([self.hash, made])
-        key, there = at(self.keys, made)
-        self.key, self.there = np.concatenate([self.key, key]), np.concatenate([self.there, there])
-        if self.letters:
-            self.ratio = np.concatenate([self.ratio, self.weight * self.letters.ratios(bare)])
-
-    def numbered(self, texts: list[str | None]) -> list[tuple[np.ndarray, ...]]:
-        """Of each text the hashes of its words, the weighed ratios of their letters, their places in keys, and whether
-        they are there."""
-        found = [(text or "").lower().split() for text in texts]
-        self.learn(found)
-        out = []
-        for words in found:
-            i = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-            i = i[self.hash[i] != 0]
-            out.append((self.hash[i], self.ratio[i] if self.letters else np.zeros(len(i)), self.key[i], self.there[i]))
-        return out
 
 
 def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -151,6 +156,33 @@ def at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place, keys[place] == wanted
 
 
+class Keys:
+    """Sorted hashes, looked up by their first bits: a start for each value of these, then one key after the other."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = max(len(keys).bit_length(), 1)
+        self.shift, self.half = keys.dtype.type(64 - bits), (1 << bits - 1) if keys.dtype.kind == "i" else 0
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(self.first(keys), minlength=1 << bits))]).astype(np.int32)
+
+    def first(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> self.shift).astype(np.int64) + self.half
+
+    def at(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As at(); the place of a key that isn't there is any."""
+        first = self.first(wanted)
+        place, end, there = self.starts[first].astype(np.int64), self.starts[first + 1], np.zeros(len(wanted), bool)
+        left = np.flatnonzero(place < end)
+        while len(left):
+            key, want = self.keys[place[left]], wanted[left]
+            there[left[key == want]] = True
+            left = left[key < want]
+            place[left] += 1
+            left = left[place[left] < end[left]]
+        place[~there] = 0
+        return place, there
+
+
 class Letters:
     """Counts of pieces of letters in documents of the toxic and the ordinary class (columns 1 and 0), keys sorted."""
 
@@ -177,20 +209,25 @@ class Letters:
         p = s * own + (1 - s) * alone[:, None]
         return np.where(n.sum(1) > 0, np.log(p[:, 1] / p[:, 0]), 0.0)
 
-    def ratios(self, bare: list[str], own: int | None = None) -> np.ndarray:
-        """Log ratio of words by their letters, the mean of their pieces; with own, without the counts of one document that
-        holds them all in that class."""
+    @functools.cached_property
+    def keys(self) -> Keys:
+        return Keys(self.key)
+
+    @functools.cached_property
+    def without(self) -> list[np.ndarray]:
+        """The ratio of each piece without one document of either class."""
+        return [self.ratio_of(np.maximum(self.n - one, 0).astype(np.int64)) for one in np.eye(2, dtype=np.int64)]
+
+    def ratios(self, bare: list[str], owns: list[int | None]) -> list[np.ndarray]:
+        """Log ratio of words by their letters, the mean of their pieces, for each of owns: a class of which the counts of
+        one document that holds them all are left out."""
         if not len(self.key) or not bare:
-            return np.zeros(len(bare))
+            return [np.zeros(len(bare)) for _ in owns]
         keys, owner = grams(bare)
-        place, there = at(self.key, keys)
-        if own is None:
-            r = np.where(there, self.known[place], 0.0)
-        else:
-            n = self.n[place].astype(np.int64)
-            n[:, own] -= there
-            r = np.where(there, self.ratio_of(np.maximum(n, 0)), 0.0)
-        return np.bincount(owner, r, len(bare)) / np.maximum(np.bincount(owner, minlength=len(bare)), 1)
+        place, there = self.keys.at(keys)
+        n = np.maximum(np.bincount(owner, minlength=len(bare)), 1)
+        place, owner = place[there], owner[there]
+        return [np.bincount(owner, (self.known if own is None else self.without[own])[place], len(bare)) / n for own in owns]
 
 
 class Model:
@@ -213,6 +250,15 @@ class Model:
         self.shared = int(np.maximum(self.follows, 1).sum(dtype=np.int64))
         self.telling = self.pair_telling = 0.01
         self.letters: Letters | None = None
+        self.made: dict[float, np.ndarray] = {}
+
+    @functools.cached_property
+    def words(self) -> Keys:
+        return Keys(self.word)
+
+    @functools.cached_property
+    def pairs(self) -> Keys:
+        return Keys(self.pair)
 
     @property
     def usable(self) -> bool:
@@ -250,38 +296,92 @@ class Model:
         s = sure(self.telling, chance(n[:, 1], n[:, 0], self.share))[:, None]
         return s * own + (1 - s) * (np.maximum(n.sum(1), 1) / self.total.sum())[:, None] * tilt
 
-    def ratios(self, found: np.ndarray, letters: np.ndarray, starts: np.ndarray, where: list[np.ndarray], own: int | None = None) -> np.ndarray:
-        """Log ratio of each word of texts that begin at starts, by the ratio of its letters; where: the words' places among
-        the model's, and whether they are there; with own, without this text's counts in that class."""
-        place, there = where
-        n = self.n[place].astype(np.int64)
-        if own is not None:
-            n[:, own] -= there
-            n = np.maximum(n, 0)
-        n[~there] = 0
-        p = self.probability(n, place, letters)
-        r = np.where(n.sum(1) > 0, np.log(p[:, 1] / p[:, 0]), letters)
-        if len(found) < 2:
-            return r
-        pair, both = at(self.pair, pair_keys(found[:-1], found[1:]).view(np.int64))
-        both[starts[(starts > 0) & (starts < len(found))] - 1] = False
-        i = np.flatnonzero(both)
-        m, h, q = self.pair_n[pair[i]].astype(np.int64), place[i], p[i + 1]
-        of, types, all_types = self.of[h].astype(np.int64), self.types[h].astype(np.int64), self.all_types[h].astype(np.int64)
+    def pair_ratios(self, pair: np.ndarray, before: np.ndarray, n: np.ndarray, q: np.ndarray, own: int | None = None) -> np.ndarray:
+        """Log ratio of pairs by their places, the places of the words they begin with, and count and probability of those
+        they end with; with own, without one document of that class, and none (nan) for a pair that isn't left."""
+        m, of, types, all_types = self.pair_n[pair].astype(np.int64), self.of[before].astype(np.int64), self.types[before].astype(np.int64), self.all_types[before].astype(np.int64)
+        out = np.full(len(pair), np.nan)
         if own is not None:
             m[:, own] -= 1
             of[:, own] -= 1
             types[:, own] -= m[:, own] == 0
             all_types -= m.sum(1) == 0
-            i, m, q, of, types, all_types = (x[m.sum(1) > 0] for x in (i, m, q, of, types, all_types))
-        alone = np.maximum(n[i + 1].sum(1), 1) / self.total.sum()
+        left = np.flatnonzero(m.sum(1) > 0)
+        if own is not None:
+            m, n, q, of, types, all_types = (x[left] for x in (m, n, q, of, types, all_types))
+        alone = np.maximum(n, 1) / self.total.sum()
         pool = (np.maximum(m.sum(1) - D, 0) + D * all_types * alone) / of.sum(1)
         back = pool[:, None] * q / alone[:, None]
         made = np.where(of > 0, (np.maximum(m - D, 0) + D * types * back) / np.maximum(of, 1), back)
         s = sure(self.pair_telling, chance(m[:, 1], m[:, 0], self.shares(q)))[:, None]
         made = s * made + (1 - s) * back
-        r[i + 1] = np.log(made[:, 1] / made[:, 0])
-        return r
+        out[left] = np.log(made[:, 1] / made[:, 0])
+        return out
+
+
+class Scores(Words):
+    """Words with what a model says of them, in ways (weight of the letters, class of which one document is left out).
+
+    A ratio follows from the word, or from its pair, alone. So it is worked out once for each, and those of pairs with all
+    counts stay with the model, as a Python worker uses one model in many tasks."""
+
+    def __init__(self, model: Model, ways: list[tuple[float, int | None]]):
+        self.model, self.ways = model, ways
+        super().__init__()
+
+    def clear(self) -> None:
+        super().clear()
+        self.at, self.there = np.zeros(0, np.int64), np.zeros(0, bool)
+        #: For each way count, probability and ratio.
+        self.said = [(np.zeros(0, np.int64), np.zeros((0, 2)), np.zeros(0)) for _ in self.ways]
+
+    def add(self, bare: list[str]) -> None:
+        super().add(bare)
+        place, there = self.model.words.at(self.hash[-len(bare) :])
+        self.at, self.there = np.concatenate([self.at, place]), np.concatenate([self.there, there])
+        owns = [own for weight, own in self.ways if weight]
+        by_letters = dict(zip(owns, self.model.letters.ratios(bare, owns)))
+        for k, (weight, own) in enumerate(self.ways):
+            letters = weight * by_letters[own] if weight else np.zeros(len(bare))
+            n = self.model.n[place].astype(np.int64)
+            if own is not None:
+                n[:, own] = np.maximum(n[:, own] - 1, 0)
+            n[~there] = 0
+            p = self.model.probability(n, place, letters)
+            n = n.sum(1)
+            r = np.where(n > 0, np.log(p[:, 1] / p[:, 0]), letters)
+            self.said[k] = tuple(map(np.concatenate, zip(self.said[k], (n, p, r))))
+
+    def of_pairs(self, k: int, pair: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        n, p, _ = self.said[k]
+        weight, own = self.ways[k]
+        if own is not None:
+            return self.model.pair_ratios(pair, self.at[before], n[after], p[after], own)
+        if weight not in self.model.made:
+            self.model.made[weight] = np.full(len(self.model.pair), np.nan)
+        made = self.model.made[weight]
+        new = np.flatnonzero(np.isnan(made[pair]))
+        made[pair[new]] = self.model.pair_ratios(pair[new], self.at[before[new]], n[after[new]], p[after[new]])
+        return made[pair]
+
+    def evidence(self, texts: list[str | None], ways: list[int]) -> np.ndarray:
+        """The evidence of each text (rows) in each of these ways (columns)."""
+        i, lengths = self.numbered(texts)
+        starts, full = np.cumsum(lengths) - lengths, lengths > 0
+        known = self.there[i]
+        both = known[:-1] & known[1:]
+        both[starts[(starts > 0) & (starts < len(i))] - 1] = False
+        second = np.flatnonzero(both) + 1
+        pair, there = self.model.pairs.at(pair_keys(self.hash[i[second - 1]], self.hash[i[second]]).view(np.int64))
+        pair, second = pair[there], second[there]
+        out = np.zeros((len(texts), len(ways)))
+        for column, k in enumerate(ways):
+            r = self.said[k][2][i]
+            made = self.of_pairs(k, pair, i[second - 1], i[second])
+            r[second] = np.where(np.isnan(made), r[second], made)
+            if len(r):
+                out[full, column] = np.add.reduceat(r, starts[full]) / (lengths[full] + PRIOR_WORDS)
+        return out
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, hold_out: bool = True) -> DataFrame:
@@ -292,10 +392,13 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, hol
     )
     few = [marks.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_CLASS) for c in (F.col("toxic"), ~F.col("toxic"))]
     chosen = few[0].unionByName(few[1])  # 2 x PER_CLASS rows at most
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), n_words(F.col(text_col)).alias("n"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # Words are counted after the join, in the aggregate: a filter by n would go below it and count those of every text.
+    short = F.col("n") <= LONGEST
     one = (
-        texts.where(F.col("n") <= LONGEST).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic")
-        .agg(F.min_by(F.struct("text", "n"), F.xxhash64("text")).alias("row")).select("doc_id", "toxic", "row.*")
+        texts.join(F.broadcast(chosen), "doc_id").withColumn("n", n_words(F.col("text"))).groupBy("doc_id", "toxic")
+        .agg(F.min_by(F.when(short, F.struct("text", "n")), F.when(short, F.xxhash64("text"))).alias("row"))
+        .where("row is not null").select("doc_id", "toxic", "row.*")
     )
     rows = written(one, "toxicity-rows")
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")  # PER_CLASS numbers at most
@@ -305,27 +408,47 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, hol
 
 #: Kinds of what is counted.
 WORD, PAIR, PIECE = 0, 1, 2
+#: Texts that are counted or scored at once.
+AT_ONCE = 200
+#: Rows that a task sums up before they are shuffled.
+HELD_ROWS = 1_000_000
 
 
 def fit(train: DataFrame) -> Model:
     """The counts of the bounded training rows."""
 
+    def summed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """Counts of each (kind, h, w, k, toxic) of documents that are held."""
+        for kind in (WORD, PAIR, PIECE):
+            h, w, k, lengths, toxic = zip(*(x[1:] for x in held if x[0] == kind))
+            h, w, k = map(np.concatenate, (h, w, k))
+            _, first, which = np.unique(k if kind == PAIR else w, return_index=True, return_inverse=True)
+            t = np.bincount(which, np.repeat(toxic, lengths), len(first)).astype(np.int64)
+            columns = np.full(len(first), kind, np.int64), h[first], w[first], k[first], t, np.bincount(which, minlength=len(first)) - t
+            for start in range(0, len(first), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[start : start + 50_000]) for x in columns], ["kind", "h", "w", "k", "t", "o"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
+        known, held, rows = Words(), [], 0
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = known.numbered([text])[0][0]
-                pairs = np.unique(np.stack([found[:-1], found[1:]], 1), axis=0)
-                bare = [b for b in {w.strip(EDGES) for w in (text or "").lower().split()} if b]
-                for kind, h, w in (
-                    (WORD, None, np.unique(found)), (PAIR, pairs[:, 0], pairs[:, 1]), (PIECE, None, np.unique(grams(bare)[0]) if bare else found[:0]),
-                ):
-                    h = np.zeros(len(w), np.int64) if h is None else h
-                    k = pair_keys(h, w) if kind == PAIR else h
-                    one, none = np.ones(len(w), np.int64), np.zeros(len(w), np.int64)
-                    columns = np.full(len(w), kind, np.int64), h.view(np.int64), w.view(np.int64), k.view(np.int64), *((one, none) if toxic else (none, one))
-                    for start in range(0, len(w), 50_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(x[start : start + 50_000]) for x in columns], ["kind", "h", "w", "k", "t", "o"])
+            for start in range(0, batch.num_rows, AT_ONCE):
+                texts, marks = (c.to_pylist() for c in batch.slice(start, AT_ONCE).columns[:2])
+                places, lengths = known.numbered(texts)
+                names = list(known.bare)
+                for i, toxic in zip(np.split(places, np.cumsum(lengths)[:-1]), marks):
+                    pairs, one = np.unique(i[:-1] << 32 | i[1:]), np.unique(i)
+                    h, w = known.hash[pairs >> 32], known.hash[pairs & (1 << 32) - 1]
+                    pieces = np.unique(grams(list(map(names.__getitem__, one.tolist())))[0]) if len(one) else one
+                    for kind, h, w in (WORD, None, known.hash[one]), (PAIR, h, w), (PIECE, None, pieces):
+                        h = np.zeros(len(w), np.int64) if h is None else h
+                        k = pair_keys(h, w) if kind == PAIR else h
+                        held.append((kind, *(x.view(np.int64) for x in (h, w, k)), len(w), int(toxic)))
+                        rows += len(w)
+                    if rows > HELD_ROWS:
+                        yield from summed(held)
+                        held, rows = [], 0
+        if held:
+            yield from summed(held)
 
     counts = train.mapInArrow(count, "kind long, h long, w long, k long, t long, o long").groupBy("kind", "h", "w", "k")
     counts = written(counts.agg(F.sum("t").cast("int").alias("t"), F.sum("o").cast("int").alias("o")), "toxicity-counts")
@@ -368,37 +491,13 @@ def chosen_weight(train: DataFrame, model: Broadcast) -> tuple[float, float]:
     return weight, cut
 
 
-#: Texts that are scored at once.
-AT_ONCE = 200
-
-
-def evidence(texts: list[str | None], known: Words, model: Model) -> list[float]:
-    found = known.numbered(texts)
-    lengths = np.array([len(x[0]) for x in found])
-    starts = np.cumsum(lengths) - lengths
-    words, letters, *where = map(np.concatenate, zip(*found))
-    ratios = model.ratios(words, letters, starts, where)
-    sums = np.concatenate([[0.0], np.cumsum(ratios)])
-    return ((sums[starts + lengths] - sums[starts]) / (lengths + PRIOR_WORDS)).tolist()
-
-
-def evidence_without(text: str | None, toxic: bool, known: Words, model: Model) -> list[float]:
-    """The evidence of a text learnt from, without its own counts, for each weight of the letters."""
-    found, _, *where = known.numbered([text])[0]
-    bare = [b for w in (text or "").lower().split() if (b := w.strip(EDGES))]
-    own = dict.fromkeys(bare)
-    own = dict(zip(own, model.letters.ratios(list(own), int(toxic)).tolist()))
-    letters = np.fromiter(map(own.__getitem__, bare), np.float64, len(bare))
-    return [float(model.ratios(found, w * letters, np.zeros(1, np.int64), where, int(toxic)).sum() / (len(found) + PRIOR_WORDS)) for w in LETTER_WEIGHTS]
-
-
 def evidence_udf(model: Broadcast, weight: float):
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = Words(model.value.letters, weight, model.value.word)
+        known = Scores(model.value, [(weight, None)])
         for texts in batches:
-            made = [x for i in range(0, len(texts), AT_ONCE) for x in evidence(list(texts[i : i + AT_ONCE]), known, model.value)]
-            yield pd.Series(made, dtype="float64")
+            made = [known.evidence(list(texts[i : i + AT_ONCE]), [0])[:, 0] for i in range(0, len(texts), AT_ONCE)]
+            yield pd.Series(np.concatenate([np.zeros(0), *made]), dtype="float64")
         known.clear()
         tidy()
 
@@ -406,11 +505,22 @@ def evidence_udf(model: Broadcast, weight: float):
 
 
 def evidence_without_udf(model: Broadcast):
+    """The evidence of texts learnt from, each without its own counts, for each weight of the letters."""
+
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        known = Words(keys=model.value.word)
+        known = Scores(model.value, [(weight, own) for own in (0, 1) for weight in LETTER_WEIGHTS])
+        n = len(LETTER_WEIGHTS)
         for texts, toxic in batches:
-            yield pd.Series([evidence_without(t, y, known, model.value) for t, y in zip(texts, toxic)])
+            made = np.zeros((len(texts), n))
+            for own in (0, 1):
+                rows = np.flatnonzero(toxic.to_numpy(bool) == bool(own))
+                for i in range(0, len(rows), AT_ONCE):
+                    some = rows[i : i + AT_ONCE]
+                    made[some] = known.evidence(list(texts.iloc[some]), list(range(own * n, own * n + n)))
+            yield pd.Series(made.tolist())
+        known.clear()
+        tidy()
 
     return run
 

@@ -4,8 +4,10 @@ import bisect
 import math
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import plain
 from pyspark.sql import functions as F
 from qsolake.llm import toxicity as tox
@@ -167,3 +169,28 @@ def test_pieces_are_told_apart():
     keys, owner = tox.grams(["pathetic", "ä", "clown"])
     assert Counter(owner.tolist()) == Counter({i: len(pieces(w)) for i, w in enumerate(("pathetic", "ä", "clown"))})
     assert len(set(keys.tolist())) == len({g for w in ("pathetic", "ä", "clown") for g in pieces(w)})
+
+
+def test_what_a_word_or_pair_says_is_worked_out_once(spark, monkeypatch):
+    rows = [(f"good words {i} are here", False) for i in range(30)] + [(f"vile words {i} are there", True) for i in range(30)]
+    model, seen, chance = tox.fit(spark.createDataFrame(rows, "text string, toxic boolean")), [], tox.chance
+    monkeypatch.setattr(tox, "chance", lambda t, o, share: (seen.append(len(t)), chance(t, o, share))[1])
+    worked = []
+    for copies in (tox.AT_ONCE // 2, 20 * tox.AT_ONCE):
+        model.made = {}
+        seen.clear()
+        texts = pd.Series(["Vile, words are (here)", "vile words are here!"] * copies + [None, ""])
+        (made,) = tox.evidence_udf(SimpleNamespace(value=model), 1.0).func(iter([texts]))
+        assert len(made) == len(texts) and made[0] == made[1] == made[2 * copies - 1] > 0 == made[2 * copies]
+        worked.append(sum(seen))
+    assert worked[0] == worked[1]
+
+
+def test_keys_are_found_by_their_first_bits():
+    rng = np.random.default_rng(3)
+    for kind in (np.int64, np.uint64):
+        for keys in (rng.integers(np.iinfo(kind).min, np.iinfo(kind).max, 5000, kind), np.arange(300, dtype=kind), np.array([np.iinfo(kind).min, np.iinfo(kind).max], kind), np.zeros(0, kind)):
+            keys = np.unique(keys)
+            wanted = np.concatenate([keys, keys + kind(1), keys - kind(1), np.array([0, 7, np.iinfo(kind).max], kind)])
+            place, there = tox.Keys(keys).at(wanted)
+            assert (there == np.isin(wanted, keys)).all() and (keys[place[there]] == wanted[there]).all()
