@@ -29,6 +29,8 @@ DIMENSIONS, BITS, SEED = 4, 8, 20_240_117
 SAMPLE = 2_000
 #: Ids of one range: small enough to sort in memory, large enough that its padded end doesn't count.
 RANGE_IDS = 1_000_000
+#: Documents that are encoded at once.
+AT_ONCE = 2_000
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, sequence_length long, ids binary"
 
 
@@ -99,9 +101,9 @@ def encoded(rows: DataFrame, tokenizer: str, bounds: list[int]) -> DataFrame:
         code, cuts = encoder(tokenizer), np.array(bounds, np.int64)
         vocabulary = code.tokenizer.get_vocab_size()
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                ids = [code.ids(x) for x in batch.column(1).to_pylist()]
+            for at in range(0, whole.num_rows, AT_ONCE):
+                batch = whole.slice(at, AT_ONCE)
+                ids = code.many(batch.column(1).to_pylist())
                 keys = document_key(ids, code.dtype, vocabulary, batch.column(2).to_pylist())
                 ranges = np.searchsorted(cuts, keys, side="right").astype(np.int32)
                 yield pa.RecordBatch.from_arrays(

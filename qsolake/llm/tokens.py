@@ -26,6 +26,11 @@ ODD = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n\t\r"]
 RUNS = ("  ", " \n", " \t", " \r")
 #: Entries of a memo.
 MEMO = 400_000
+#: Cuts that are kept as Arrow arrays, from texts that are encoded together; what marks them, and the characters of a text up
+#: to which it is among these.
+CUTS = 1_000_000
+CUT_MARK = "\x01"
+TOGETHER = 1_000_000
 
 
 def is_run(text: str) -> bool:
@@ -82,6 +87,8 @@ class Encoder:
         self.model = self.tokenizer.model
         self.alphabet = byte_alphabet()
         self.words = Memo(self._word)
+        #: Cuts of many() and their ids, as Arrow arrays.
+        self.known = None
 
     def _whole(self, text: str) -> bytes:
         (made,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
@@ -108,12 +115,57 @@ class Encoder:
         """The ids of the whole text as bytes of self.dtype; null is an empty text."""
         if not text:
             return b""
-        if any(c in text for c in ODD) or any(t in text for t in self.added):
+        if self._odd(text):
             return self._whole(text)
         if any(c in text for c in RUNS):
             return self._word(text)
         return b"".join(map(self.words.__getitem__, self._keys(text)))
 
+    def _odd(self, text: str) -> bool:
+        return any(c in text for c in ODD) or any(t in text for t in self.added)
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """ids() of each of some texts. Arrow numbers the cuts of all of them and finds those that are known, so that Python
+        handles only new ones; a text with unusual white space, the mark or great length goes by itself."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        out: list[bytes] = [b""] * len(texts)
+        plain, marked = [], []
+        for i, text in enumerate(texts):
+            if text and (len(text) > TOGETHER or CUT_MARK in text or any(c in text for c in RUNS) or self._odd(text)):
+                out[i] = self.ids(text)
+            elif text:
+                plain.append(i)
+                marked.append(self._marked(text))
+        if not plain:
+            return out
+        cuts = pc.split_pattern(pa.array(marked, pa.large_string()), pattern=CUT_MARK)
+        coded = pc.dictionary_encode(cuts.flatten())
+        if self.known is None:
+            self.known = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        found = pc.index_in(coded.dictionary, value_set=self.known[0])
+        new = coded.dictionary.filter(found.is_null())
+        made = [self._word(k) if k[-1:] in TAIL else self.words[k] for k in new.to_pylist()]
+        place = found.fill_null(-1).to_numpy().copy()
+        place[place < 0] = len(self.known[0]) + np.arange(len(new))
+        self.known = tuple(map(pa.concat_arrays, zip(self.known, (new, pa.array(made, pa.large_binary())))))
+        now = self.known[1].take(pa.array(place))
+        if len(self.known[0]) > CUTS:
+            self.known = coded.dictionary, now
+        parts = now.take(coded.indices)
+        starts, ids = map(memoryview, parts.buffers()[1:])
+        at = np.frombuffer(starts, np.int64)[cuts.offsets.to_numpy()].tolist()
+        for i, start, end in zip(plain, at, at[1:]):
+            out[i] = bytes(ids[start:end])
+        return out
+
+    @staticmethod
+    def _marked(text: str) -> str:
+        """The text with marks between its _keys()."""
+        marked = text.replace(" ", CUT_MARK + " ")
+        return marked if "\n\n" in text else marked.replace("\n", f"{CUT_MARK}\n{CUT_MARK}")
+
     @staticmethod
     def _keys(text: str) -> list[str]:
         """The cuts of a text without runs of blanks: words with the blank before them, and single line feeds."""

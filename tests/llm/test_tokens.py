@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import plain
-from qsolake.llm import packing, token_files
+from qsolake.llm import packing, token_files, tokens
 from qsolake.llm.tokens import encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +31,27 @@ def test_cut_text_encodes_as_the_whole(text):
     assert np.frombuffer(code.ids(text), code.dtype).tolist() == whole()(text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.one_of(st.sampled_from(list("aAéz'’s 0 1\n\t\r.,;!?-_<>|\xa0\x01漢")), st.characters(codec="utf-8")), max_size=40)), max_size=8))
+def test_texts_encode_together_as_alone(texts):
+    code = encoder(PATH)
+    assert [np.frombuffer(x, code.dtype).tolist() for x in code.many(texts)] == [whole()(t) for t in texts]
+
+
+def test_cuts_of_many_texts_are_encoded_once(monkeypatch):
+    made, word = [], tokens.Encoder._word
+    monkeypatch.setattr(tokens.Encoder, "_word", lambda self, text: (made.append(text), word(self, text))[1])
+    code, texts = tokens.Encoder(PATH), [f"some words, again\n\nand {i % 3} again. <|endoftext|>"[: 40 - i % 2 * 14] for i in range(60)]
+    code.words.size = 2
+    for _ in range(3):
+        assert [np.frombuffer(x, code.dtype).tolist() for x in code.many(texts)] == [whole()(t) for t in texts]
+    assert max(Counter(made).values()) <= 3
+    monkeypatch.setattr(tokens, "CUTS", 3)
+    for part in (texts, ["other words"], texts[:7]):
+        assert [np.frombuffer(x, code.dtype).tolist() for x in code.many(part)] == [whole()(t) for t in part]
+    assert len(code.known[0]) < 20
+
+
 def test_special_strings_are_as_in_the_library_or_text():
     text = "a <|endoftext|> b <|endoftext|>"
     code, literal = encoder(PATH), encoder(PATH, True)
