@@ -66,6 +66,23 @@ def test_adx(spark):
         assert logs.adx_records(one(spark, bad)).first().error
 
 
+def test_long_adx(spark, monkeypatch):
+    monkeypatch.setattr(logs, "ADX_CHUNK", 64)
+    record = "<RECORD><CALL>K{0}BB</CALL><COMMENT>\U0001f600 {0} &lt;</COMMENT><USERDEF FIELDNAME='z'>{0}</USERDEF></RECORD>\n"
+    text = "\ufeff<ADX><RECORDS>" + "".join(record.format(i) for i in range(700)) + "<RECORD/></RECORDS>"
+    found = [list(scanned) for scanned in logs.scan_adx(memoryview((text + "</ADX>").encode()))]
+    assert max(map(len, found)) < 3  # records leave while the document is read
+    assert [t["value"].as_py() for tags in found for r in tags for t in r if t["name"].as_py() == "USERDEF_Z"] == [str(i) for i in range(700)]
+    files = spark.createDataFrame([(1, "good", text + "</ADX>"), (2, "cut", text), (3, None, "<ADX/>"), (4, "null", None)], "n int, name string, text string")
+    read = logs.adx_records(files)
+    # No row holds the records of its whole document beside its own, as a generator's do.
+    assert "Generate" not in read._jdf.queryExecution().toString()
+    rows = {(r.n, r.name, r.record): r for r in read.collect()}
+    assert set(rows) == {(1, "good", i) for i in range(1, 702)} | {(2, "cut", None), (4, "null", None)}
+    assert [tuple(t) for t in rows[1, "good", 700].tags] == [("CALL", "K699BB", None), ("COMMENT", "\U0001f600 699 <", None), ("USERDEF_Z", "699", None)] and rows[1, "good", 701].tags == []
+    assert all(r.error is None for r in rows.values() if r.record) and rows[2, "cut", None].tags is None and rows[2, "cut", None].error.startswith("no element found") and rows[4, "null", None].error
+
+
 def test_decoding(spark, tmp_path):
     for name, data in {"a": b"\xef\xbb\xbfx", "b": b"\xff\xfex\x00", "c": "é".encode(), "d": b"\xe9 \x80\x81"}.items():
         (tmp_path / name).write_bytes(data)
