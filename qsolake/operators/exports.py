@@ -204,6 +204,32 @@ def gated(contacts: DataFrame, format: str, metadata: DataFrame | None = None) -
     return found(files, no_place, checks(_file_gates(format))).unionByName(found(rows, F.col("nth").cast("int").alias("nth"), of_contacts))
 
 
+def tallied(contacts: DataFrame, format: str, metadata: DataFrame | None = None) -> DataFrame:
+    """path, errors and warnings: how many findings of gated() a file has, and its rows that repeat (a warning each), which
+    contacts read without repeats don't tell. Where no gate of a contact asks for its file, contacts are read once."""
+    count = lambda severity: F.count_if(F.col("severity") == severity)
+    again = lambda rows: rows.groupBy("path", F.to_json("values").alias("_json"))
+    if format in ("edi", "cabrillo"):
+        found = gated(contacts, format, metadata).groupBy("path").agg(count("error").alias("errors"), count("warning").alias("warnings"))
+        more = again(contacts.where("values is not null")).agg((F.count(F.lit(1)) - 1).alias("n")).groupBy("path").agg(F.sum("n").alias("again"))
+        both = found.join(more, "path", "full_outer").na.fill(0, ["errors", "warnings", "again"])
+        return both.select("path", "errors", (F.col("warnings") + F.col("again")).alias("warnings"))
+    if format not in FORMATS:
+        raise ValueError(f"unknown format {format}")
+    of = lambda severity: F.size(F.filter("issues", lambda i: i["severity"] == severity))
+    gates = [F.when(c.isNotNull(), 1).otherwise(0) for c in _contact_gates(format)]
+    rows = contacts.withColumn("_errors", sum(gates, of("error"))).withColumn("_warnings", of("warning"))
+    # Rows that repeat come together first, and only their counts go on.
+    whole = again(rows.select("path", "values", "_errors", "_warnings")).agg(
+        F.sum("_errors").alias("errors"), F.sum("_warnings").alias("warnings"), F.count(F.lit(1)).alias("n"))
+    stated = lambda n: F.sum(F.when(F.col("_json").isNotNull(), n).otherwise(0))
+    files = whole.groupBy("path").agg(stated(F.col("errors")).alias("errors"), stated(F.col("warnings") + F.col("n") - 1).alias("warnings"), stated(F.col("n")).alias("n"))
+    if metadata is not None:
+        files = files.join(metadata.select("path", "utc_confirmed"), "path", "left")
+    files = files.withColumn("utc", F.coalesce("utc_confirmed", F.lit(False)) if metadata is not None else F.lit(False))
+    return files.select("path", sum([F.when(c.isNotNull(), 1).otherwise(0) for c in _file_gates(format)], F.col("errors")).alias("errors"), "warnings")
+
+
 # --- records -----------------------------------------------------------------------------------------------------
 
 

@@ -3,7 +3,8 @@
 The frontier is rows (file, rank): the ATTEMPTS interpretations of the best scores. Each is read in full and held against
 the gates of the format. One that reads other source records than the first interpretation, or in another order or number,
 is rejected whatever it scores: records are compared by a digest of place and original text, added up for each candidate,
-so no file's records come together. Of the others the first without an error is taken, else the one with the fewest.
+so no file's records come together; contacts are made of the others only. Of these the first without an error is taken, else
+the one with the fewest.
 
 Defined cases: a file none of whose interpretations covers its records, and one that is empty, has no errors to compare and
 selected is the first one tried or null; equal scores are tried by name; line ends count as equal."""
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qsolake.operators import exports
+from qsolake.operators.components import checkpoints
 from qsolake.sources import guided
 
 ATTEMPTS, MOST = 4, 8
@@ -29,11 +31,12 @@ def frontier(candidates: DataFrame, attempts: int = ATTEMPTS, locked: str | None
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, min(MOST, attempts)))
 
 
-def coverage(contacts: DataFrame) -> DataFrame:
+def coverage(sessions: DataFrame) -> DataFrame:
     """path and a digest of its source records, in their order and number."""
-    line = F.regexp_replace(F.coalesce("original", F.lit("")), "\r\n|\r", "\n")
+    records = sessions.select("path", F.inline(F.transform(F.filter("rows", lambda r: r["kind"] == "qso"), lambda r: F.struct(r["nth"].alias("nth"), r["original"].alias("original")))))
+    line = F.replace(F.replace(F.coalesce("original", F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     one = lambda salt: F.xxhash64("nth", line, F.lit(salt))
-    return contacts.groupBy("path").agg(
+    return records.groupBy("path").agg(
         F.struct(F.count(F.lit(1)).alias("n"), F.sum(one("a").cast("decimal(38,0)")).alias("sum"), F.bit_xor(one("b")).alias("xor")).alias("digest")
     )
 
@@ -43,21 +46,26 @@ def recover(
 ) -> DataFrame:
     """path, selected (an interpretation), errors and warnings of it, tried (rank, candidate, errors, warnings, rejected; in
     order) and reason: validated, user-mapping-locked or review-required. files are (path, text), metadata as for exports."""
-    tried = frontier(guided.interpretations(files), attempts, locked)
+    checkpoints(files.sparkSession)
+    tried = frontier(guided.interpretations(files), attempts, locked).checkpoint()  # small rows, which all that follows asks for
     own = F.concat_ws(MARK, "path", "candidate")
-    texts = files.join(tried.select("path", "candidate"), "path").select(own.alias("path"), "text")
-    read = guided.contacts(guided.sessions(texts, tried.withColumn("path", own)), date_order=date_order)
-    if metadata is not None:
-        metadata = metadata.join(tried.select("path", "candidate"), "path").withColumn("path", own)
+
+    def opened(some: DataFrame) -> DataFrame:
+        texts = files.join(some.select("path", "candidate"), "path").select(own.alias("path"), "text")
+        return guided.sessions(texts, some.withColumn("path", own))
+
     keyed = tried.select(own.alias("key"), "path", "candidate", "rank")
-    count = lambda severity, name: F.count_if(F.col("severity") == severity).alias(name)
-    found = exports.gated(read, format, metadata).groupBy(F.col("path").alias("key")).agg(count("error", "errors"), count("warning", "warnings"))
-    cover = coverage(read).withColumnRenamed("path", "key")
-    rows = keyed.join(cover, "key", "left").join(found, "key", "left").na.fill(0, ["errors", "warnings"])
     by_rank = Window.partitionBy("path").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rejected = ~F.col("digest").eqNullSafe(F.first("digest").over(by_rank))
+    covered = keyed.join(coverage(opened(tried)).withColumnRenamed("path", "key"), "key", "left").withColumn("rejected", rejected).checkpoint()
+    left = tried.join(covered.where(~F.col("rejected") & F.col("digest").isNotNull()).select("path", "candidate"), ["path", "candidate"])
+    read = guided.contacts(opened(left), date_order=date_order, repeats=False)
+    if metadata is not None:
+        metadata = metadata.join(left.select("path", "candidate"), "path").withColumn("path", own)
+    found = exports.tallied(read, format, metadata).withColumnRenamed("path", "key")
+    rows = covered.join(found, "key", "left").na.fill(0, ["errors", "warnings"])
     # A candidate that reads no record can't be written: the gate of empty files has no file to find.
-    rows = rows.withColumn("rejected", rejected).withColumn("errors", F.when(F.col("digest").isNull(), F.col("errors") + 1).otherwise(F.col("errors")))
+    rows = rows.withColumn("errors", F.when(F.col("digest").isNull(), F.col("errors") + 1).otherwise(F.col("errors")))
     done = F.min(F.when(~F.col("rejected") & (F.col("errors") == 0), F.col("rank"))).over(Window.partitionBy("path"))
     rows = rows.withColumn("_done", done).where(F.col("_done").isNull() | (F.col("rank") <= F.col("_done")))
     one = F.struct("rank", "candidate", F.when(F.col("rejected"), 1).otherwise(F.col("errors")).cast("long").alias("errors"), F.when(F.col("rejected"), 0).otherwise(F.col("warnings")).cast("long").alias("warnings"), "rejected")

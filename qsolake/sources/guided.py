@@ -11,16 +11,18 @@ are given, a file beyond one has `rejected` set and no rows."""
 from __future__ import annotations
 
 import re
+import unicodedata
+from itertools import accumulate
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from qsolake.functions import radio
-from qsolake.functions.radio import let, trimmed
-
+from qsolake.functions.radio import let
+from qsolake.sources.logs import short_batches
 
 
 class Limits(NamedTuple):
@@ -62,6 +64,9 @@ DATE = r"^(\d{8}|\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})$"
 TIME = r"(?i)^([0-2]\d[0-5]\d([0-5]\d)?|[0-2]?\d:[0-5]\d(:[0-5]\d)?)Z?$"
 MODE = r"(?i)^(USB|LSB|SSB|PHONE|PH|CW|FM|AM|FT8|FT4|RTTY|PSK31|DG|DIGI|DIGITAL)$"
 MODES = {"USB": "SSB", "LSB": "SSB", "PHONE": "SSB", "PH": "SSB", "DG": "DIGITAL", "DIGI": "DIGITAL"}
+#: Unicode's white space, as (?U)\s matches it.
+WHITE = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("Zs", "Zl", "Zp") or c in "\t\n\x0b\x0c\r\x85")
+CALL = r"^(?=.{3,20}$)(?=.*[A-Z])(?=.*\d)[A-Z0-9]+(/[A-Z0-9]+)*$"
 UNCLOSED, STRAY_QUOTE, AFTER_QUOTE = "unclosed quoted field", "quote inside an unquoted field", "text after a closing quote"
 
 is_grid = lambda s: s.rlike(GRID)
@@ -70,19 +75,28 @@ is_time = lambda s: s.rlike(TIME)
 is_mode = lambda s: s.rlike(MODE)
 
 
+def trimmed(x: Column) -> Column:
+    """radio.trimmed() without a pattern, as here it is asked of every cell."""
+    return F.btrim(x, F.lit(WHITE))
+
+
 def is_call(s: Column) -> Column:
-    return F.upper(s).rlike(r"^(?=.{3,20}$)(?=.*[A-Z])(?=.*\d)[A-Z0-9]+(/[A-Z0-9]+)*$") & ~is_grid(s)
+    return F.upper(s).rlike(CALL) & ~is_grid(s)
+
+
+#: Any of the shapes; what is a locator and reads like a call counts as well.
+EVIDENCE = f"(?i)^(?:{'|'.join(shape.removeprefix('(?i)')[1:-1] for shape in (DATE, TIME, GRID, MODE))})$"
 
 
 def evidence(s: Column) -> Column:
-    return is_date(s) | is_time(s) | is_grid(s) | is_call(s) | is_mode(s)
+    return s.rlike(EVIDENCE) | F.upper(s).rlike(CALL)
 
 
 def field_of(heading: Column) -> Column:
-    """The field that a heading names, else an empty string."""
+    """The field that a heading names, else an empty string; none has a digit in its name, as most cells do."""
     table = [F.lit(x) for pair in HEADINGS.items() for x in pair]
     found = F.try_element_at(F.create_map(*table), F.regexp_replace(F.lower(heading), "[^a-z0-9]", ""))
-    return F.coalesce(found, F.when(heading.isin(FIELDS), heading), F.lit(""))
+    return F.when(heading.rlike("[0-9]"), "").otherwise(F.coalesce(found, F.when(heading.isin(FIELDS), heading), F.lit("")))
 
 
 # --- cells -------------------------------------------------------------------------------------------------------
@@ -90,11 +104,15 @@ def field_of(heading: Column) -> Column:
 ROW = T.StructType().add("original", T.StringType()).add("cells", T.ArrayType(T.StringType())).add("errors", T.ArrayType(T.StringType()))
 
 
+LINE_END = re.compile("\r\n|\r|\n")
+
+
 def scanned(text: str, delimiter: str) -> list[tuple[str, list[str], list[str]]]:
     """Records of delimited text: line ends and delimiters inside quotes belong to their cell."""
     piece = re.compile(rf'"|\r\n|\r|\n|{re.escape(delimiter)}|[^"\r\n{re.escape(delimiter)}]+')
     rows, cells, errors, cell, start, at = [], [], [], "", 0, 0
     quoted = closed = False
+    quote = -2  # the next one, -1: none
 
     def record(end: int) -> None:
         nonlocal cells, errors, cell, closed
@@ -103,6 +121,15 @@ def scanned(text: str, delimiter: str) -> list[tuple[str, list[str], list[str]]]
         cells, errors, cell, closed = [], [], "", False
 
     while at < len(text):
+        if at == start and not quoted:  # lines before the one of the next quote are cut as they are
+            if -1 != quote < at:
+                quote = text.find('"', at)
+            end = len(text) if quote < 0 else max(text.rfind("\n", at, quote), text.rfind("\r", at, quote)) + 1
+            if end > at:
+                lines = LINE_END.split(text[at:end])
+                rows += [(line, line.split(delimiter), []) for line in (lines if lines[-1] else lines[:-1])]
+                at = start = end
+                continue
         part = piece.match(text, at).group()
         at += len(part)
         if part == '"' and quoted:
@@ -132,9 +159,17 @@ def scanned(text: str, delimiter: str) -> list[tuple[str, list[str], list[str]]]
     return rows
 
 
-@F.pandas_udf(T.ArrayType(ROW))
-def _scan(texts: pd.Series, delimiters: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None or d is None else scanned(t, d) for t, d in zip(texts, delimiters)], dtype=object)
+@F.arrow_udf(T.ArrayType(ROW))
+def _scan(texts: pa.Array, delimiters: pa.Array) -> pa.Array:
+    found = [None if t is None or d is None else scanned(t, d) for t, d in zip(texts.to_pylist(), delimiters.to_pylist())]
+    rows = [row for rows in found for row in rows or ()]
+
+    def lists(values: list, n: list[int], none: list[bool] | None = None) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array([0, *accumulate(n)], pa.int32()), values, mask=pa.array(none) if none else None)
+
+    parts = [lists(pa.array([x for row in rows for x in row[k]], pa.string()), [len(row[k]) for row in rows]) for k in (1, 2)]
+    whole = pa.StructArray.from_arrays([pa.array([row[0] for row in rows], pa.string()), *parts], ["original", "cells", "errors"])
+    return lists(whole, [len(x or ()) for x in found], [x is None for x in found])
 
 
 def _lines(text: Column) -> Column:
@@ -181,7 +216,7 @@ def boundaries(text: Column) -> Column:
 
 
 def readable(files: DataFrame) -> DataFrame:
-    return files.where(F.col("text").isNotNull()).select("path", F.regexp_replace("text", "^\ufeff", "").alias("text"))
+    return short_batches(files).where(F.col("text").isNotNull()).select("path", F.regexp_replace("text", "^\ufeff", "").alias("text"))
 
 
 def over(value: Column, most: int | None) -> Column:
@@ -197,12 +232,12 @@ def interpretations(files: DataFrame, bounds: list[int] | None = None, *, limits
     kinds = [*(one(f"delimiter-{i}", "delimited", d) for i, d in enumerate(DELIMITERS)), one("whitespace", "whitespace"), one("fixed-width", "fixed-width")]
     tried = small.withColumn("bounds", wanted).select("*", F.inline(F.array(*kinds)))
     rows = cells_of(F.substring("text", 1, SAMPLE), F.col("strategy"), F.col("delimiter"), F.col("bounds"))
-    active = F.slice(F.filter("_rows", lambda r: (trimmed(r["original"]) != "") & ~r["original"].rlike(r"(?U)^\s*[#;]")), 1, 200)
-    known = lambda r, test: F.size(F.filter(r["cells"], lambda c: test(trimmed(c))))
-    sized = tried.withColumn("_rows", rows).withColumn("_active", active).withColumn("_sizes", F.transform("_active", lambda r: F.size(r["cells"])))
+    active = F.slice(F.filter("_rows", lambda r: r["original"].rlike(r"(?U)\S") & ~r["original"].rlike(r"(?U)^\s*[#;]")), 1, 200)
+    known = lambda cells, test: F.size(F.filter(cells, test))
+    sized = tried.withColumn("_rows", rows).withColumn("_active", F.transform(active, lambda r: F.transform(r["cells"], trimmed))).withColumn("_sizes", F.transform("_active", F.size))
     most = F.array_max(F.transform(F.array_distinct("_sizes"), lambda w: F.struct(F.size(F.filter("_sizes", lambda x: x == w)).alias("n"), w.alias("w"))))
-    named = F.coalesce(F.array_max(F.transform("_active", lambda r: known(r, lambda c: field_of(c) != ""))), F.lit(0))
-    seen = F.aggregate("_active", F.lit(0), lambda n, r: n + known(r, evidence))
+    named = F.coalesce(F.array_max(F.transform("_active", lambda cells: known(cells, lambda c: field_of(c) != ""))), F.lit(0))
+    seen = F.aggregate("_active", F.lit(0), lambda n, cells: n + known(cells, evidence))
     scored = sized.select(
         "path", "candidate", "strategy", "delimiter", "bounds", F.size("_active").alias("_n"), most.alias("_most"), seen.alias("_seen"), named.alias("_named"),
         (F.exists("_rows", lambda r: over(F.size(r["cells"]), limits.columns)) | over(F.size("_rows"), limits.rows)).alias("_over"),
@@ -243,9 +278,10 @@ def sessions(files: DataFrame, picked: DataFrame | None = None, *, limits: Limit
     rejected = F.when(F.col("_long"), "characters").when(over(F.size("_all"), limits.rows), "rows").when(F.exists("_all", lambda r: over(F.size(r["cells"]), limits.columns)), "columns").when(over(total, limits.cells), "cells")
     df = df.withColumn("rejected", rejected).withColumn("_all", F.when(F.col("rejected").isNull(), F.col("_all")).otherwise(F.slice("_all", 1, 0)))
     dated = lambda r: F.exists(r["cells"], lambda c: is_date(trimmed(c)))
-    headings = lambda r: F.size(F.filter(r["cells"], lambda c: field_of(trimmed(c)) != ""))
-    heads = F.filter(F.slice("_all", 1, 30), lambda r: (headings(r) >= 2) & ~dated(r))
-    df = df.withColumn("_header", F.get(heads, F.lit(0))).withColumn("_names", F.transform("_header.cells", trimmed))
+    headings = lambda r: F.size(F.filter(r["cells"], lambda c: let(trimmed(c), field_of) != ""))
+    # Rows after the first that is a heading are passed over.
+    head = F.aggregate(F.slice("_all", 1, 30), F.lit(None).cast(ROW), lambda found, r: F.when(found.isNotNull(), found).when(~dated(r) & (headings(r) >= 2), r))
+    df = df.withColumn("_header", head).withColumn("_names", F.transform("_header.cells", trimmed)).withColumn("_title", trimmed(F.col("_header.original")))
     words = F.regexp_replace(F.lower(F.coalesce("_header.original", F.lit(""))), r"(?U)\s+", " ")
     signed = F.lit(False)
     for signature in SIGNATURES:
@@ -256,18 +292,22 @@ def sessions(files: DataFrame, picked: DataFrame | None = None, *, limits: Limit
     df = df.withColumn("grouped", signed & F.col("strategy").isin("whitespace", "fixed-width"))
     wanted = F.array(*map(F.lit, ("QSO_DATE", "TIME_ON", "CALL")))
     header_fields = F.coalesce(F.transform("_names", field_of), F.array().cast("array<string>"))
-    df = df.withColumn("_fields", header_fields)
+    # Where the fields that tell a contact are, an array for each.
+    places_of = F.transform(wanted, lambda f: F.filter(F.transform("_fields", lambda x, i: F.when(x == f, i)), lambda i: i.isNotNull()))
+    df = df.withColumn("_fields", header_fields).withColumn("_wanted", places_of)
 
     def kind(r: Column) -> Column:
-        text = trimmed(r["original"])
-        filled = F.filter(wanted, lambda f: F.exists(F.arrays_zip(F.col("_fields").alias("f"), r["cells"].alias("c")), lambda x: (x["f"] == f) & (trimmed(F.coalesce(x["c"], F.lit(""))) != "")))
-        return (
-            F.when(text == "", "blank").when(text == trimmed(F.col("_header.original")), "header").when(
-                F.col("grouped") & r["original"].rlike(r"(?i)YYYYMMDD\s+HHMM") & ~F.exists(r["cells"], lambda c: c.rlike(r"^\d{8}$")), "header")
-            .when(F.size(filled) >= 2, "qso").when(text.rlike(r"^([-=_*]{3,}|#|//)"), "comment")
-            .when(text.rlike(r"(?i)^(total\b|summary\b|page\s+\d|\d+\s+qsos?\b)"), "summary")
-            .when(text.rlike(r"^[A-Za-z][\w -]{1,35}\s*[:=]") & ~dated(r), "metadata").otherwise("qso")
-        )
+        def of(text: Column) -> Column:
+            filled = F.filter("_wanted", lambda at: F.exists(at, lambda i: trimmed(F.coalesce(F.get(r["cells"], i), F.lit(""))) != ""))
+            return (
+                F.when(text == "", "blank").when(text == F.col("_title"), "header").when(
+                    F.col("grouped") & r["original"].rlike(r"(?i)YYYYMMDD\s+HHMM") & ~F.exists(r["cells"], lambda c: c.rlike(r"^\d{8}$")), "header")
+                .when(F.size(filled) >= 2, "qso").when(text.rlike(r"^([-=_*]{3,}|#|//)"), "comment")
+                .when(text.rlike(r"(?i)^(total\b|summary\b|page\s+\d|\d+\s+qsos?\b)"), "summary")
+                .when(text.rlike(r"^[A-Za-z][\w -]{1,35}\s*[:=]") & ~dated(r), "metadata").otherwise("qso")
+            )
+
+        return let(trimmed(r["original"]), of)
 
     last = F.when(F.col("grouped"), len(GROUPED) - 1).when(F.element_at("_fields", -1) == "COMMENT", F.size("_fields") - 1)
     df = df.withColumn("_tail", F.when((F.col("strategy") == "whitespace") & (F.size("_fields") > 0), last))
@@ -275,9 +315,8 @@ def sessions(files: DataFrame, picked: DataFrame | None = None, *, limits: Limit
     def shaped(r: Column, i: Column) -> Column:
         rest = F.regexp_replace(r["original"], F.concat(F.lit(r"(?U)^\s*(?:\S+\s+){"), F.col("_tail").cast("string"), F.lit("}")), F.lit(""))
         joined = F.concat(F.slice(r["cells"], 1, F.col("_tail")), F.array(F.regexp_replace(rest, r"(?U)\s+$", "")))
-        k = kind(r)
-        long = (k == "qso") & F.coalesce(F.size(r["cells"]) > F.col("_tail") + 1, F.lit(False))
-        return F.struct(i.alias("nth"), r["original"].alias("original"), F.when(long, joined).otherwise(r["cells"]).alias("cells"), k.alias("kind"), r["errors"].alias("errors"), F.lit(None).cast("array<string>").alias("originals"))
+        long = lambda k: (k == "qso") & F.coalesce(F.size(r["cells"]) > F.col("_tail") + 1, F.lit(False))
+        return let(kind(r), lambda k: F.struct(i.alias("nth"), r["original"].alias("original"), F.when(long(k), joined).otherwise(r["cells"]).alias("cells"), k.alias("kind"), r["errors"].alias("errors"), F.lit(None).cast("array<string>").alias("originals")))
 
     df = df.withColumn("rows", F.transform("_all", shaped)).withColumn("_data", F.filter("rows", lambda r: r["kind"] == "qso"))
     sizes = F.transform(F.slice("_data", 1, 200), lambda r: F.size(r["cells"]))
@@ -290,12 +329,21 @@ def sessions(files: DataFrame, picked: DataFrame | None = None, *, limits: Limit
 
     def shares(i: Column) -> Column:
         values = F.transform("_seen", lambda r: trimmed(F.coalesce(F.get(r["cells"], i), F.lit(""))))
-        return let(values, lambda v: let(F.filter(v, lambda x: x != ""), lambda some: F.struct(*[
-            (F.size(F.filter(some, test)) > F.size(some) * 0.8).alias(name)
-            for name, test in {"date": is_date, "mode": is_mode, "freq": _frequency, "time": is_time, "call": is_call, "grid": is_grid}.items()
-        ], (F.size(F.filter(v, is_call)) > F.size(v) * 0.8).alias("calls"), (F.size(F.filter(v, is_grid)) > F.size(v) * 0.8).alias("grids"))))
+        unnamed = F.get("_first", i) == ""
+
+        def of(v: Column, some: Column, calls: Column, grids: Column) -> Column:
+            most = lambda n, of: n > F.size(of) * 0.8
+            tests = {"date": is_date, "mode": is_mode, "freq": _frequency, "time": is_time}
+            return F.struct(
+                *[(unnamed & most(F.size(F.filter(some, test)), some)).alias(name) for name, test in tests.items()], most(calls, some).alias("call"),
+                most(grids, some).alias("grid"), most(calls, v).alias("calls"), most(grids, v).alias("grids"),
+            )
+
+        count = lambda v, test: F.size(F.filter(v, test))
+        return let(values, lambda v: let(F.filter(v, lambda x: x != ""), lambda some: let(count(some, is_call), lambda calls: let(count(some, is_grid), lambda grids: of(v, some, calls, grids)))))
 
-    df = df.withColumn("_shares", F.transform(places, shares))
+    # Only columns that no heading names are looked at.
+    df = df.withColumn("_shares", F.when(F.exists("_first", lambda f: f == ""), F.transform(places, shares)))
     only = lambda name: F.size(F.filter("_shares", lambda s: s[name])) == 1
 
     def infer(fields: Column, i: Column) -> Column:
@@ -427,10 +475,10 @@ def _lineage(x: Column, field: Column, value: Column, changes: Column) -> Column
     return let(changes, classed)
 
 
-def contacts(session: DataFrame, *, date_order: str = "auto", lineage: bool = False) -> DataFrame:
+def contacts(session: DataFrame, *, date_order: str = "auto", lineage: bool = False, repeats: bool = True) -> DataFrame:
     """path, nth, original, values (field to value), unmapped (column to cell) and issues (code, field, severity) of
     every row taken for a contact. Values that a check refuses stay as they are, beside their issue. date_order holds for
-    columns without their own.
+    columns without their own. Without repeats, rows that repeat have no issue of it.
 
     With lineage, also the lineage of every value: field, column, place (null where derived), original (the cell before any
     edit), value, confidence, changes and class (preserved, lossless-normalization, suggested-repair, user-supplied,
@@ -439,22 +487,28 @@ def contacts(session: DataFrame, *, date_order: str = "auto", lineage: bool = Fa
     cell = lambda i: F.coalesce(F.get("cells", i), F.lit(""))
     first_cell = lambda i: F.when(F.col("originals").isNull(), cell(i)).otherwise(F.coalesce(F.get("originals", i), F.lit("")))
     given = lambda c, i: F.coalesce(c["constant"], cell(i))
-    items = F.transform("columns", lambda c, i: F.struct(
-        c["field"].alias("field"), trimmed(given(c, i)).alias("text"), c["unit"].alias("unit"), F.coalesce(c["date_order"], F.lit(date_order)).alias("order"), c["upper"].alias("upper"),
-        *([c["name"].alias("name"), i.alias("place"), c["confidence"].alias("confidence"), c["locked"].alias("locked"), given(c, i).alias("given"), first_cell(i).alias("original"),
-           (cell(i) != first_cell(i)).alias("edited"), c["constant"].isNotNull().alias("fixed")] if lineage else []),
-    ))
-    items = F.filter(items, lambda x: (x["field"] != "") & (x["text"] != ""))
-    kept = ["unit", "upper", "name", "place", "confidence", "locked", "given", "original", "edited", "fixed"] if lineage else []
-    items = F.transform(items, lambda x: F.struct(
-        x["field"].alias("field"), x["text"].alias("text"), F.upper(x["text"]).alias("raw"), _normal(x["field"], x["text"], x["unit"], x["order"], x["upper"]).alias("n"), *[x[k].alias(k) for k in kept]))
-    df = df.withColumn("_items", items)
-    first = lambda x, i: ~F.exists(F.slice("_items", 1, i), lambda y: y["field"] == x["field"])
-    df = df.withColumn("_firsts", F.filter("_items", first))
-    value = lambda name: F.get(F.filter("_firsts", lambda x: x["field"] == name), F.lit(0))["n"]["value"]
+    df = df.withColumn("_texts", F.transform("columns", lambda c, i: trimmed(given(c, i))))
+    text = lambda i: F.get("_texts", i)
+    items = F.transform("columns", lambda c, i: F.when((c["field"] != "") & (text(i) != ""), F.struct(
+        c["field"].alias("field"), F.when(c["field"] == "MODE", F.upper(text(i))).alias("raw"),
+        _normal(c["field"], text(i), c["unit"], F.coalesce(c["date_order"], F.lit(date_order)), c["upper"]).alias("n"),
+        *([text(i).alias("text"), c["unit"].alias("unit"), c["upper"].alias("upper"), c["name"].alias("name"), i.alias("place"), c["confidence"].alias("confidence"), c["locked"].alias("locked"),
+           given(c, i).alias("given"), first_cell(i).alias("original"), (cell(i) != first_cell(i)).alias("edited"), c["constant"].isNotNull().alias("fixed")] if lineage else []),
+    )))
+    # What a contact's columns say of its cells is settled here, so that later steps needn't carry them.
+    short = F.size("cells") < F.size("columns")
+    full = F.forall(F.slice(F.transform("columns", lambda c, i: (c["field"] != "") & (trimmed(cell(i)) != "")), 1, F.size("cells")), lambda x: x)
+    no_comment = F.col("grouped") & (F.col("strategy") == "whitespace") & (F.element_at("columns", -1)["field"] == "COMMENT") & (F.size("cells") == F.size("columns") - 1) & full
+    df = df.withColumns({
+        "_items": F.filter(items, lambda x: x.isNotNull()), "_short": short & ~F.coalesce(no_comment, F.lit(False)),
+        "_extra": F.slice("cells", F.size("columns") + 1, F.size("cells")),
+    })
+    df = df.withColumn("_fields", F.transform("_items", lambda x: x["field"]))
+    df = df.withColumn("_firsts", F.filter("_items", lambda x, i: F.array_position("_fields", x["field"]) == i + 1))
+    value = lambda name: F.get("_items", F.array_position("_fields", F.lit(name)).cast("int") - 1)["n"]["value"]
     side = F.get(F.filter("_items", lambda x: (x["field"] == "MODE") & x["raw"].isin("USB", "LSB")), F.lit(0))["raw"]
     bad = lambda name: F.exists("_items", lambda x: (x["field"] == name) & x["n"]["code"].isNotNull())
-    again = F.filter("_items", lambda x: F.exists("_firsts", lambda y: (y["field"] == x["field"]) & (y["n"]["value"] != x["n"]["value"])))
+    again = F.filter(F.when(F.size("_firsts") < F.size("_items"), F.col("_items")).otherwise(F.slice("_items", 1, 0)), lambda x: F.exists("_firsts", lambda y: (y["field"] == x["field"]) & (y["n"]["value"] != x["n"]["value"])))
     df = df.withColumns({"_side": side, "_sub": value("SUBMODE"), "_own": value("BAND"), "_freq": value("FREQ"), "_again": again})
     df = df.withColumn("_band", radio.import_frequency_band(F.col("_freq").try_cast("double")))
     more = lambda name, v, cond: F.when(cond, F.array(F.struct(F.lit(name).alias("key"), v.alias("value")))).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
@@ -465,14 +519,11 @@ def contacts(session: DataFrame, *, date_order: str = "auto", lineage: bool = Fa
         more("BAND", F.col("_band"), banded),
     )
     df = df.withColumn("values", F.map_from_entries(entries))
-    short = F.size("cells") < F.size("columns")
-    full = F.forall(F.slice(F.transform("columns", lambda c, i: (c["field"] != "") & (trimmed(cell(i)) != "")), 1, F.size("cells")), lambda x: x)
-    no_comment = F.col("grouped") & (F.col("strategy") == "whitespace") & (F.element_at("columns", -1)["field"] == "COMMENT") & (F.size("cells") == F.size("columns") - 1) & full
     issue = lambda code, field=None, severity="error": F.struct(F.lit(code).alias("code"), (field if isinstance(field, Column) else F.lit(field).cast("string")).alias("field"), F.lit(severity).alias("severity"))
     if_so = lambda cond, made: F.when(cond, F.array(made)).otherwise(F.array().cast(ISSUE))
     has = lambda name: F.map_contains_key("values", F.lit(name))
     found = [
-        if_so(short & ~F.coalesce(no_comment, F.lit(False)), issue("structure")),
+        if_so(F.col("_short"), issue("structure")),
         F.transform("errors", lambda e: issue("malformed-record")),
         F.transform(F.filter("_items", lambda x: x["n"]["code"].isNotNull()), lambda x: F.struct(x["n"]["code"].alias("code"), x["field"].alias("field"), F.lit("error").alias("severity"))),
         F.transform("_again", lambda x: issue("duplicate-mapping", x["field"])),
@@ -480,12 +531,12 @@ def contacts(session: DataFrame, *, date_order: str = "auto", lineage: bool = Fa
         if_so((F.col("_band") != "") & (F.col("_band") != F.col("_own")), issue("band-conflict", "BAND")),
         *[if_so(~has(name), issue("missing-field", name)) for name in ("QSO_DATE", "TIME_ON", "CALL", "MODE")],
         if_so(~has("FREQ") & ~has("BAND"), issue("missing-field", "FREQ")),
-        F.transform(F.slice("cells", F.size("columns") + 1, F.size("cells")), lambda c: issue("extra-cell", severity="warning")),
+        F.transform("_extra", lambda c: issue("extra-cell", severity="warning")),
     ]
-    twice = F.row_number().over(Window.partitionBy("path", F.to_json("values")).orderBy("nth")) > 1
+    twice = F.row_number().over(Window.partitionBy("path", F.to_json("values")).orderBy("nth")) > 1 if repeats else F.lit(False)
     made = df.withColumn("_found", F.concat(*[x.cast(ISSUE) for x in found])).withColumn("_twice", twice)
     left = F.filter(F.transform("columns", lambda c, i: F.struct(F.concat(F.lit("column-"), i.cast("string")).alias("key"), F.when(c["field"] == "", first_cell(i)).alias("value"))), lambda x: x["value"].isNotNull())
-    extra = F.transform(F.slice("cells", F.size("columns") + 1, F.size("cells")), lambda c, i: F.struct(F.concat(F.lit("extra-"), i.cast("string")).alias("key"), c.alias("value")))
+    extra = F.transform("_extra", lambda c, i: F.struct(F.concat(F.lit("extra-"), i.cast("string")).alias("key"), c.alias("value")))
     sides = F.filter("_items", lambda x: (x["field"] == "MODE") & x["raw"].isin("USB", "LSB"))
     none = lambda kind: F.lit(None).cast(kind)
     band = F.struct(

@@ -88,3 +88,39 @@ def test_recovery(spark):
     locked = {r.path: r for r in recovery.recover(files, "adif", heads, locked="delimiter-0").collect()}
     assert (locked["tabs"].selected, locked["tabs"].reason, locked["tabs"].errors) == ("delimiter-0", "user-mapping-locked", 1)
     assert len({r.path: r for r in recovery.recover(files, "adif", heads, attempts=1).collect()}["tabs"].tried) == 1
+
+
+def test_recovery_reads_once(spark, monkeypatch):
+    """Contacts are made once, and of the interpretations only that cover the records of the first one."""
+    seen, contacts = [], guided.contacts
+    monkeypatch.setattr(guided, "contacts", lambda session, **options: seen.append({r.path for r in session.select("path").collect()}) or contacts(session, **options))
+    files = spark.createDataFrame([("tabs", TABS), ("lines", LINES), ("fine", TABS.replace('"', "")), ("none", None), ("empty", "")], "path string, text string")
+    heads = spark.createDataFrame([(n, True, None, None, None, None, None, None, None) for n in ("tabs", "lines", "fine")], META)
+    found = recovery.recover(files, "adif", heads)
+    rows = {r.path: r for r in found.collect()}
+    rejected = {f"{r.path}{recovery.MARK}{t.candidate}" for r in rows.values() for t in r.tried if t.rejected}
+    assert len(seen) == 1 and rejected and not seen[0] & rejected
+    assert {"tabs\x1fdelimiter-0", "tabs\x1fwhitespace", "lines\x1fdelimiter-2"} <= seen[0]
+    assert (rows["empty"].selected, rows["empty"].errors, rows["empty"].reason) == (rows["empty"].tried[0].candidate, 1, "review-required")
+
+
+def test_tallies(spark):
+    """The findings of each file are those of gated(), for each format, with rows that repeat, lack or mistake something."""
+    head = "Date,Time,Freq,Mode,Call,Grid,Comment\n"
+    line = "20240106,1238,14.05,CW,Q3M,KK12,a\n"
+    texts = {
+        "good": head + line, "twice": head + line * 3 + line.replace("Q3M", "Q7WW") * 2, "bad": head + line.replace("Q3M", "NOCALL") * 2 + line.replace("CW", "") + line.replace("\n", ",x,y\n"),
+        "other": head + line, "short": head + line + "20240106,1239,14.05,CW,Q7WW\n",
+    }
+    files = spark.createDataFrame(list(texts.items()), "path string, text string")
+    session = guided.sessions(files).localCheckpoint()
+    heads = spark.createDataFrame([(n, n != "bad", "X", "Q1AB", "KK11AA", None, "supplied-points", None, None) for n in ("good", "twice", "bad", "short")], META)
+    whole, single = guided.contacts(session).localCheckpoint(), guided.contacts(session, repeats=False).localCheckpoint()
+    for format in exports.FORMATS:
+        for metadata in (heads, None):
+            want = {path: [0, 0] for path in texts}
+            for r in exports.gated(whole, format, metadata).collect():
+                want[r.path][r.severity == "warning"] += 1
+            tallied = {path: [0, 0] for path in texts} | {r.path: [r.errors, r.warnings] for r in exports.tallied(single, format, metadata).collect()}
+            assert tallied == want, (format, metadata)
+    assert want["twice"][1] == 3 and want["bad"][1] == 1

@@ -1,5 +1,8 @@
 """The guided import on small files."""
 
+from pyspark.sql import functions as F
+
+from qsolake.functions import radio
 from qsolake.sources import guided
 
 HEAD = "Date,Time,Freq,Mode,Call,STX,SRX,Comment"
@@ -77,3 +80,21 @@ def test_limits_are_optional(spark):
     ):
         made = {r.path: r.rejected for r in guided.sessions(files, limits=limits).collect()}
         assert made == {"long": None, "wide": None} | {path: why}
+
+
+def test_cells_without_patterns(spark):
+    """White space, shapes and headings of cells are told as by the patterns that name them; lines without quotes are cut like others."""
+    cells = ["20240106", "6/9/2024", "2024-1-6", "1238", "12:38z", "9:05:30", "KK12", "kk12bb34", "Q3M", "q7ww/p", "ft8", "Phone", "QSO_DATE", "Pts", "m-y call", "Date1", "5 5", "", "ß1", "x" * 30 + "1", "Q3M ", "12:38 cw"]
+    cells += [f"{a}Q3M{a}b{a}" for a in guided.WHITE + "\x1c\u200b\ufeff"] + list(guided.WHITE)
+    rows = spark.createDataFrame([(c,) for c in cells], "c string")
+    c = F.col("c")
+    shapes = guided.is_date(c) | guided.is_time(c) | guided.is_grid(c) | guided.is_call(c) | guided.is_mode(c)
+    letters = F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    for r in rows.select("c", guided.trimmed(c).alias("t"), radio.trimmed(c).alias("u"), guided.evidence(c).alias("e"), shapes.alias("s"), guided.field_of(c).alias("f"), letters.alias("l")).collect():
+        assert (r.t, r.e) == (r.u, r.s) and r.f == guided.HEADINGS.get(r.l, r.c if r.c in guided.FIELDS else ""), r
+    text = 'a,b\n\r\nc,"d,\n""e"\rf,g"h,\n"i"j\n,\nk'
+    want = [("a,b", ["a", "b"], []), ("", [""], []), ('c,"d,\n""e"', ["c", 'd,\n"e'], []), ('f,g"h,', ["f", 'g"h', ""], [guided.STRAY_QUOTE]), ('"i"j', ["ij"], [guided.AFTER_QUOTE]), (",", ["", ""], []), ("k", ["k"], [])]
+    assert guided.scanned(text, ",") == want and guided.scanned("a\n" * 3 + 'b,"c', ",")[3:] == [('b,"c', ["b", "c"], [guided.UNCLOSED])] and guided.scanned("", ",") == []
+    bands = spark.range(0, 12_000_000, 50).select((F.col("id") / 1000).alias("mhz")).unionByName(spark.createDataFrame([(x,) for low, high, _ in radio.IMPORT_BANDS_MHZ for x in (float(low), float(high))] + [(None,), (float("nan"),)], "mhz double"))
+    one = F.coalesce(*[F.when((F.col("mhz") >= low) & (F.col("mhz") <= high), name) for low, high, name in radio.IMPORT_BANDS_MHZ], F.lit(""))
+    assert bands.where(radio.import_frequency_band(F.col("mhz")) != one).count() == 0
