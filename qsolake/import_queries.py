@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qsolake.operators import recovery, workspace
+from qsolake.operators.components import checkpoints
 from qsolake.plans import synth
 from qsolake.queries import CTE
 from qsolake.sources import guided
@@ -69,7 +70,8 @@ def import_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def import_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The interpretation of each file that can be exported as ADIF, of the four of best score."""
-    texts = files(spark, sf_dir).withColumn("path", F.col("path").cast("string"))
+    checkpoints(spark)
+    texts = files(spark, sf_dir).withColumn("path", F.col("path").cast("string")).checkpoint()  # the search reads files three times
     heads = texts.selectExpr("path", "true AS utc_confirmed", *[f"CAST(NULL AS STRING) AS {c}" for c in ("contest", "station", "locator", "band", "scoring", "claimed_score", "dates")])
     found = recovery.recover(texts, "adif", heads, date_order="dmy")
     return found.select(F.col("path").cast("long").alias("file"), "selected", "errors", "reason", F.array_join(F.transform("tried", lambda t: t["candidate"]), ",").alias("tried"))
